@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontamination, secrets
+from .decontamination import benchmark_hits, hits_digest
+from .packing import pack
+from .quality import fit_quality, held_out, quality_scores
+from .secrets import secret_spans, secrets_digest
 from .shared import read
 from .token_counts import token_counts
 
@@ -14,8 +19,34 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return hits_digest(benchmark_hits(docs, read(spark, sf_dir, "benchmark")))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_digest(secret_spans(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = fit_quality(docs, read(spark, sf_dir, "labels"))
+    return quality_scores(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_decontamination": op2_decontamination,
+    "op5_packing": op5_packing,
+    "op6_secret_scan": op6_secret_scan,
+    "op8_quality": op8_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_decontamination": decontamination.ORACLE,
+    "op6_secret_scan": secrets.oracle(),
+}
