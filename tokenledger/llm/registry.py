@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, secrets
+from . import decontamination, line_dedup, secrets
 from .decontamination import benchmark_hits, hits_digest
+from .line_dedup import dedup_lines, lines_digest
 from .packing import pack
 from .quality import fit_quality, held_out, quality_scores
 from .secrets import secret_spans, secrets_digest
@@ -38,15 +39,21 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_digest(dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
     "op5_packing": op5_packing,
     "op6_secret_scan": op6_secret_scan,
     "op8_quality": op8_quality,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op10_line_dedup": line_dedup.ORACLE,
     "op2_decontamination": decontamination.ORACLE,
     "op6_secret_scan": secrets.oracle(),
 }
