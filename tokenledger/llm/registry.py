@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup, secrets
+from . import decontamination, line_dedup, near_dedup, secrets
 from .decontamination import benchmark_hits, hits_digest
 from .line_dedup import dedup_lines, lines_digest
+from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import fit_quality, held_out, quality_scores
 from .secrets import secret_spans, secrets_digest
@@ -43,16 +44,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_digest(dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, size=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
     "op5_packing": op5_packing,
     "op6_secret_scan": op6_secret_scan,
+    "op7_near_dedup": op7_near_dedup,
     "op8_quality": op8_quality,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_near_dedup": near_dedup.oracle(),
     "op10_line_dedup": line_dedup.ORACLE,
     "op2_decontamination": decontamination.ORACLE,
     "op6_secret_scan": secrets.oracle(),
