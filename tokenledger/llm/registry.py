@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup, near_dedup, secrets
+from . import decontamination, line_dedup, near_dedup, secrets, warc
 from .decontamination import benchmark_hits, hits_digest
 from .line_dedup import dedup_lines, lines_digest
 from .near_dedup import near_duplicates
+from .neighbours import nearest
 from .packing import pack
 from .quality import fit_quality, held_out, quality_scores
 from .secrets import secret_spans, secrets_digest
 from .shared import read
 from .token_counts import token_counts
+from .warc import archived
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +28,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits_digest(benchmark_hits(docs, read(spark, sf_dir, "benchmark")))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(read(spark, sf_dir, "pages")).drop("intact")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
@@ -52,6 +62,8 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op4_warc": op4_warc,
     "op5_packing": op5_packing,
     "op6_secret_scan": op6_secret_scan,
     "op7_near_dedup": op7_near_dedup,
@@ -60,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_warc": warc.ORACLE,
     "op7_near_dedup": near_dedup.oracle(),
     "op10_line_dedup": line_dedup.ORACLE,
     "op2_decontamination": decontamination.ORACLE,
