@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontamination, line_dedup, near_dedup, secrets, warc
 from .decontamination import benchmark_hits, hits_digest
 from .line_dedup import dedup_lines, lines_digest
+from .lm_scoring import lm_scores
 from .near_dedup import near_duplicates
 from .neighbours import nearest
 from .packing import pack
@@ -50,6 +51,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_digest(dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scan": op6_secret_scan,
     "op7_near_dedup": op7_near_dedup,
     "op8_quality": op8_quality,
+    "op9_lm_scores": op9_lm_scores,
     "op10_line_dedup": op10_line_dedup,
 }
 
