@@ -165,10 +165,10 @@ def benchmark_hits(
     ).withColumn("contaminated", F.col("n_hit") > 0).drop(*of)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **kind) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **kind) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window; the columns stay as they are."""
-    hits = benchmark_hits(docs.withColumn("__text", F.col(kind.pop("text", "text"))), benchmark, text="__text", with_spans=False, **kind)
-    return hits.where(~F.col("contaminated")).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("text"))  # no column of a document meets one of a hit
+    return benchmark_hits(rows, benchmark, with_spans=False, **kind).where(~F.col("contaminated")).select("__row.*")
 
 
 def hits_digest(hits: DataFrame, doc_id: str = "doc_id") -> DataFrame:

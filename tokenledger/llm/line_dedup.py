@@ -191,13 +191,17 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
 def lines_deduped(docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, texts without later copies and n_chars, if it is there, to match; a
     document of which nothing is left goes."""
-    plain = docs.select(*[F.col(c).alias(f"__{c}") if c in ("n_lines", "n_removed", "removed", "gone") else c for c in docs.columns])
-    out = dedup_lines(plain)
+    out = dedup_lines(docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("__row"), "doc_id", "text"))
     out = out.where((F.col("n_removed") == 0) | (F.trim(F.translate("text", "\n\t\r", "   ")) != ""))
-    size = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    return out.select(
-        *[size.alias(c) if c == "n_chars" else F.col(f"__{c}").alias(c) if f"__{c}" in plain.columns else F.col(c) for c in docs.columns]
-    )
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col("text")
+        if c == "n_chars":
+            return F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col("__row.n_chars")).alias(c)
+        return F.col(f"__row.{c}")
+
+    return out.select(*[column(c) for c in docs.columns])
 
 
 def lines_digest(out: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -233,5 +233,5 @@ def held_out(doc_id: str = "doc_id"):
 
 def good_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that the classifier rejects; the columns stay as they are."""
-    scored = quality_scores(docs.withColumn("__text", F.col("text")), fit_quality(docs, labels), text="__text")
-    return scored.where(F.col("predicted") == 1).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "text")  # no column of a document meets one of a score
+    return quality_scores(rows, fit_quality(docs, labels)).where(F.col("predicted") == 1).select("__row.*")
