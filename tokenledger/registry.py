@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import breakdowns
+from .plans import breakdowns, sessions
 
-QUERIES = {**breakdowns.Q}
-ORACLES = {**breakdowns.SQL}
+QUERIES = {**breakdowns.Q, **sessions.Q}
+ORACLES = {**breakdowns.SQL, **sessions.SQL}
