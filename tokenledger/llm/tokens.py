@@ -3,10 +3,12 @@ unit encoded once in a batch and remembered in a bounded memo."""
 
 from __future__ import annotations
 
+import array
 import functools
 import itertools
 import os
 import re
+import sys
 
 #: Entries of each of a worker's two memos; one starts anew beyond that.
 MEMO_UNITS = 500_000
@@ -36,8 +38,8 @@ def vocabulary_path(name_or_path: str) -> str:
     return public_tokenizers.path(name_or_path)
 
 
-#: What the plain encoding leaves to the other: characters beyond Latin, words of great length.
-_BEYOND = re.compile(r"[^\x00-\u024f]|\S{2000}")
+#: What the plain encoding leaves to the other: bytes that begin characters beyond Latin, words of great length.
+BEYOND, WORD_BYTES = 0xC9, 2000
 PLAIN_CHARS = 1 << 16
 
 
@@ -107,16 +109,22 @@ class Units:
     def _plain_ids(self, text: str) -> bytes | None:
         """Of a text of Latin letters and signs alone, without special strings or very long words: there both
         libraries read the pattern alike, whatever Unicode tables they have."""
-        if _BEYOND.search(text) or any(s in text for s in self.specials):
+        import numpy as np
+
+        data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+        if not len(data):
+            return b""
+        gaps = np.diff(np.flatnonzero(data <= 32), prepend=-1, append=len(data))
+        if data.max() >= BEYOND or gaps.max() > WORD_BYTES or any(s in text for s in self.specials):
             return None
         at, out = 0, []
         while len(text) - at > PLAIN_CHARS:  # long texts in parts
             cut = _SAFE.search(text, at + PLAIN_CHARS)
             if not cut:
                 break
-            out.append(self.plain.encode_to_numpy(text[at : cut.start()], disallowed_special=()).astype("<u4").tobytes())
+            out.append(_packed(self.plain.encode_ordinary(text[at : cut.start()])))
             at = cut.start()
-        out.append(self.plain.encode_to_numpy(text[at:] if at else text, disallowed_special=()).astype("<u4").tobytes())
+        out.append(_packed(self.plain.encode_ordinary(text[at:] if at else text)))
         return b"".join(out)
 
     def _by_units(self, texts: list[str]) -> list[bytes]:
@@ -153,6 +161,13 @@ class Units:
         return out
 
 
+def _packed(ids: list[int]) -> bytes:
+    out = array.array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 @functools.lru_cache(maxsize=4)
 def units(path: str) -> Units:
     """One per Python worker and vocabulary."""
