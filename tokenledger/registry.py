@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import breakdowns, sessions
+from .plans import breakdowns, feeds, sessions, upkeep
 
-QUERIES = {**breakdowns.Q, **sessions.Q}
-ORACLES = {**breakdowns.SQL, **sessions.SQL}
+QUERIES = {**breakdowns.Q, **sessions.Q, **upkeep.Q, **feeds.Q}
+ORACLES = {**breakdowns.SQL, **sessions.SQL, **upkeep.SQL, **feeds.SQL}
