@@ -101,16 +101,13 @@ def _trimmed(line: Column) -> Column:
 
 
 def line_runs(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
-    """One row for each shortest run: ord, key (of the document), at (index among all its lines, both ends), a, b."""
-    raw = F.split(F.col(text), "\n", -1)
-    numbered = F.filter(F.transform(raw, lambda x, i: F.struct(_trimmed(x).alias("t"), i.alias("i"))), lambda x: x["t"] != "")
+    """One row for each shortest run: ord, id, key (of the document), lo and hi (both ends, among its lines that are not blank), a, b."""
     lines = F.transform(
-        numbered,
+        F.filter(F.transform(F.split(F.col(text), "\n", -1), _trimmed), lambda x: x != ""),
         lambda x: F.struct(
-            x["i"].alias("i"),
             # words are parts between blanks
-            (F.length(x["t"]) - F.length(F.replace(x["t"], F.lit(" "), F.lit(""))) + 1).alias("w"),
-            _name(0, x["t"]).alias("n"),
+            (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w"),
+            _name(0, x).alias("n"),
         ),
     )
     keyed = docs.where(F.col(text).isNotNull()).select(
@@ -124,27 +121,27 @@ def line_runs(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFr
             "back", lambda r, i: F.when(r.isNotNull() & (r["l"] > 1), F.struct((n - i - r["l"]).alias("lo"), (n - i).alias("hi"), r["n"].alias("n")))
         ),
     )
-    rows = both.select("id", "key", "lines", F.explode(F.filter(made, lambda r: r.isNotNull())).alias("r"))
+    rows = both.select("id", "key", F.explode(F.filter(made, lambda r: r.isNotNull())).alias("r"))
     return rows.select(
         # one number that orders documents by id and then by hash; a null id is below all others
         (F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)")) * F.lit(2**60).cast("decimal(20,0)")
          + F.shiftrightunsigned("key", 4).cast("decimal(20,0)")).cast("decimal(38,0)").alias("ord"),
         "id",
         "key",
-        F.get(F.col("lines"), F.col("r.lo"))["i"].alias("lo"),
-        F.get(F.col("lines"), F.col("r.hi") - 1)["i"].alias("hi"),
+        F.col("r.lo").alias("lo"),
+        (F.col("r.hi") - 1).alias("hi"),
         F.col("r.n.a").alias("a"),
         F.col("r.n.b").alias("b"),
     )
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, key, gone): the sorted indexes of the lines that are later copies, for documents that have any."""
+    """(id, key, gone): for documents that have any, the lines that are later copies, by their sorted numbers among those that are not blank."""
     runs = written(line_runs(docs, doc_id, text, min_words), "line-runs")
     intervals = runs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("ord").alias("first")).where("n > 1").drop("n")
     copies = runs.join(intervals, ["a", "b"])
     by_doc = copies.groupBy("id", "key").agg(
-        F.array_sort(F.collect_list(F.struct("a", "b", "lo", "hi", (F.col("ord") > F.col("first")).alias("later")))).alias("runs")
+        F.array_sort(F.collect_set(F.struct("a", "b", "lo", "hi", (F.col("ord") > F.col("first")).alias("later")))).alias("runs")
     )
     # inside the first document only the first of equal runs stays; sorted, they stand side by side
     later = F.filter(
@@ -168,7 +165,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with n_lines, n_removed, removed (indexes of deleted lines) and text without them.
 
-    Blank lines inside a deleted run go with it.
+    A blank line goes if the lines before and behind it go.
     """
     gone = repeated_lines(docs, doc_id, text, min_words).select(F.col("id").alias("__id"), F.col("key").alias("__key"), "gone")
     keyed = docs.withColumn("__key", F.xxhash64(doc_id, text))
@@ -176,14 +173,25 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
         gone.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("__id")) & (keyed["__key"] == gone["__key"]) & F.col(text).isNotNull(), "left"
     ).drop(keyed["__key"]).drop(gone["__key"]).drop("__id")
     raw = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(raw, lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    full = F.filter(F.transform(raw, lambda x, i: F.when(_trimmed(x) != "", i)), lambda i: i.isNotNull())
+    at = lambda lines, k: F.get(lines, F.get(F.col("gone"), k))
+    joined = lambda k: F.get(F.col("gone"), k + 1) == F.get(F.col("gone"), k) + 1
+    spans = _let(
+        F.struct(full.alias("f")),
+        lambda v: F.transform("gone", lambda _, k: F.sequence(at(v["f"], k), F.when(joined(k), at(v["f"], k + 1) - 1).otherwise(at(v["f"], k)))),
+    )
     none = F.array().cast("array<int>")
+    met = met.withColumn("removed", F.when(F.col("gone").isNull(), none).otherwise(F.flatten(spans)))
+    # what stays, piece by piece: from behind a deleted line up to the next one
+    edges = F.concat(F.array(F.lit(-1)), F.col("removed"), F.array(F.size(raw)))
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.size("removed")), lambda k: F.slice(raw, F.get(edges, k) + 2, F.get(edges, k + 1) - F.get(edges, k) - 1)
+    )
     return met.withColumns(
         {
             "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(raw)).cast("long"),
-            "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
-            "removed": F.coalesce("gone", none),
-            text: F.when(F.col("gone").isNull(), F.col(text)).otherwise(kept),
+            "n_removed": F.size("removed").cast("long"),
+            text: F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(F.flatten(pieces), "\n")),
         }
     ).drop("gone")
 
@@ -225,7 +233,8 @@ g AS (SELECT y.doc_id, max(x.p) AS lo, y.p AS hi FROM s x JOIN s y ON x.doc_id =
 u AS (SELECT * FROM f UNION SELECT * FROM g),
 t AS (SELECT u.doc_id, u.lo, u.hi, string_agg(s.t, chr(10) ORDER BY s.p) AS t FROM u JOIN s ON s.doc_id = u.doc_id AND s.p BETWEEN u.lo AND u.hi GROUP BY ALL),
 o AS (SELECT doc_id, lo, hi, row_number() OVER (PARTITION BY t ORDER BY doc_id, lo) AS k FROM t),
-z AS (SELECT DISTINCT o.doc_id, r.i FROM o JOIN l a ON a.doc_id = o.doc_id AND a.p = o.lo JOIN l b ON b.doc_id = o.doc_id AND b.p = o.hi JOIN r ON r.doc_id = o.doc_id AND r.i BETWEEN a.i AND b.i WHERE k > 1),
+x AS (SELECT DISTINCT l.doc_id, l.p, l.i FROM o JOIN l ON l.doc_id = o.doc_id AND l.p BETWEEN o.lo AND o.hi WHERE k > 1),
+z AS (SELECT doc_id, i FROM x UNION SELECT r.doc_id, r.i FROM x a JOIN x b ON a.doc_id = b.doc_id AND b.p = a.p + 1 JOIN r ON r.doc_id = a.doc_id AND r.i > a.i AND r.i < b.i),
 q AS (SELECT doc_id, count(*) AS n, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS removed FROM z GROUP BY doc_id),
 v AS (SELECT r.doc_id, string_agg(d.raw[r.i + 1], chr(10) ORDER BY r.i) AS t FROM r JOIN d ON d.doc_id = r.doc_id LEFT JOIN z ON z.doc_id = r.doc_id AND z.i = r.i WHERE z.i IS NULL GROUP BY r.doc_id)
 SELECT d.doc_id, CAST(coalesce(len(raw), 0) AS BIGINT) AS n_lines, coalesce(n, 0) AS n_removed, coalesce(removed, '') AS removed, sha256(coalesce(v.t, '')) AS text_sha256

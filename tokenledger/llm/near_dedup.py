@@ -152,8 +152,9 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
                         k += 1
                     else:
                         rows.append((i, 0, None, None, None))
-                out = pd.DataFrame(rows, columns=["doc_id", "n", "cls", "sig", "bands"])
-                yield out.astype({"n": "int64", "cls": "Int64"})
+                ids, n, cls, sigs, buckets_ = zip(*rows)
+                # with nulls among them, whole numbers of 64 bits have to stay out of floats
+                yield pd.DataFrame({"doc_id": ids, "n": n, "cls": pd.array(cls, dtype="Int64"), "sig": sigs, "bands": buckets_})
 
     # ids travel as text: pandas would make floats of whole numbers with nulls
     rows = docs.select(F.col(doc_id).cast("string").alias("__id"), F.col(text).alias("__t"))

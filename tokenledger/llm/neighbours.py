@@ -174,6 +174,7 @@ def _nearest_of(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray,
     # equal vectors once: their smallest ids are the only ones that can be among the nearest
     _, first, inverse = np.unique(c.view(np.dtype((np.void, c.itemsize * c.shape[1]))).ravel(), return_index=True, return_inverse=True)
     by = np.argsort(inverse, kind="stable")
+    by = by[np.r_[True, (np.diff(inverse[by]) != 0) | (np.diff(cid[by]) != 0)]]  # repeated rows once
     starts = np.searchsorted(inverse[by], np.arange(len(first)))
     rank = np.arange(len(by)) - starts[inverse[by]]
     few = by[rank <= nearest]  # one more, as the query itself may be one
