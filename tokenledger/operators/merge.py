@@ -28,14 +28,15 @@ def merged(stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     costs become those of the larger output. Rows of a known id are not taken again."""
     fresh = batch.join(stored.select("id"), "id", "left_anti")
     by = ["request_id", "session_id"]
+    following = [c for c in ("output_tokens", "cost_cents_ingested", "cost_cents_effective") if c in stored.columns]
     known = stored.where("request_id IS NOT NULL AND session_id IS NOT NULL").groupBy(*by).agg(F.min("id").alias("__old"))
     met = fresh.join(known, by, "left")
     best = met.where("__old IS NOT NULL").groupBy(F.col("__old").alias("id")).agg(
-        F.max_by(F.struct("output_tokens", "cost_cents_ingested", "cost_cents_effective"), "output_tokens").alias("__new")
+        F.max_by(F.struct(*following), "output_tokens").alias("__new")
     )
     larger = F.col("__new.output_tokens") > F.col("output_tokens")
     kept = stored.join(best, "id", "left")
-    changed = {c: F.when(larger, F.col(f"__new.{c}")).otherwise(F.col(c)) for c in ("output_tokens", "cost_cents_ingested", "cost_cents_effective")}
+    changed = {c: F.when(larger, F.col(f"__new.{c}")).otherwise(F.col(c)) for c in following}
     rows = kept.withColumns(changed).select(*stored.columns).unionByName(met.where("__old IS NULL").select(*stored.columns))
     return rows, met.select("id", F.coalesce("__old", "id").alias("survivor"))
 
