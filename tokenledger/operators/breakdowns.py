@@ -293,13 +293,12 @@ def page(breakdown: DataFrame, key: str, limit: int = 30) -> DataFrame:
     The top rows come from a bounded sort; totals are partial sums, so nothing is ranked whole."""
     cents = F.col("cost_cents").cast(MONEY)
     rows = breakdown.select(F.col(key).alias("label"), "message_count", cents.alias("c"))
-    total = rows.agg(F.coalesce(F.sum("c"), F.lit(0).cast(MONEY)).cast(MONEY).alias("t"), F.coalesce(F.sum("message_count"), F.lit(0)).alias("tm"))
+    total = rows.agg(F.coalesce(F.sum("c"), F.lit(0).cast(MONEY)).cast(MONEY).alias("t"), F.coalesce(F.sum("message_count"), F.lit(0)).alias("tm"), F.count("*").alias("all"))
     top = rows.orderBy(F.desc("c"), "label")
     top = top.limit(limit) if limit else top
     kept = top.agg(F.coalesce(F.sum("c"), F.lit(0).cast(MONEY)).cast(MONEY).alias("k"), F.coalesce(F.sum("message_count"), F.lit(0)).alias("km"), F.count("*").alias("n"))
-    count = rows.agg(F.count("*").alias("all"))
     rest = (
-        total.join(F.broadcast(kept), F.lit(True)).join(F.broadcast(count), F.lit(True)).where("all > n")  # one row each
+        total.join(F.broadcast(kept), F.lit(True)).where("all > n")  # one row each
         .select(F.lit(OTHER).alias("label"), (F.col("tm") - F.col("km")).alias("message_count"), (F.col("t") - F.col("k")).cast(MONEY).alias("c"))
     )
     both = top.unionByName(rest).join(F.broadcast(total), F.lit(True))
