@@ -86,7 +86,7 @@ def ingest(spark, tmp, files):
 
 def test_one_batch_and_many_give_the_same_table(spark, tmp_path):
     lines = [line(k, f"s{k % 3}", at=f"2024-01-0{1 + k % 4}T0{k % 9}:00:00Z") for k in range(20)]
-    lines += [line(50, "s1", 7, "r1", "2024-01-02T01:00:00Z"), line(3, "s0")]  # a larger output of a known request; a known id
+    lines += [line(50, "s1", 7, "r1", "2024-01-02T01:00:00Z"), line(3, "s0", at="2024-01-04T03:00:00Z")]  # a larger output of a known request; a known id
     one, many = ingest(spark, tmp_path / "one", [lines]), ingest(spark, tmp_path / "many", [lines[k : k + 5] for k in range(0, len(lines), 5)])
     assert [r[0] for r in one] and {r[1] for r in many if r[0] == "u1"} == {7}
     assert len(many) == 20 and sum(r[1] for r in one) == sum(r[1] for r in many)
