@@ -114,6 +114,7 @@ def test_live_rollup_equals_batch(spark, tmp_path):
 
 def test_context_is_carried_across_batches(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # state with a time to live asks for batches without data, for ever
     schema = "id string, session_id string, timestamp timestamp, git_branch string, repo_id string, cwd string"
     batches = [[("a", "s", datetime(2024, 1, 1), "b1", None, "/w")], [("b", "s", datetime(2024, 1, 2), None, "r", ""), ("c", "t", datetime(2024, 1, 2), None, None, None)], [("d", "s", datetime(2024, 1, 3), None, None, None)]]
     got = {}
@@ -122,4 +123,5 @@ def test_context_is_carried_across_batches(spark, tmp_path):
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
         q = w.carried_across_batches(stream).writeStream.foreachBatch(lambda df, _: got.update({r.id: (r.git_branch, r.repo_id, r.cwd) for r in df.collect()})).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
         q.awaitTermination(120)
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     assert got == {"a": ("b1", None, "/w"), "b": ("b1", "r", ""), "c": (None, None, None), "d": ("b1", "r", "/w")}

@@ -110,6 +110,7 @@ class CarriedContext(StatefulProcessor):
 def carried_across_batches(messages: DataFrame) -> DataFrame:
     """A stream of (id, session_id, timestamp, git_branch, repo_id, cwd) with nulls filled from the session's past batches too.
 
-    Needs the RocksDB state store provider."""
+    Needs the RocksDB state store provider; catch-up runs (availableNow) also spark.sql.streaming.noDataMicroBatches.enabled=false,
+    since state with a time to live keeps asking for batches without data."""
     rows = messages.select(*[x.split()[0] for x in CARRIED.split(", ")]).where("session_id IS NOT NULL")
     return rows.groupBy("session_id").transformWithStateInPandas(CarriedContext(), outputStructType=CARRIED, outputMode="Append", timeMode="ProcessingTime")
