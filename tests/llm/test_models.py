@@ -110,3 +110,25 @@ def test_empty_corpus(spark):
     assert lm_scores(frame(spark, [])).count() == 0
     one = lm_scores(frame(spark, [(1, None)])).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in one] == [(1, 1, 1)]
+
+
+def test_fit_takes_every_training_window_in_two_rounds(spark):
+    import numpy as np
+
+    from tokenledger.llm.lm_scoring import VOCABULARY, Model, _beside_counts, _class_steps, chunks, fit, gathered, trained
+    from tokenledger.llm.shared import written
+    from tokenledger.llm.tokens import units, vocabulary_path
+
+    rng = random.Random(4)
+    docs = frame(spark, [(i, sentence(rng, 150)) for i in range(80)]).coalesce(1)
+    size = units(vocabulary_path(VOCABULARY)).tok.get_vocab_size()
+    table = written(gathered(docs, "doc_id", "text", VOCABULARY), "gathered")
+    train = table.where("kind = 0 AND train").select("ids").coalesce(1)
+    want = Model(_beside_counts(table, size))
+    want.after = _class_steps(train, want, size - 1)
+    windows = chunks([np.frombuffer(r.ids, np.uint16) for r in train.collect()], size - 1)[:3]
+    for _ in range(2):
+        want.p = trained(want, *windows)
+    got = fit(table.coalesce(1), size)
+    assert got.p["w"].shape[1] == 128
+    assert all(np.allclose(got.p[k], want.p[k], atol=2e-3) for k in want.p)
