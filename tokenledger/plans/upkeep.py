@@ -175,6 +175,34 @@ query(
 FROM (SELECT id, epoch_us(timestamp) // 1000 AS t FROM base WHERE session_id IS NULL) p JOIN (SELECT id AS session_id, epoch_us(started_at) // 1000 AS a, epoch_us(ended_at) // 1000 AS b FROM sess WHERE id LIKE 's1%') w ON p.t BETWEEN w.a - 5000 AND w.b + 5000 GROUP BY 1""",
     _SESS,
 )(lambda s, d: m.in_interval(a.raw_messages(s, d).where("session_id IS NULL").select("id", F.floor(F.unix_micros(F.col("timestamp").cast("timestamp")) / 1000).alias("at_ms")), _windows(s, d)))
+
+
+def _merge_all(s, d):
+    rows = a.messages(s, d).where("role = 'assistant'")
+    first = "CAST(substring(id, 2) AS BIGINT) % 3 = 0"
+    return m.merged(rows.where(first), rows.where(f"NOT ({first})"))[0].select("id", "output_tokens", "cost_cents_effective")
+
+
+# the whole jobs of d02 and j03: every row, and every session's window
+query(
+    "d02_merged_all",
+    f"""SELECT s.id, greatest(s.output_tokens, coalesce(b.o, 0)) AS output_tokens, CASE WHEN b.o > s.output_tokens THEN b.c ELSE s.cost_cents_effective END AS cost_cents_effective FROM st s LEFT JOIN ba b ON b.request_id = s.request_id AND b.session_id = s.session_id
+UNION ALL SELECT id, output_tokens, cost_cents_effective FROM asst WHERE {_E} <> 0 AND NOT EXISTS (SELECT 1 FROM st WHERE st.request_id = asst.request_id AND st.session_id = asst.session_id)""",
+    ("st", f"SELECT * FROM asst WHERE {_E} = 0"), ("ba", f"SELECT request_id, session_id, output_tokens AS o, cost_cents_effective AS c FROM (SELECT *, row_number() OVER (PARTITION BY request_id, session_id ORDER BY output_tokens DESC, id) AS k FROM asst WHERE {_E} <> 0) WHERE k = 1"),
+)(_merge_all)
+
+
+def _all_windows(s, d):
+    ms = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / 1000)
+    return r.sessions(a.messages(s, d)).select(F.col("id").alias("session_id"), ms("started_at").alias("start_ms"), ms("ended_at").alias("end_ms"))
+
+
+query(
+    "j03_all_sessions_by_time",
+    """SELECT p.id, arg_min(w.session_id, {'a': CASE WHEN p.t BETWEEN w.a AND w.b THEN 0 ELSE 1 END, 'b': CASE WHEN p.t BETWEEN w.a AND w.b THEN p.t - w.a ELSE least(abs(p.t - w.a), abs(p.t - w.b)) END, 'c': -w.a, 'd': w.session_id}) AS session_id
+FROM (SELECT id, epoch_us(timestamp) // 1000 AS t FROM base WHERE session_id IS NULL) p JOIN (SELECT id AS session_id, epoch_us(started_at) // 1000 AS a, epoch_us(ended_at) // 1000 AS b FROM sess) w ON p.t BETWEEN w.a - 5000 AND w.b + 5000 GROUP BY 1""",
+    _SESS,
+)(lambda s, d: m.in_interval(a.raw_messages(s, d).where("session_id IS NULL").select("id", F.floor(F.unix_micros(F.col("timestamp").cast("timestamp")) / 1000).alias("at_ms")), _all_windows(s, d)))
 query(
     "d05_repaired_branches",
     """SELECT b.id, coalesce(nullif(b.git_branch, ''), nullif(s.git_branch, ''), o.g) AS git_branch FROM base b LEFT JOIN sess s ON s.id = b.session_id LEFT JOIN (SELECT session_id, arg_min(git_branch, {'t': timestamp, 'i': id}) AS g FROM base WHERE git_branch <> '' AND session_id IS NOT NULL GROUP BY 1) o ON o.session_id = b.session_id""",
