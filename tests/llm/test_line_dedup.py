@@ -57,3 +57,11 @@ def test_repeated_rows_and_clashes(spark):
     out = {(r.doc_id, r.text): r.n_chars for r in lines_deduped(docs).collect()}
     assert (2, long) not in out and out[(3, "a\nb")] == 3
     assert lines_deduped(docs.where("false")).count() == 0
+
+
+def test_runs_of_blanks_are_no_words(spark):
+    padded, tabs = "name" + " " * 60 + "value", "a" + "\t" * 80 + "b"
+    many = "   ".join(f"w{k}" for k in range(50))
+    texts = [f"{padded}\n{tabs}", f"{padded}\n{tabs}", many, many, f"{padded}\n{many}", f"{padded}\n" + " ".join(["x"] * 48)] + [f"{padded}\n" + " ".join(["x"] * 48)]
+    got = {r.doc_id: list(r.removed) for r in dedup_lines(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: [], 1: [], 2: [], 3: [0], 4: [1], 5: [], 6: [0, 1]}

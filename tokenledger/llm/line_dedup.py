@@ -100,13 +100,17 @@ def _trimmed(line: Column) -> Column:
     return F.trim(F.translate(line, "\t\r\x0b\x0c", "    "))
 
 
+def _single(line: Column) -> Column:
+    """The line with one blank between words: words are the parts that are not empty."""
+    return F.when(F.contains(line, F.lit("  ")), F.regexp_replace(line, " +", " ")).otherwise(line)
+
+
 def line_runs(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
     """One row for each shortest run: ord, id, key (of the document), lo and hi (both ends, among its lines that are not blank), a, b."""
     lines = F.transform(
         F.filter(F.transform(F.split(F.col(text), "\n", -1), _trimmed), lambda x: x != ""),
         lambda x: F.struct(
-            # words are parts between blanks
-            (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w"),
+            (F.length(_single(x)) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w"),
             _name(0, x).alias("n"),
         ),
     )
