@@ -5,6 +5,7 @@ import pytest
 from helpers import ODD, frame, sentence
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tokenledger.llm import near_dedup as nd
 from tokenledger.llm.near_dedup import components, near_duplicates, one_of_each
@@ -72,6 +73,46 @@ def test_odd_rows(spark):
     assert near_duplicates(docs.where("false")).count() == 0
 
 
+def test_rows_of_one_id_with_other_texts_are_documents_of_their_own(spark):
+    twin, other = "one two three four five six seven", "a text that nobody else has at all"
+    docs = frame(spark, [(3, twin), (7, other), (7, twin), (8, "w " * 20), (8, None)])
+    assert sorted((r.doc_id, r.text) for r in one_of_each(docs).where("text IS NOT NULL").collect()) == [(3, twin), (7, other), (8, "w " * 20)]
+    assert one_of_each(docs).count() == 4
+
+
+def test_ids_of_text(spark):
+    docs = frame(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, "x y z")]).withColumn("doc_id", F.concat(F.lit("d-"), "doc_id"))
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs).collect()) == [("d-1", "d-1", True), ("d-2", "d-1", False), ("d-3", "d-3", True)]
+    assert one_of_each(docs).count() == 2
+
+
+def test_many_different_near_copies_write_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK_CLASSES", 128)
+    rows_written = {}
+
+    def counted(df, name, own=nd.written):
+        out = own(df, name)
+        rows_written[name] = max(rows_written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(nd, "written", counted)
+    rng = random.Random(12)
+    text = sentence(rng, 300).split()
+    rows = [(i, " ".join([*text[: i % 300], f"e{i}", *text[i % 300 + 1 :]])) for i in range(1500)]
+    got = near_duplicates(frame(spark, rows), size=2).collect()
+    assert {r.component_id for r in got} == {0}
+    # a job passes on each of its classes once, and fewer links than classes; all pairs would be 1.1 million
+    assert rows_written["links"] <= rows_written["likely"] <= 1500 * nd.BANDS * 2
+
+
+def test_a_very_long_text_and_an_empty_table(spark):
+    rng = random.Random(3)
+    long = sentence(rng, 200_000, 50_000)
+    out = near_duplicates(frame(spark, [(1, long), (2, long + " end"), (3, "short one")]))
+    assert sorted((r.doc_id, r.component_id) for r in out.collect()) == [(1, 1), (2, 1), (3, 3)]
+    assert one_of_each(frame(spark, [])).count() == 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sets(st.integers(0, 60), min_size=1), st.sets(st.integers(0, 60), min_size=1))
 def test_estimates_follow_similarity(a, b):

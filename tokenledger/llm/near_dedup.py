@@ -1,21 +1,27 @@
 """Operator 7: MinHash near-dedup with b-bit signatures.
 
-A document's set is its distinct word shingles, as 64-bit hashes. Documents of equal sets form a
-class; only classes go on. Each class has ``BANDS * ROWS`` minima; a band's minima, hashed, are a
-bucket, and the low ``BITS`` bits of all minima, packed, are the signature. At a similarity of 0.8
-two classes share no bucket with a probability of 3e-6.
+A document's set is its distinct word shingles, as 64-bit hashes. Documents of equal sets (told by a
+128-bit digest of the full set) form a class; only classes go on. Each class has ``BANDS * ROWS``
+minima; a band's minima, hashed, are a bucket, and the low ``BITS`` bits of all minima, packed, are
+the signature. At a similarity of 0.8 two classes share no bucket with a probability of 3e-6.
 
 Candidates are the pairs inside a bucket. They are never written as pairs: a bucket is dealt to
 blocks, a task compares two blocks by signature (equal groups of bits counted, corrected for the
-2^-BITS chance of equal bits) and passes on, per class, the list of its likely partners. A pair
-is taken up only in the first band it shares. Then the full sets of the classes that have partners
-meet, block by block, and the similarity is confirmed exactly; partners that confirmed links have
-already joined inside the task are skipped, so a group of n near copies gives about n links.
-Components come from alternating large-star and small-star steps over the links.
+2^-BITS chance of equal bits) and passes on the classes that have a likely partner, once each. Then
+the full sets of these classes meet in the same blocks, the likely pairs are found again, and their
+similarity is confirmed exactly; pairs that confirmed links have already joined inside the task are
+skipped, so a group of n near copies gives about n links. A pair is taken up only in the first band
+it shares. Components come from alternating large-star and small-star steps over the links.
+
+Keys that many rows have (a bucket, a class of copies, the hub of a star) meet their one row by
+broadcast, see ``join_hot``.
 
 Defined results: rows are documents; a row without words has no class, links with nothing and is
 its own component; a null id belongs to no component (component_id null, kept true); repeated rows
-of an id have equal results, and all are kept if one is; extra columns are kept.
+of an id have equal results, and all are kept if one is; rows of one id with other texts are
+documents of their own, whose component_id is the smallest id of their own group; ids of any type
+that has an order and reads back from its text; an empty table gives an empty result.
+``near_duplicates`` returns results alone, ``one_of_each`` all columns of its input.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import CHUNK_BYTES, LOWER, byte_runs, written
+from .shared import CHUNK_BYTES, LOWER, byte_runs, few, join_hot, sizes, written
 
 ROWS, BANDS, BITS = 6, 42, 2
 MINIMA = 256
@@ -38,7 +44,8 @@ SLACK = 0.16
 BLOCK_CLASSES, BLOCK_SHINGLES = 256, 1 << 20
 MEMO_WORDS = 500_000
 
-_MEMBER = "doc_id string, n long, cls long, sig binary, bands array<long>"
+_MEMBER = "doc_id string, key long, n long, cls binary, sig binary, bands array<long>"
+_JOB = ["bucket", "lo", "hi"]
 
 
 class Shingles:
@@ -81,11 +88,11 @@ def _worker_shingles() -> Shingles:
     return _SHINGLES
 
 
-def set_class(s: np.ndarray) -> int:
-    """One number for equal sets."""
+def set_class(s: np.ndarray) -> bytes:
+    """One digest for equal sets."""
     import hashlib
 
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def minima(sets: list[np.ndarray]) -> np.ndarray:
@@ -134,31 +141,29 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n, and for documents with words cls, sig, bands."""
+    """One row per row of ``docs``: doc_id, key (of the text), n, and for documents with words cls, sig, bands."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = _worker_shingles()
         for batch in batches:
             texts = list(batch["__t"])
-            for lo, hi in byte_runs([len(t or "") for t in texts], CHUNK_BYTES):
+            for lo, hi in byte_runs(sizes(texts), CHUNK_BYTES):
                 sets = [shingles.of(t, size) for t in texts[lo:hi]]
                 some = [s for s in sets if len(s)]
                 m = minima(some)
                 sig, bands = packed(m), buckets(m)
                 rows, k = [], 0
-                for i, s in zip(batch["__id"].iloc[lo:hi], sets):
+                for i, key, s in zip(batch["__id"].iloc[lo:hi], batch["__k"].iloc[lo:hi], sets):
                     if len(s):
-                        rows.append((i, len(s), set_class(s), sig[k].tobytes(), bands[k].view(np.int64)))
+                        rows.append((i, key, len(s), set_class(s), sig[k].tobytes(), bands[k].view(np.int64)))
                         k += 1
                     else:
-                        rows.append((i, 0, None, None, None))
-                ids, n, cls, sigs, buckets_ = zip(*rows)
-                # with nulls among them, whole numbers of 64 bits have to stay out of floats
-                yield pd.DataFrame({"doc_id": ids, "n": n, "cls": pd.array(cls, dtype="Int64"), "sig": sigs, "bands": buckets_})
+                        rows.append((i, key, 0, None, None, None))
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in _MEMBER.split(", ")])
 
     # ids travel as text: pandas would make floats of whole numbers with nulls
-    rows = docs.select(F.col(doc_id).cast("string").alias("__id"), F.col(text).alias("__t"))
-    return rows.mapInPandas(made, _MEMBER).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = docs.select(F.col(doc_id).cast("string").alias("__id"), F.xxhash64(text).alias("__k"), F.col(text).alias("__t"))
+    return rows.mapInPandas(made, _MEMBER).withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))
 
 
 def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -182,151 +187,144 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
         yield pd.concat(held, ignore_index=True)
 
 
+def _pairs(b: pd.DataFrame, floor: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of likely similar classes of each job, ``b`` being sorted by job; a pair only in the first band it shares."""
+    key = b[_JOB].to_numpy()
+    group = np.cumsum(np.r_[False, (key[1:] != key[:-1]).any(axis=1)])
+    sig = np.frombuffer(b"".join(b["sig"]), np.uint64).reshape(len(b), -1)
+    marks = np.stack(b["marks"].to_list())
+    band, block = b["band"].to_numpy(), b["block"].to_numpy()
+    across = key[:, 1] != key[:, 2]
+    end = np.searchsorted(group, group, side="right")
+    at = np.arange(len(b))
+    d, live = 1, at[at + 1 < end]
+    while len(live):
+        u, v = live, live + d
+        ok = ~across[u] | (block[u] != block[v])
+        u, v = u[ok], v[ok]
+        for lo in range(0, len(u), 1 << 16):
+            x, y = u[lo : lo + (1 << 16)], v[lo : lo + (1 << 16)]
+            near = estimate(sig[x], sig[y]) >= floor
+            x, y = x[near], y[near]
+            first = (marks[x] == marks[y]).argmax(axis=1) == band[x]
+            if first.any():
+                yield x[first], y[first]
+        d += 1
+        live = live[live + d < end[live]]
+
+
 def _likely(floor: float):
-    """Per job and class, the classes behind it that it is likely similar to."""
+    """Per job, the classes that are likely similar to another one of it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in _groups(batches, ["bucket", "lo", "hi"]):
-            key = b[["bucket", "lo", "hi"]].to_numpy()
-            group = np.cumsum(np.r_[False, (key[1:] != key[:-1]).any(axis=1)])
-            sig = np.frombuffer(b"".join(b["sig"]), np.uint64).reshape(len(b), -1)
-            bands = np.stack(b["bands"].to_list())
-            band, block, cls = b["band"].to_numpy(), b["block"].to_numpy(), b["cls"].to_numpy()
-            across = key[:, 1] != key[:, 2]
-            end = np.searchsorted(group, group, side="right")
-            at = np.arange(len(b))
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            d, live = 1, at[at + 1 < end]
-            while len(live):
-                u, v = live, live + d
-                ok = ~across[u] | (block[u] != block[v])
-                u, v = u[ok], v[ok]
-                for lo in range(0, len(u), 1 << 16):
-                    x, y = u[lo : lo + (1 << 16)], v[lo : lo + (1 << 16)]
-                    near = estimate(sig[x], sig[y]) >= floor
-                    x, y = x[near], y[near]
-                    first = (bands[x] == bands[y]).argmax(axis=1) == band[x]
-                    if first.any():
-                        found.append((x[first], y[first]))
-                d += 1
-                live = live[live + d < end[live]]
-            if not found:
-                continue
-            u, v = (np.concatenate(x) for x in zip(*found))
-            order = np.argsort(u, kind="stable")
-            u, v = u[order], v[order]
-            rows = np.unique(np.concatenate([u, v]))
-            starts, ends = np.searchsorted(u, rows), np.searchsorted(u, rows, side="right")
-            out = b.iloc[rows][["bucket", "lo", "hi", "cls"]].copy()
-            out["partners"] = [cls[v[s:e]].tobytes() for s, e in zip(starts, ends)]
-            yield out
+        for b in _groups(batches, _JOB):
+            some = np.zeros(len(b), bool)
+            for x, y in _pairs(b, floor):
+                some[x] = some[y] = True
+            if some.any():
+                yield b.loc[some, [*_JOB, "block", "band", "cls"]]
 
     return run
 
 
-def _confirmed(similarity: float):
+def _confirmed(similarity: float, floor: float):
     """Links among the classes of a job that hold on the full sets; none between classes already joined."""
     percent = round(similarity * 100)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in _groups(batches, ["bucket", "lo", "hi"]):
-            key = b[["bucket", "lo", "hi"]].to_numpy()
-            cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1), True])
+        for b in _groups(batches, _JOB):
+            sets = [np.frombuffer(x, np.uint64) for x in b["shingles"]]
+            size = np.array([len(s) for s in sets])
+            root = np.arange(len(b))
             links = []
-            for s, e in zip(cuts, cuts[1:]):
-                sets = {c: np.frombuffer(x, np.uint64) for c, x in zip(b["cls"].iloc[s:e], b["shingles"].iloc[s:e])}
-                root = {c: c for c in sets}
-
-                def find(c):
-                    while root[c] != c:
-                        root[c] = c = root[root[c]]
-                    return c
-
-                for u, partners in zip(b["cls"].iloc[s:e], b["partners"].iloc[s:e]):
-                    a = sets[u]
-                    for v in np.frombuffer(partners, np.int64).tolist():
-                        ru, rv = find(u), find(v)
-                        if ru == rv:
-                            continue
-                        c = sets[v]
-                        short, long = sorted((len(a), len(c)))
-                        if 100 * short < percent * long:
-                            continue
-                        both = len(np.intersect1d(a, c, assume_unique=True))
-                        if 100 * both >= percent * (short + long - both):
-                            root[ru] = rv
-                            links.append((u, v))
+            for x, y in _pairs(b, floor):
+                short, long = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+                open_ = (root[x] != root[y]) & (100 * short >= percent * long)
+                for u, v in zip(x[open_].tolist(), y[open_].tolist()):
+                    if root[u] == root[v]:
+                        continue
+                    both = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[u]) + len(sets[v]) - both):
+                        root[root == root[u]] = root[v]
+                        links.append((u, v))
             if links:
-                yield pd.DataFrame(links, columns=["u", "v"])
+                u, v = (list(k) for k in zip(*links))
+                rep, cls = b["rep"].to_numpy(), b["cls"].to_numpy()
+                yield pd.DataFrame({"ur": rep[u], "u": cls[u], "vr": rep[v], "v": cls[v]})
 
     return run
 
 
 def confirmed_links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, size: int, similarity: float) -> DataFrame:
-    """(u, v) of classes: links on full sets that join the same classes as all links do."""
-    spark = docs.sparkSession
+    """(u, v) of classes, each as (smallest id, class): links on full sets that join the same classes as all links do."""
     each = classes.select("cls", "n", F.posexplode("bands").alias("band", "bucket"))
-    several = each.groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles")).where("classes > 1")
+    several = written(
+        each.groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles")).where("classes > 1"), "buckets"
+    )
     blocks = F.greatest(F.ceil(F.col("classes") / BLOCK_CLASSES), F.least(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.col("classes"))).cast("int")
     placed = (
-        each.join(several, "bucket")
+        join_hot(each.select("cls", "band", "bucket"), several, ["bucket"], "classes", BANDS * classes.count())
         .withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("bucket", "band", "cls", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     )
-    jobs = ["bucket", "lo", "hi"]
+    # 31 bits of each bucket tell the bands that two classes share
+    marks = F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("marks")
+    floor = similarity - SLACK
     likely = written(
-        placed.join(classes.select("cls", "sig", "bands"), "cls")
-        .repartition(*jobs)
-        .sortWithinPartitions(*jobs, "cls")
-        .mapInPandas(_likely(similarity - SLACK), "bucket long, lo int, hi int, cls long, partners binary"),
+        placed.join(classes.select("cls", "sig", marks), "cls")
+        .repartition(*_JOB)
+        .sortWithinPartitions(*_JOB, "cls")
+        .mapInPandas(_likely(floor), "bucket long, lo int, hi int, block int, band int, cls binary"),
         "likely",
     )
     # the full sets of the classes in question, from one document each
-    asked = likely.select("cls").distinct().join(classes.select("cls", "rep"), "cls").select("cls", F.col("rep").alias("__rep"))
+    asked = written(likely.select("cls").distinct().join(classes.select("cls", "rep"), "cls"), "asked")
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = _worker_shingles()
         for batch in batches:
-            for lo, hi in byte_runs([len(t or "") for t in batch["__t"]], CHUNK_BYTES):
+            for lo, hi in byte_runs(sizes(batch["__t"]), CHUNK_BYTES):
                 part = batch.iloc[lo:hi]
                 sets = [shingles.of(t, size) for t in part["__t"]]
-                same = [len(s) > 0 and set_class(s) == c for s, c in zip(sets, part["cls"])]
-                yield pd.DataFrame(
-                    {"cls": part["cls"][same], "shingles": [s.tobytes() for s, ok in zip(sets, same) if ok]}
-                )
+                same = [len(s) > 0 and set_class(s) == bytes(c) for s, c in zip(sets, part["cls"])]
+                out = part.loc[same, ["cls", "rep"]]
+                out["shingles"] = [s.tobytes() for s, ok in zip(sets, same) if ok]
+                yield out
 
-    texts = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__t"))
+    texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t"))
     sets = (
-        texts.join(asked.hint("shuffle_hash"), texts["__id"] == asked["__rep"])
-        .select("cls", "__t")
-        .mapInPandas(full, "cls long, shingles binary")
+        texts.join(few(asked), texts["__id"] == asked["rep"])
+        .select("cls", F.col("rep").cast("string").alias("rep"), "__t")
+        .mapInPandas(full, "cls binary, rep string, shingles binary")
         .dropDuplicates(["cls"])  # an id of several rows
+        .join(classes.select("cls", "sig", marks), "cls")
     )
-    return written(
+    found = (
         likely.join(sets, "cls")
-        .repartition(*jobs)
-        .sortWithinPartitions(*jobs, "cls")
-        .mapInPandas(_confirmed(similarity), "u long, v long"),
-        "links",
+        .repartition(*_JOB)
+        .sortWithinPartitions(*_JOB, "cls")
+        .mapInPandas(_confirmed(similarity, floor), "ur string, u binary, vr string, v binary")
     )
+    node = lambda r, c: F.struct(F.col(r).cast(docs.schema[doc_id].dataType).alias("rep"), F.col(c).alias("cls"))
+    return written(found.select(node("ur", "u").alias("u"), node("vr", "v").alias("v")), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for the nodes of links (u, v): the least node reachable."""
-    edges = written(links.where("u != v").distinct(), "edges")
-    before = None
+    edges, before = written(links.where("u != v").distinct(), "edges"), None
     while True:
         # large star: neighbours above a node go to the least of its neighbourhood
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("degree")), "stars")
+        total = 2 * edges.count()
+        large = join_hot(both, least, ["u"], "degree", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         # small star: a node and its neighbours below go to the least of them
-        least = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = least.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")), "stars")
         small = (
-            least.join(low, "u")
+            join_hot(large, low, ["u"], "degree", total)
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
             .select("e.*")
             .where("u != v")
@@ -342,28 +340,32 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = SIMILARITY
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, cls, component_id, kept."""
+    """One row per row of ``docs``: doc_id, key (xxhash64 of the text), n_shingles, cls, component_id, kept."""
     members = written(signatures(docs, doc_id, text, size), "members")
+    grouped = F.col("cls").isNotNull() & F.col("doc_id").isNotNull()
     classes = written(
-        members.where("cls IS NOT NULL AND doc_id IS NOT NULL")
+        members.where(grouped)
         .groupBy("cls")
-        .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")),
+        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")),
         "classes",
     )
     joined = components(confirmed_links(docs, classes, doc_id, text, size, similarity))
-    rooted = classes.select("cls", "rep").join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(least, "root").select("cls", "component_id")
-    out = members.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(named, "cls", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.withColumn("component_id", own).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    roots = joined.select(F.col("node.cls").alias("cls"), F.col("root.rep").alias("root"))
+    named = written(
+        classes.select("cls", "rep", "members").join(roots, "cls", "left").select("cls", "members", F.coalesce("root", "rep").alias("component_id")), "named"
+    )
+    rows = members.select("doc_id", "key", F.col("n").alias("n_shingles"), "cls")
+    met = join_hot(rows.where(grouped), named, ["cls"], "members", rows.count()).drop("members")
+    out = met.unionByName(rows.where(~grouped).withColumn("component_id", F.col("doc_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, by five-word shingles."""
+    """``docs`` with one document of each near-duplicate group, by five-word shingles; rows go by id and text."""
     found = near_duplicates(docs)
-    drop = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(drop.hint("shuffle_hash"), docs["doc_id"] == drop["__gone"], "left_anti").select(*docs.columns)
+    gone = written(found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("key").alias("__gone_key")).distinct(), "copies")
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__key"))
+    return rows.join(few(gone), (rows["__id"] == gone["__gone"]) & (rows["__key"] == gone["__gone_key"]), "left_anti").select("__row.*")
 
 
 def oracle(size: int = 2) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 #: Bytes of text that one step inside a Python task takes at a time.
 CHUNK_BYTES = 4 << 20
 
+#: Rows of a few columns that may be broadcast.
+BROADCAST_ROWS = 500_000
+#: Share of all rows from which on a key is met by broadcast.
+HOT_SHARE = 2000
+
 #: A-Z to a-z, every other byte as it is.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -59,6 +64,28 @@ def byte_runs(sizes: Sequence[int], most: int = CHUNK_BYTES) -> Iterator[tuple[i
         yield at, len(sizes)
 
 
+def sizes(texts: Iterable[str | None]) -> list[int]:
+    """UTF-8 bytes of each text."""
+    return [len(t.encode("utf-8", "replace")) if t else 0 for t in texts]
+
+
+def few(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written ``table`` of short rows as the small side of a join: broadcast if it has at most ``rows`` rows, hashed by a shuffle beyond that."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table.hint("shuffle_hash")
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` and the columns of ``table``, which has one row per key and says in ``count`` how many rows have it.
+
+    Keys that more than 1/HOT_SHARE of all ``total`` rows have, of which there are fewer than HOT_SHARE,
+    meet the table by broadcast; all others by a shuffle, in which no key is frequent. Both are written tables.
+    """
+    most = total // HOT_SHARE
+    hot = table.where(F.col(count) > most)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(table.where(F.col(count) <= most), keys))
+
+
 def crc32_mod(col: Column, n: int) -> Column:
     """crc32 of the column as text, modulo ``n``; a null counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
