@@ -1,6 +1,7 @@
 import random
 
 from helpers import ODD, frame, sentence
+from pyspark.sql import functions as F
 
 from tokenledger.llm.line_dedup import dedup_lines, lines_deduped
 
@@ -65,3 +66,18 @@ def test_runs_of_blanks_are_no_words(spark):
     texts = [f"{padded}\n{tabs}", f"{padded}\n{tabs}", many, many, f"{padded}\n{many}", f"{padded}\n" + " ".join(["x"] * 48)] + [f"{padded}\n" + " ".join(["x"] * 48)]
     got = {r.doc_id: list(r.removed) for r in dedup_lines(frame(spark, list(enumerate(texts)))).collect()}
     assert got == {0: [], 1: [], 2: [], 3: [0], 4: [1], 5: [], 6: [0, 1]}
+
+
+def test_a_very_long_text_ids_of_text_and_a_common_line(spark, monkeypatch):
+    from tokenledger.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_SHARE", 10)  # the common line is met by broadcast
+    rng = random.Random(8)
+    passage = "\n".join(sentence(rng, 12) for _ in range(6))
+    texts = ["\n".join(["All rights reserved.", *(sentence(rng, 9, 10**6) for _ in range(5000)), passage, "All rights reserved."])]
+    texts += ["\n".join(["All rights reserved."] * 3 + [sentence(rng, 9, 10**6)] + ([passage] if k % 2 else [])) for k in range(40)]
+    rows = list(enumerate(texts))
+    want = brute(rows)
+    assert sum(map(bool, want.values())) == 20
+    docs = frame(spark, rows).withColumn("doc_id", F.format_string("d%05d", "doc_id"))
+    assert {int(r.doc_id[1:]): list(r.removed) for r in dedup_lines(docs).collect()} == want

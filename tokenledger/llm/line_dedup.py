@@ -1,96 +1,40 @@
-"""Operator 10: line dedup by prefix doubling over line-ID sequences, by DataFrame functions only.
-
-A text's lines, trimmed, without blank ones, are a sequence of line IDs (two 64-bit hashes). Prefix
-doubling names every suffix of every sequence by its first 2^k lines: the name at level k + 1 is
-made of the names of level k at i and i + 2^k. Only equality of names matters for repeats, so names
-are fingerprints rather than ranks, and doubling stops where the least run is sure to be reached: a
-run counts from ``min_words`` words on, every line has a word at least, and so log2(min_words)
-levels do for sequences of any length.
-
-Descending the levels gives each position its shortest run of ``min_words`` words, forwards and
-backwards, and the run's name. Suffixes of one name are an interval of the suffix array whose
-longest common prefix holds the run. An interval of two or more is a repeated run; its first
-occurrence, by doc_id and then position, stays and the lines of later ones are deleted. A maximal
-repeated run is the union of the shortest runs in it (a run's head by the forward ones, its tail by
-the backward ones), so exactly the lines inside a repeat of at least ``min_words`` words go.
+"""Operator 10: line dedup by a suffix array over line-ID sequences, by DataFrame functions only.
+
+A text's lines, trimmed, without blank ones, are a sequence of line IDs. The suffixes of all
+sequences are sorted by distributed prefix doubling: level 0 ranks them by their first line, and
+level k + 1 ranks the pairs (rank at i, rank at i + 2^k), so ranks of level k order suffixes by their
+first 2^k lines. Ranks come from one range-partitioned sort of the distinct pairs. A suffix that
+shares its first 2^k lines with no other is told apart and leaves; what remains is the part of the
+suffix array whose neighbours have a common prefix of 2^k lines at least. Doubling stops when no
+suffix remains or the length is enough.
+
+A repeat counts from ``min_words`` words on. Each position gives two shortest runs that reach them:
+the one that begins there and the one that ends there. The suffixes whose longest common prefix
+holds a run of m lines are an interval of the suffix array; with 2^k <= m < 2^(k+1), two suffixes lie
+in one interval if they have equal ranks of level k at the run's first line and at 2^k lines before
+its end (two overlapping pieces that cover it). The first occurrence in an interval, by id and then
+position, stays, and the lines of later ones are deleted. A maximal repeated run is the union of the
+shortest runs in it, so exactly the lines inside a repeat of at least ``min_words`` words go.
+
+Lines, pairs and runs that very many suffixes share meet their ranks by broadcast, see ``join_hot``.
 
 Defined results: a null text stays null, an empty one empty; a copy inside the same text counts as
 later; rows of the same id and text are one document to the repeats and get the same result; texts
-under one id are ordered by their hash; a null id comes first; extra columns are kept.
+under one id are ordered by their hash; a null id comes first; ids are of any type that has an order;
+extra columns are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import BROADCAST_ROWS, join_hot, written
 
 MIN_WORDS = 50
 
 
-def _name(tag: int, *parts: Column) -> Column:
-    """Two independent 64-bit hashes."""
-    return F.struct(F.xxhash64(F.lit(2 * tag), *parts).alias("a"), F.xxhash64(F.lit(2 * tag + 1), *parts).alias("b"))
-
-
-def _runs(lines: Column, tag: int, min_words: int) -> Column:
-    """For each line, in order: (length, a, b) of the shortest run from it with ``min_words`` words; null if there is none."""
-    levels = max(1, (min_words - 1).bit_length())
-
-    def doubled(prev: Column, half: int, level: int) -> Column:
-        return F.transform(
-            prev,
-            lambda x, i: F.when(
-                x.isNotNull() & (i + half < F.size(prev)) & F.get(prev, i + half).isNotNull(),
-                F.struct(
-                    (x["w"] + F.get(prev, i + half)["w"]).alias("w"),
-                    _name(tag, x["n"], F.get(prev, i + half)["n"], F.lit(level)).alias("n"),
-                ),
-            ),
-        )
-
-    def shortest(names: list[Column]) -> Column:
-        zero = F.struct(F.lit(0).alias("l"), F.lit(0).alias("w"), F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("n"))
-
-        def longer(s: Column, i: Column, level: int) -> Column:
-            """2^level more lines, if the run stays below ``min_words`` with them."""
-
-            def grown(u: Column) -> Column:
-                words = u["s"]["w"] + u["x"]["w"]
-                more = F.struct((u["s"]["l"] + (1 << level)).alias("l"), words.alias("w"), _name(tag, u["s"]["n"], u["x"]["n"]).alias("n"))
-                return F.when(u["x"].isNotNull() & (words < min_words), more).otherwise(u["s"])
-
-            return _let(s, lambda v: _let(F.struct(v.alias("s"), F.get(names[level], i + v["l"]).alias("x")), grown))
-
-        def last(s: Column, i: Column) -> Column:
-            """The one line more that makes it reach ``min_words``."""
-
-            def grown(u: Column) -> Column:
-                enough = u["x"].isNotNull() & (u["s"]["w"] + u["x"]["w"] >= min_words)
-                return F.when(enough, F.struct((u["s"]["l"] + 1).alias("l"), _name(tag, u["s"]["n"], u["x"]["n"]).alias("n")))
-
-            return _let(s, lambda v: _let(F.struct(v.alias("s"), F.get(names[0], i + v["l"]).alias("x")), grown))
-
-        def at(i: Column) -> Column:
-            s = zero
-            for level in reversed(range(levels)):
-                s = longer(s, i, level)
-            return last(s, i)
-
-        return F.transform(names[0], lambda _, i: at(i))
-
-    def chain(names: list[Column], level: int) -> Column:
-        if level == levels:
-            return shortest(names)
-        return _let(
-            F.struct(doubled(names[-1], 1 << (level - 1), level).alias("d")), lambda v: chain([*names, v["d"]], level + 1)
-        )
-
-    first = F.transform(lines, lambda x: F.struct(x["w"].alias("w"), _name(tag, x["n"]).alias("n")))
-    return _let(F.struct(first.alias("d")), lambda v: chain([v["d"]], 1))
-
-
 def _let(value: Column, then) -> Column:
     """``then(value)`` with ``value`` computed once."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
@@ -105,77 +49,101 @@ def _single(line: Column) -> Column:
     return F.when(F.contains(line, F.lit("  ")), F.regexp_replace(line, " +", " ")).otherwise(line)
 
 
-def line_runs(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
-    """One row for each shortest run: ord, id, key (of the document), lo and hi (both ends, among its lines that are not blank), a, b."""
-    lines = F.transform(
-        F.filter(F.transform(F.split(F.col(text), "\n", -1), _trimmed), lambda x: x != ""),
-        lambda x: F.struct(
-            (F.length(_single(x)) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w"),
-            _name(0, x).alias("n"),
-        ),
-    )
-    keyed = docs.where(F.col(text).isNotNull()).select(
-        F.col(doc_id).alias("id"), F.xxhash64(doc_id, text).alias("key"), lines.alias("lines")
-    )
-    both = keyed.withColumns({"ahead": _runs(F.col("lines"), 1, min_words), "back": _runs(F.reverse("lines"), 2, min_words)})
-    n = F.size("lines")
-    made = F.concat(
-        F.transform("ahead", lambda r, i: F.when(r.isNotNull(), F.struct(i.alias("lo"), (i + r["l"]).alias("hi"), r["n"].alias("n")))),
-        F.transform(  # a run of a single line is there already
-            "back", lambda r, i: F.when(r.isNotNull() & (r["l"] > 1), F.struct((n - i - r["l"]).alias("lo"), (n - i).alias("hi"), r["n"].alias("n")))
-        ),
-    )
-    rows = both.select("id", "key", F.explode(F.filter(made, lambda r: r.isNotNull())).alias("r"))
-    return rows.select(
-        # one number that orders documents by id and then by hash; a null id is below all others
-        (F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)")) * F.lit(2**60).cast("decimal(20,0)")
-         + F.shiftrightunsigned("key", 4).cast("decimal(20,0)")).cast("decimal(38,0)").alias("ord"),
-        "id",
-        "key",
-        F.col("r.lo").alias("lo"),
-        (F.col("r.hi") - 1).alias("hi"),
-        F.col("r.n.a").alias("a"),
-        F.col("r.n.b").alias("b"),
+def _document(doc_id: str, text: str) -> Column:
+    """What tells a document, and orders it: its id, and the hash of its text."""
+    return F.struct(F.col(doc_id).alias("id"), F.xxhash64(doc_id, text).alias("key"))
+
+
+def text_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row for each line that is not blank: doc, p (its number among them), w (words), a, b (its ID)."""
+    lines = F.filter(F.transform(F.split(F.col(text), "\n", -1), _trimmed), lambda x: x != "")
+    return (
+        docs.where(F.col(text).isNotNull())
+        .select(_document(doc_id, text).alias("doc"), F.posexplode(lines).alias("p", "line"))
+        .select(
+            "doc",
+            "p",
+            (F.length(_single(F.col("line"))) - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("w"),
+            F.xxhash64(F.lit(0), "line").alias("a"),
+            F.xxhash64(F.lit(1), "line").alias("b"),
+        )
     )
 
 
+def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` whose values of ``by`` occur more than once, with r: the rank of these values among all such."""
+    several = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
+    # numbers that rise over the partitions of a sort are ranks; written, they stay what they are
+    ranks = written(several.orderBy(*by).withColumn("rank", F.monotonically_increasing_id()), "ranks")
+    return join_hot(rows, ranks, by, "n", rows.count())
+
+
+def repeated_positions(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
+    """The suffixes of level 0, those whose first line occurs elsewhere: doc, p, r, and the lengths
+    ``ahead`` and ``back`` of the shortest runs of ``min_words`` words from and up to the line (null if there is none)."""
+    lines = written(text_lines(docs, doc_id, text), "lines")
+    met = _ranked(lines, ["a", "b"]).select("doc", "p", F.col("w").cast("long").alias("w"), F.col("rank").alias("r"))
+    # repeated rows are one document
+    rows = met.repartition("doc").dropDuplicates(["doc", "p"])
+    # a stretch of lines that all occur elsewhere; a repeated run lies in one
+    rows = rows.withColumn("stretch", F.col("p") - F.row_number().over(W.partitionBy("doc").orderBy("p")))
+    stretch = W.partitionBy("doc", "stretch")
+    rows = rows.withColumn("upto", F.sum("w").over(stretch.orderBy("p"))).withColumn("before", F.col("upto") - F.col("w"))
+    # a run that begins here goes on as long as a line begins within min_words - 1 words; mirrored for one that ends here
+    ahead = stretch.orderBy("before").rangeBetween(W.currentRow, min_words - 1)
+    back = stretch.orderBy("upto").rangeBetween(1 - min_words, W.currentRow)
+    length = lambda w: F.when(F.sum("w").over(w) >= min_words, F.count("*").over(w).cast("int"))
+    return written(rows.select("doc", "p", "r", length(ahead).alias("ahead"), length(back).alias("back")), "suffixes")
+
+
+def repeated_runs(suffixes: DataFrame) -> DataFrame:
+    """Runs (doc, lo, m) whose m lines occur more than once, with the ranks (ra, rb) that name their interval."""
+    of = lambda lo, m: F.struct(lo.cast("int").alias("lo"), F.col(m).alias("m"))
+    both = F.explode(F.array(of(F.col("p"), "ahead"), of(F.col("p") - F.col("back") + 1, "back")))
+    runs = written(suffixes.select("doc", both.alias("run")).where("run.m IS NOT NULL").select("doc", "run.*").distinct(), "runs")
+    most = runs.agg(F.max("m")).first()[0] or 0
+    ranks, size, out = suffixes.select("doc", "p", "r"), 1, []
+    while size <= most:
+        todo = runs.where(f"m >= {size} AND m < {2 * size}").withColumn("end", F.col("lo") + F.col("m") - size)
+        first = ranks.select("doc", F.col("p").alias("lo"), F.col("r").alias("ra"))
+        last = ranks.select("doc", F.col("p").alias("end"), F.col("r").alias("rb"))
+        out.append(written(todo.join(first, ["doc", "lo"]).join(last, ["doc", "end"]).select("doc", "lo", "m", "ra", "rb"), "named"))
+        size *= 2
+        if size > most:
+            break
+        behind = W.partitionBy("doc").orderBy("p").rangeBetween(size // 2, size // 2)
+        pairs = written(ranks.withColumn("next", F.max("r").over(behind)).where("next IS NOT NULL"), "pairs")
+        ranks = written(_ranked(pairs, ["r", "next"]).select("doc", "p", F.col("rank").alias("r")), "suffixes")
+        if not ranks.take(1):  # all told apart
+            break
+    named = suffixes.sparkSession.createDataFrame([], runs.withColumns({"ra": F.lit(0).cast("long"), "rb": F.lit(0).cast("long")}).schema)
+    for part in out:
+        named = named.unionByName(part)
+    return named
+
+
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, key, gone): for documents that have any, the lines that are later copies, by their sorted numbers among those that are not blank."""
-    runs = written(line_runs(docs, doc_id, text, min_words), "line-runs")
-    intervals = runs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("ord").alias("first")).where("n > 1").drop("n")
-    copies = runs.join(intervals, ["a", "b"])
-    by_doc = copies.groupBy("id", "key").agg(
-        F.array_sort(F.collect_set(F.struct("a", "b", "lo", "hi", (F.col("ord") > F.col("first")).alias("later")))).alias("runs")
-    )
-    # inside the first document only the first of equal runs stays; sorted, they stand side by side
-    later = F.filter(
-        F.transform(
-            "runs",
-            lambda r, i: F.struct(
-                r["lo"].alias("lo"),
-                r["hi"].alias("hi"),
-                (
-                    r["later"]
-                    | ((i > 0) & F.coalesce((F.get("runs", i - 1)["a"] == r["a"]) & (F.get("runs", i - 1)["b"] == r["b"]), F.lit(False)))
-                ).alias("later"),
-            ),
-        ),
-        lambda r: r["later"],
-    )
-    gone = F.array_sort(F.array_distinct(F.flatten(F.transform(later, lambda r: F.sequence(r["lo"], r["hi"])))))
-    return by_doc.select("id", "key", gone.alias("gone")).where(F.size("gone") > 0)
+    """(doc, gone): for documents that have any, the lines that are later copies, by their sorted numbers among those that are not blank."""
+    runs = written(repeated_runs(repeated_positions(docs, doc_id, text, min_words)), "runs")
+    place = F.struct("doc", "lo")
+    intervals = written(runs.groupBy("m", "ra", "rb").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"), "intervals")
+    later = join_hot(runs, intervals, ["m", "ra", "rb"], "n", runs.count()).where(place > F.col("first"))
+    by_doc = later.groupBy("doc").agg(F.collect_set(F.struct("lo", "m")).alias("runs"))
+    gone = F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["lo"], r["lo"] + r["m"] - 1)))))
+    return written(by_doc.select("doc", gone.alias("gone")), "gone")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with n_lines, n_removed, removed (indexes of deleted lines) and text without them.
 
-    A blank line goes if the lines before and behind it go.
+    A blank line goes if the lines before and behind it go. Deletions of up to ``BROADCAST_ROWS`` rows
+    and eight times as many lines are broadcast; more of them meet their texts by a shuffle.
     """
-    gone = repeated_lines(docs, doc_id, text, min_words).select(F.col("id").alias("__id"), F.col("key").alias("__key"), "gone")
-    keyed = docs.withColumn("__key", F.xxhash64(doc_id, text))
-    met = keyed.join(
-        gone.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("__id")) & (keyed["__key"] == gone["__key"]) & F.col(text).isNotNull(), "left"
-    ).drop(keyed["__key"]).drop(gone["__key"]).drop("__id")
+    gone = repeated_lines(docs, doc_id, text, min_words).withColumnRenamed("doc", "__gone_of")
+    told = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
+    small = told[0] <= BROADCAST_ROWS and told[1] <= 8 * BROADCAST_ROWS
+    keyed = docs.withColumn("__doc", F.when(F.col(text).isNotNull(), _document(doc_id, text)))
+    met = keyed.join(F.broadcast(gone) if small else gone.hint("shuffle_hash"), F.col("__doc") == F.col("__gone_of"), "left").drop("__doc", "__gone_of")
     raw = F.split(F.col(text), "\n", -1)
     full = F.filter(F.transform(raw, lambda x, i: F.when(_trimmed(x) != "", i)), lambda i: i.isNotNull())
     at = lambda lines, k: F.get(lines, F.get(F.col("gone"), k))
@@ -230,7 +198,7 @@ def lines_digest(out: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS raw FROM documents),
 r AS (SELECT doc_id, i, trim(translate(raw[i + 1], chr(9) || chr(13) || chr(11) || chr(12), '    ')) AS t FROM (SELECT doc_id, raw, unnest(range(len(raw))) AS i FROM d)),
-l AS (SELECT doc_id, i, t, len(t) - len(replace(t, ' ', '')) + 1 AS w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM r WHERE t <> ''),
+l AS (SELECT doc_id, i, t, len(regexp_replace(t, ' +', ' ', 'g')) - len(replace(t, ' ', '')) + 1 AS w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM r WHERE t <> ''),
 s AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY p) AS c FROM l),
 f AS (SELECT x.doc_id, x.p AS lo, min(y.p) AS hi FROM s x JOIN s y ON x.doc_id = y.doc_id AND y.p BETWEEN x.p AND x.p + {MIN_WORDS - 1} AND y.c - x.c + x.w >= {MIN_WORDS} GROUP BY ALL),
 g AS (SELECT y.doc_id, max(x.p) AS lo, y.p AS hi FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.p BETWEEN y.p - {MIN_WORDS - 1} AND y.p AND y.c - x.c + x.w >= {MIN_WORDS} GROUP BY y.doc_id, y.p),
