@@ -48,8 +48,14 @@ def test_ids_times_models(spark):
     assert len(a) == 36 and a != b
     at = column(spark, ["1704067200000", "2024-01-01T00:00:00Z", "bad", None], lambda c: text.timestamp_of(c).cast("string"))
     assert at == ["2024-01-01 00:00:00"] * 2 + [None, None]
-    names = {"claude-opus-4-6": "Claude Opus 4.6", "claude-haiku-4.5": "Claude Haiku 4.5", "gpt-5.3-codex": "GPT-5.3 Codex", "other": "other"}
-    assert column(spark, list(names), text.display_model) == list(names.values())
+    names = {
+        "claude-opus-4-6": ("Claude Opus 4.6", None, False), "claude-haiku-4-5-20251001": ("Claude Haiku 4.5", None, False), "claude-haiku-4.5": ("claude-haiku-4.5", None, False),
+        "claude-opus-4-7-thinking-high": ("Claude Opus 4.7", "thinking-high", False), "claude-4.5-opus-high-thinking": ("Claude Opus 4.5", "thinking-high", False), "claude-4.6-opus": ("Claude Opus 4.6", None, False),
+        "gpt-5.3-codex": ("GPT-5.3 Codex", None, False), "gpt-5.3-codex-xhigh": ("GPT-5.3 Codex", "xhigh", False), "gpt-5-codexmax": ("GPT-5 Codex", "max", False), "gpt-4.1-mini": ("GPT-4.1", "mini", False), "gpt-4o": ("gpt-4o", None, False),
+        "default": ("Cursor Auto", None, True), "(untagged)": ("(model not yet attributed)", None, True), "café-7": ("café-7", None, False),
+    }
+    assert [tuple(x) for x in column(spark, list(names), text.display_model)] == list(names.values())
+    assert column(spark, ["claude-opus-4-7-thinking-high", "other"], text.model_label) == ["Claude Opus 4.7 · thinking-high", "other"]
 
 
 def test_prompts(spark):

@@ -1,5 +1,7 @@
 """Operators on small literal frames, and the invariants that hold between them."""
 
+import hashlib
+import json
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -182,13 +184,47 @@ def test_repairs(spark):
     assert m.without_legacy_tags(none).count() == 1
     titles = spark.createDataFrame([("short",), ("x" * 10 + " " + "word " * 30,), ("first\nsecond",)], "t string").select(m.truncated_title(F.col("t"))).collect()
     assert titles[0][0] == "short" and titles[2][0] == "first" and titles[1][0].endswith("word…") and len(titles[1][0]) <= 81
-    j = spark.createDataFrame([('{"user_email":"a@b","n":"1"}',), ("no json",)], "j string")
-    assert [q[0] for q in j.select(m.minimized_json(F.col("j"), "omit")).collect()] == ['{"n":"1"}', "no json"]
+    raw = '{"cwd":"/w","n":1,"b":true,"e":"é","in":{"cwd":"/secret","x":[{"project_dir":"/p"}]},"workspace_roots":["/a"," ",3],"user_email":{"cwd":"/deep"}}'
+    j = spark.createDataFrame([(raw,), ("no json",), (None,)], "j string")
+    assert [q[0] for q in j.select(m.minimized_json(F.col("j"), "omit")).collect()] == [None, None, None]
+    assert [q[0] for q in j.select(m.minimized_json(F.col("j"), "full")).collect()] == [raw, "no json", None]
+    got = [q[0] for q in j.select(m.minimized_json(F.col("j"), "hash")).collect()]
+    h = lambda x: "sha256:" + hashlib.sha256(x.encode()).hexdigest()[:24]
+    assert got[1:] == [None, None] and json.loads(got[0]) == {
+        "cwd": h("/w"), "n": 1, "b": True, "e": "é", "in": {"cwd": h("/secret"), "x": [{"project_dir": h("/p")}]}, "workspace_roots": [h("/a"), " ", 3], "user_email": {"cwd": h("/deep")},
+    }
+    assert not any(x in got[0] for x in ("/w", "/secret", "/p", "/deep"))
     assert j.select(m.minimized(F.lit("a@b"), "hash")).first()[0].startswith("sha256:")
     with pytest.raises(ValueError):
         m.minimized(F.lit("x"), "maybe")
 
 
+def test_long_and_open_windows(spark):
+    day = 86_400_000
+    windows = spark.createDataFrame([("long", 0, 50 * day), ("open", 60 * day, None), ("short", 100 * day, 100 * day)], "session_id string, start_ms long, end_ms long")
+    points = spark.createDataFrame([("in", 40 * day), ("late", 50 * day + 6000), ("edge", 50 * day + 4000), ("o", 89 * day), ("past", 91 * day), ("s", 100 * day)], "id string, at_ms long")
+    assert {q.id: q.session_id for q in m.in_interval(points, windows).collect()} == {"in": "long", "edge": "long", "o": "open", "s": "short"}
+    assert m.in_interval(points, windows.where("false")).count() == 0
+
+
+def test_watermarks_outlive_a_reset(spark, tmp_path):
+    path = f"{tmp_path}/w"
+    assert x.read_watermark(spark, path) is None
+    seen = []
+    for day in (date(2024, 1, 3), date(2024, 1, 9), None, date(2024, 1, 1)):
+        x.write_watermark(spark, path, day)
+        seen.append(x.read_watermark(spark, path))
+    assert seen == [date(2024, 1, 3), date(2024, 1, 9), None, date(2024, 1, 1)]
+
+
+def test_models_not_known_yet_merge(spark):
+    rows = messages(spark, {"id": "a", "model": "default", "provider": "cursor", "cost_cents_effective": 0.0}, {"id": "b", "model": None, "provider": "cursor"}, {"id": "c", "model": "", "provider": "codex", "cost_cents_effective": 3.0}, {"id": "d", "model": "gpt-5.3-codex-high", "provider": "codex"})
+    shown, hidden = b.model_page(b.labelled_models(rows))
+    assert {(q.model, q.provider, q.message_count) for q in shown.collect()} == {("(model not yet attributed)", "codex", 1), ("GPT-5.3 Codex · high", "codex", 1)}
+    assert hidden.first().suppressed_rows == 1
+    assert b.model_page(b.labelled_models(rows), include_pending=True)[0].count() == 3
+
+
 def test_sessions(spark, real):
     rows, tags = real
     table = r.sessions(rows)

@@ -125,3 +125,38 @@ def test_context_is_carried_across_batches(spark, tmp_path):
         q.awaitTermination(120)
     spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     assert got == {"a": ("b1", None, "/w"), "b": ("b1", "r", ""), "c": (None, None, None), "d": ("b1", "r", "/w")}
+
+
+def test_mutations_at_any_depth(spark):
+    def requests(*log):
+        return [(r.session_id, json.loads(r.j)) for r in t.folded_requests(frame(spark, *log)).orderBy("idx").select("session_id", F.to_json("v").alias("j")).collect()]
+
+    first = {"requestId": "a", "usage": {"n": 10, "m": [1]}}
+    log = [{"kind": 0, "v": {"sessionId": "s", "requests": [first]}}, {"kind": 2, "v": [{"requestId": "b"}]}, {"kind": 2, "k": [], "v": [{"requestId": "c"}]}]
+    assert requests(*log) == [("s", first), ("s", {"requestId": "b"}), ("s", {"requestId": "c"})]
+    # a count inside an older object; a place that is not there yet; an append inside a request; a second snapshot keeps what it does not name
+    more = [
+        {"kind": 1, "k": ["requests", 0, "usage", "n"], "v": 99}, {"kind": 1, "k": ["requests", 4, "result", "metadata"], "v": {"promptTokens": 3}}, {"kind": 2, "k": ["requests", 0, "usage", "m"], "v": [2]},
+        {"kind": 2, "k": ["requests", 0, "requestId"], "v": ["no list"]}, {"kind": 0, "v": {"sessionId": "later"}}, {"kind": 1, "k": ["requests", -1, "x"], "v": 1}, {"kind": 7, "v": 1}, {"kind": 1, "k": ["requests", 1], "v": {"requestId": "B"}},
+    ]
+    got = requests(*log, *more)
+    assert got == [("later", {"requestId": "a", "usage": {"n": 99, "m": [1, 2]}}), ("later", {"requestId": "B"}), ("later", {"requestId": "c"}), ("later", {"result": {"metadata": {"promptTokens": 3}}})]
+    assert requests({"kind": 0, "v": {"requests": [first]}}, {"kind": 0, "v": {"requests": []}}) == []
+    assert requests({"kind": 1, "k": ["requests", 1, "completionTokens"], "v": 5}) == [(None, {"completionTokens": 5})]
+
+
+def test_a_forced_reload_replaces_the_table(spark, tmp_path):
+    lines = [line(k, at=f"2024-01-0{1 + k % 3}T00:00:00Z") for k in range(6)]
+    first = ingest(spark, tmp_path, [lines])
+    spark.createDataFrame([("gone", "2023-12-01")], "id string, d string")
+    stray = t.envelope(frame(spark, line(77, at="2023-12-01T00:00:00Z")))
+    w.load_batch(stray, f"{tmp_path}/table", f"{tmp_path}/stage", 99)
+    assert spark.read.parquet(f"{tmp_path}/table").count() == 7
+    w.reload(w.transcript_files(spark, f"{tmp_path}/in"), t.envelope, f"{tmp_path}/table", f"{tmp_path}/check", f"{tmp_path}/stage").awaitTermination(120)
+    assert sorted((r.id, r.output_tokens, str(r.timestamp)) for r in spark.read.parquet(f"{tmp_path}/table").collect()) == first
+
+
+def test_hours_of_touched_days(spark):
+    rows = t.envelope(frame(spark, *[line(k, at=f"2024-01-0{1 + k % 3}T00:00:00Z") for k in range(6)])).withColumns({"cost_cents_effective": F.lit(1.0), "cost_cents_ingested": F.lit(1.0)})
+    touched = spark.createDataFrame([(datetime(2024, 1, 2).date(),), (datetime(2024, 1, 2).date(),)], "day date")
+    assert [(str(r.bucket_start), r.message_count) for r in w.refresh_touched(rows, touched).collect()] == [("2024-01-02 00:00:00", 2)]

@@ -98,14 +98,41 @@ def path_of_uri(uri: Column) -> Column:
     return F.try_url_decode(F.replace(F.regexp_replace(uri, "^file://(localhost)?", ""), F.lit("+"), F.lit("%2B")))
 
 
+#: Labels of rows whose model is not known yet. Fixed values.
+UNATTRIBUTED, AUTO = "(model not yet attributed)", "Cursor Auto"
+
+
+def _effort(raw: Column) -> Column:
+    e = F.regexp_replace(raw, "^-+|-+$", "")
+    turned = F.when(e.isin("high-thinking", "low-thinking"), F.concat(F.lit("thinking-"), F.split_part(e, F.lit("-"), F.lit(1)))).otherwise(e)
+    return F.when(~e.isin("", "default"), turned)
+
+
 def display_model(m: Column) -> Column:
-    """A readable name: family and version; other names stay."""
-    claude = F.regexp_extract(m, r"^claude-(opus|sonnet|haiku)-([0-9]+)[-.]([0-9]{1,2})(?:$|[-@])", 1)
-    version = F.concat_ws(".", F.regexp_extract(m, r"^claude-[a-z]+-([0-9]+)", 1), F.regexp_extract(m, r"^claude-[a-z]+-[0-9]+[-.]([0-9]{1,2})", 1))
-    gpt = F.regexp_extract(m, r"^gpt-([0-9.]+)(?:-(.*))?$", 1)
-    tail = F.regexp_extract(m, r"^gpt-[0-9.]+-(.*)$", 1)
+    """struct(name, effort, placeholder): family and version, what follows them, and whether the model is not known yet.
+
+    Names of other families stay as they are."""
+    part = lambda pattern, k: F.regexp_extract(m, pattern, k)
+    new = "^claude-(opus|sonnet|haiku)-([0-9]+)(?:-([0-9]+))?(?:-[0-9]+)*(?:-(.*))?$"
+    old = "^claude-([0-9.]+)-(opus|sonnet|haiku)(?:-(.*))?$"
+    gpt = "^gpt-([0-9.]+)(?:-(.*))?$"
+    tail = part(gpt, 2)
+    codex = tail.startswith("codex")
+    behind = F.substr(tail, F.lit(6))
+    made = lambda name, effort, placeholder=False: F.struct(name.alias("name"), effort.cast("string").alias("effort"), F.lit(placeholder).alias("placeholder"))
+    version = F.concat_ws(".", part(new, 2), F.nullif(part(new, 3), F.lit("")))
     return (
-        F.when(claude != "", F.concat(F.lit("Claude "), F.initcap(claude), F.lit(" "), version))
-        .when(gpt != "", F.trim(F.concat(F.lit("GPT-"), gpt, F.lit(" "), F.initcap(F.replace(tail, F.lit("-"), F.lit(" "))))))
-        .otherwise(m)
+        F.when(m == "(untagged)", made(F.lit(UNATTRIBUTED), F.lit(None), True))
+        .when(m == "default", made(F.lit(AUTO), F.lit(None), True))
+        .when(part(new, 1) != "", made(F.concat(F.lit("Claude "), F.initcap(part(new, 1)), F.lit(" "), version), _effort(part(new, 4))))
+        .when(part(old, 2) != "", made(F.concat(F.lit("Claude "), F.initcap(part(old, 2)), F.lit(" "), part(old, 1)), _effort(part(old, 3))))
+        .when((part(gpt, 1) != "") & codex, made(F.concat(F.lit("GPT-"), part(gpt, 1), F.lit(" Codex")), F.when((behind == "") | behind.startswith("-"), _effort(behind)).otherwise(behind)))
+        .when(part(gpt, 1) != "", made(F.concat(F.lit("GPT-"), part(gpt, 1)), _effort(tail)))
+        .otherwise(made(m, F.lit(None)))
     )
+
+
+def model_label(m: Column) -> Column:
+    """The name, with the effort behind a middle dot if there is one."""
+    d = display_model(m)
+    return F.concat_ws(" · ", d["name"], d["effort"])

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dims import ALL_TIME, DIMENSIONS, MEASURES, MONEY, NO_FILTERS, OTHER, UNTAGGED, DimFilters, TimeWindow, dollars, facts, money_sum, selected, token_sums
-from ..functions.text import basename
+from ..functions.text import UNATTRIBUTED, basename, display_model, model_label
 from .pricing import per_million, with_prices
 
 
@@ -206,6 +206,21 @@ def model_usage(messages, window=ALL_TIME, filters=NO_FILTERS) -> DataFrame:
     return _grouped(rows, F.col("d_model").alias("model"), F.col("d_provider").alias("provider")).orderBy(F.desc("cost_cents"), "model", "provider")
 
 
+def labelled_models(messages, window=ALL_TIME, filters=NO_FILTERS) -> DataFrame:
+    """Model usage under display names: rows of models not known yet merge by provider; ``suppressed`` marks those of them without a cost."""
+    rows = selected(messages, window, filters).withColumn("__d", display_model(F.col("d_model")))
+    label = F.when(F.col("__d.placeholder"), UNATTRIBUTED).otherwise(model_label(F.col("d_model")))
+    raw = F.when(~F.col("__d.placeholder"), F.col("d_model"))  # two raw names of one label stay two rows
+    out = _grouped(rows, label.alias("model"), raw.alias("__raw"), F.col("d_provider").alias("provider"))
+    return out.withColumn("suppressed", F.col("__raw").isNull() & (F.col("cost_cents") <= 0)).drop("__raw").orderBy(F.desc("cost_cents"), "model", "provider")
+
+
+def model_page(labelled: DataFrame, include_pending: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows that show, a row with the number of those that do not) of ``labelled_models``."""
+    hidden = F.lit(False) if include_pending else F.col("suppressed")
+    return labelled.where(~hidden).drop("suppressed"), labelled.agg(F.count_if(hidden).alias("suppressed_rows"))
+
+
 def cost_estimate(messages, price_list: DataFrame, aliases: DataFrame, window=ALL_TIME, filters=NO_FILTERS) -> DataFrame:
     """The stored total beside parts recomputed from tokens; what they leave is ``other``, never below 0."""
     by = _grouped(selected(messages, window, filters), F.col("d_provider").alias("provider"), F.col("d_model").alias("model"))

@@ -107,9 +107,16 @@ def cwd_source_tags(messages: DataFrame) -> DataFrame:
 def rule_tags(messages: DataFrame, rules: DataFrame) -> DataFrame:
     """User rules: key and value where the project fits the rule's glob; a rule without one always holds."""
     rows = _assistant(messages).select(F.col("id").alias("message_id"), "repo_id")
-    r = small(rules)
+    # rules meet the distinct projects, far fewer than messages, and messages their project's tags by key
+    repos = rows.select("repo_id").distinct()
+    plain = F.col("match_repo").isNotNull() & ~F.col("match_repo").rlike("[*?]")
+    by_name = repos.join(rules.where(plain), F.col("repo_id") == F.col("match_repo"))
     fits = F.col("match_repo").isNull() | F.coalesce(glob_match(F.col("repo_id"), F.col("match_repo")), F.lit(False))
-    return rows.join(r, fits).select("message_id", "key", "value").distinct()
+    by_glob = repos.join(small(rules.where(~plain)), fits)
+    own = by_name.unionByName(by_glob).select(F.col("repo_id").alias("__repo"), "key", "value").distinct()
+    own = own.groupBy("__repo").agg(F.collect_set(F.struct("key", "value")).alias("__tags"))  # as many as there are rules
+    met = rows.join(own, F.col("repo_id").eqNullSafe(F.col("__repo")))
+    return met.select("message_id", F.explode("__tags").alias("t")).select("message_id", "t.*").distinct()
 
 
 def tool_outcomes(messages: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from ..functions.text import ticket
 from .rollups import WIRE_SHAPE
 
 CHUNK = 500
+#: Parts that sessions are numbered in.
+PARTS = 64
 #: All that leaves: aggregates, no paths, addresses or texts.
 ROLLUP_COLUMNS = ("bucket_day", "role", "provider", "model", "repo_id", "git_branch", "surface", "ticket", "ticket_source", "message_count", *MEASURES, "cost_cents")
 SESSION_COLUMNS = ("session_id", "provider", "started_at", "ended_at", "duration_ms", "repo_id", "git_branch", "surface", "ticket", "message_count", *MEASURES, "cost_cents", "primary_model")
@@ -60,9 +62,12 @@ def chunked_days(rollups: DataFrame, least: int = CHUNK) -> DataFrame:
 
 
 def chunked_sessions(sessions: DataFrame, most: int = CHUNK) -> DataFrame:
-    """``sessions`` with chunk_id: ``most`` a chunk, in order of their ids; numbers come from range partitions and their sizes."""
-    ranged = sessions.repartitionByRange("session_id").withColumn("__p", F.spark_partition_id()).persist()
-    sizes = {r["__p"]: r["count"] for r in ranged.groupBy("__p").count().collect()}  # a row per partition
+    """``sessions`` with chunk_id: ``most`` a chunk, in order of their ids; numbers come from parts of that order and their sizes."""
+    # parts of the ids' order between the ids of the smallest hashes: the same in every run, unlike a range partitioning's
+    bounds = sorted((r[0] for r in sessions.orderBy(F.xxhash64("session_id"), "session_id").limit(PARTS - 1).select("session_id").collect()), key=str.encode)
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<string>"), lambda b: b <= F.col("session_id")))
+    ranged = sessions.withColumn("__p", part)
+    sizes = {r["__p"]: r["count"] for r in ranged.groupBy("__p").count().collect()}  # PARTS rows at most
     base, total = [], 0
     for p in sorted(sizes):
         base.append((p, total))
@@ -73,18 +78,27 @@ def chunked_sessions(sessions: DataFrame, most: int = CHUNK) -> DataFrame:
 
 
 def read_watermark(spark: SparkSession, path: str) -> date | None:
+    """The latest day since the last reset; None before the first export."""
+    if not _exists(spark, path):
+        return None
+    return spark.read.parquet(path).agg(F.max(F.struct("epoch", "watermark")).alias("w")).first()["w"]["watermark"]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
     try:
-        row = spark.read.parquet(path).agg(F.max("watermark").alias("w")).first()
-    except Exception as e:  # no export yet
+        spark.read.schema("epoch long").parquet(path)
+    except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
-            return None
+            return False
         raise
-    return row["w"]
+    return True
 
 
 def write_watermark(spark: SparkSession, path: str, watermark: date | None) -> None:
-    """Advance, or with None reset, after an export has succeeded."""
-    spark.createDataFrame([(watermark,)], "watermark date").coalesce(1).write.mode("overwrite").parquet(path)
+    """Advance after an export has succeeded: a new file beside the old ones, so a crash loses none. None resets by a row that older ones do not outlive."""
+    seen = spark.read.parquet(path).agg(F.max("epoch")).first()[0] if _exists(spark, path) else None
+    row = [(0 if seen is None else seen + 1 if watermark is None else seen, watermark)]
+    spark.createDataFrame(row, "epoch long, watermark date").coalesce(1).write.mode("append").parquet(path)
 
 
 def stale_shape(days: DataFrame) -> bool:
@@ -94,8 +108,17 @@ def stale_shape(days: DataFrame) -> bool:
 
 
 def write_days(messages: DataFrame, path: str) -> None:
-    """Messages by day; only the days that ``messages`` has are replaced."""
-    rows = messages.withColumn("bucket_day", F.col("timestamp").cast("date")).repartition("bucket_day")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket_day").parquet(path)
+    """Messages by day; only the days that ``messages`` has are replaced. Ranges of day and hashed id: a large day is several tasks' work."""
+    _by_day(messages).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket_day").parquet(path)
+
+
+def _by_day(messages: DataFrame) -> DataFrame:
+    return messages.withColumn("bucket_day", F.col("timestamp").cast("date")).repartitionByRange("bucket_day", F.xxhash64("id"))
+
+
+def reload_days(messages: DataFrame, path: str) -> None:
+    """A forced reload: ``messages`` replace the whole table, days that they lack included. Streams begin again with a checkpoint of their own."""
+    rows = _by_day(messages)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket_day").parquet(path)
 
 

@@ -144,6 +144,23 @@ def session_health(messages: DataFrame, events: DataFrame) -> DataFrame:
     return out.withColumn("state", F.when(any_("red"), "red").when(any_("yellow"), "yellow").when(missing >= 3, "insufficient_data").otherwise("green"))
 
 
+def latest_session(messages: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The id (one row, none without sessions) of the session with the last assistant row; of sessions without one the last begun, then the larger id."""
+    last = _assistant_rows(messages).groupBy("session_id").agg(F.max("timestamp").alias("__last"))
+    out = sessions.select("id", F.coalesce("started_at", "ended_at").alias("__at")).join(last, F.col("id") == F.col("session_id"), "left")
+    return out.orderBy(F.desc_nulls_last("__last"), F.desc_nulls_last("__at"), F.desc("id")).limit(1).select("id")
+
+
+def latest_health(messages: DataFrame, sessions: DataFrame, events: DataFrame) -> DataFrame:
+    """Health of the latest session alone: only its rows are looked at."""
+    one = F.broadcast(latest_session(messages, sessions).select(F.col("id").alias("session_id")))  # one row
+    return session_health(messages.join(one, "session_id", "left_semi"), events.join(one, "session_id", "left_semi"))
+
+
+def _assistant_rows(messages: DataFrame) -> DataFrame:
+    return messages.where("session_id IS NOT NULL AND coalesce(role, 'assistant') = 'assistant'")
+
+
 def health_tips(health: DataFrame) -> DataFrame:
     """A row for each vital that is yellow or red, with its tip."""
     tips = health.sparkSession.createDataFrame([(*k, t) for k, t in TIPS.items()], "vital string, vital_state string, tip string")

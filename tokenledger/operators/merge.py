@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dims import TimeWindow
 from ..functions.text import looks_like_repo
+from ..functions.workers import importable
 from .enrich import ticket_tags
 
 TICKET_KEYS = ("ticket_id", "ticket_prefix", "ticket_source")
@@ -71,15 +75,22 @@ def matched_exact(messages: DataFrame, exact: DataFrame, seconds: int = 1) -> Da
     return ranked.withColumn("how", how).where("how IS NOT NULL").withColumn("k", best).where("k = 1").select("id", "match", "how")
 
 
-def in_interval(points: DataFrame, windows: DataFrame, skew_ms: int = 5000, bucket_ms: int = 3_600_000, most_ms: int = 30 * 86_400_000) -> DataFrame:
+def in_interval(points: DataFrame, windows: DataFrame, skew_ms: int = 5000, bucket_ms: int = 3_600_000, open_ms: int = 30 * 86_400_000) -> DataFrame:
     """(id, session_id) of points (id, at_ms): the window that holds the point, nearest start first, else the nearest edge within ``skew_ms``.
 
-    Windows are dealt to hour buckets and meet points by bucket; a window without an end is open for ``most_ms``."""
-    end = F.least(F.coalesce("end_ms", F.col("start_ms") + most_ms), F.col("start_ms") + most_ms)
-    spread = F.sequence(F.floor((F.col("start_ms") - skew_ms) / bucket_ms), F.floor((end + skew_ms) / bucket_ms))
-    w = windows.select("session_id", "start_ms", end.alias("__end"), F.explode(spread).alias("__b"))
-    p = points.withColumn("__pb", F.floor(F.col("at_ms") / bucket_ms))
-    met = p.join(w, F.col("__pb") == F.col("__b")).where((F.col("at_ms") >= F.col("start_ms") - skew_ms) & (F.col("at_ms") <= F.col("__end") + skew_ms))
+    Windows meet points by bucket. A window's buckets are as long as an hour, doubled until the window spans few of them; points look
+    into a bucket of each length that there is. A window without an end is open for ``open_ms``; others end where they end."""
+    end = F.greatest(F.coalesce("end_ms", F.col("start_ms") + open_ms), F.col("start_ms"))
+    level = F.greatest(F.ceil(F.log2((end - F.col("start_ms") + 2 * skew_ms + 1) / F.lit(8 * bucket_ms))), F.lit(0)).cast("int")
+    long = windows.select("session_id", "start_ms", end.alias("__end"), level.alias("__level"))
+    size = F.lit(bucket_ms) * F.pow(F.lit(2), F.col("__level")).cast("long")
+    spread = F.sequence(F.floor((F.col("start_ms") - skew_ms) / size), F.floor((F.col("__end") + skew_ms) / size))
+    w = long.withColumn("__b", F.explode(spread))
+    levels = [r["__level"] for r in long.select("__level").distinct().collect()]  # a few tens at most: powers of two
+    p = points.withColumn("__pl", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>")))
+    p = p.withColumn("__pb", F.floor(F.col("at_ms") / (F.lit(bucket_ms) * F.pow(F.lit(2), F.col("__pl")).cast("long"))))
+    on = (F.col("__pl") == F.col("__level")) & (F.col("__pb") == F.col("__b"))
+    met = p.join(w, on).where((F.col("at_ms") >= F.col("start_ms") - skew_ms) & (F.col("at_ms") <= F.col("__end") + skew_ms))
     inside = (F.col("at_ms") >= F.col("start_ms")) & (F.col("at_ms") <= F.col("__end"))
     edge = F.least(F.abs(F.col("at_ms") - F.col("start_ms")), F.abs(F.col("at_ms") - F.col("__end")))
     rank = F.struct(F.when(inside, 0).otherwise(1), F.when(inside, F.col("at_ms") - F.col("start_ms")).otherwise(edge), -F.col("start_ms"), F.col("session_id"))
@@ -196,11 +207,49 @@ def minimized(c: Column, policy: str) -> Column:
     return F.when(c.isNotNull() & (c != ""), F.concat(F.lit("sha256:"), F.left(F.sha2(c, 256), F.lit(24)))).otherwise(c)
 
 
-SENSITIVE_KEYS = ("user_email", "email", "cwd", "workspace_root", "transcript_path")
+#: Keys whose texts are minimized, at any depth. Fixed values.
+SENSITIVE_KEYS = ("user_email", "cwd", "workspace_root", "workspace_roots", "project_dir")
+
+
+def _hashed_text(x):
+    return "sha256:" + hashlib.sha256(x.encode()).hexdigest()[:24] if isinstance(x, str) and x.strip() else x
+
+
+def _without_sensitive(x):
+    """A JSON value in which texts, and texts of lists, under a sensitive key are hashed; all else stays as it is."""
+    if isinstance(x, list):
+        return [_without_sensitive(v) for v in x]
+    if not isinstance(x, dict):
+        return x
+    out = {}
+    for k, v in x.items():
+        if k in SENSITIVE_KEYS:
+            v = [_hashed_text(i) for i in v] if isinstance(v, list) else _hashed_text(v)
+        out[k] = _without_sensitive(v)
+    return out
+
+
+def _hashed_json(t: str | None) -> str | None:
+    try:
+        return json.dumps(_without_sensitive(json.loads(t)), ensure_ascii=False, separators=(",", ":"))
+    except (TypeError, ValueError):
+        return None
 
 
 def minimized_json(c: Column, policy: str) -> Column:
-    """A JSON object with its sensitive top-level text values minimized; other text stays as it is."""
-    m = F.from_json(c, "map<string,string>")
-    new = F.map_filter(F.transform_values(m, lambda k, v: F.when(k.isin(*SENSITIVE_KEYS), minimized(v, policy)).otherwise(v)), lambda k, v: v.isNotNull())
-    return c if policy == "full" else F.when(m.isNull(), c).otherwise(F.to_json(new))
+    """A raw payload in full, with its sensitive texts hashed at any depth (null if it is no JSON), or left out.
+
+    JSON of any shape is beyond column functions: Arrow batches through a small helper."""
+    if policy == "full":
+        return c
+    if policy == "omit":
+        return F.lit(None).cast("string")
+    if policy != "hash":
+        raise ValueError(f"no such policy: {policy}")
+    importable(SparkSession.active())
+
+    @F.pandas_udf("string")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return texts.map(_hashed_json)
+
+    return hashed(c)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.dims import TimeWindow, provider
+
 RATES = ("input_cost_per_token", "output_cost_per_token", "cache_creation_input_token_cost", "cache_read_input_token_cost")
 #: A price above this is refused, in USD per million tokens.
 MOST_PER_MILLION = 1000.0
@@ -107,18 +111,21 @@ TOKEN_TYPES = {"input": "input_tokens", "output": "output_tokens", "cache_write"
 
 def team_rates(models: DataFrame, rates: DataFrame, region: str) -> DataFrame:
     """model and a rate per token type: patterns match exactly or by a trailing *, later rows win."""
-    r = small(rates.where((F.col("region") == region) | F.col("region").isNull()))
-    p = F.col("model_pattern")
-    fits = F.when(p.endswith("*"), F.col("model").startswith(F.expr("substring(model_pattern, 1, length(model_pattern) - 1)"))).otherwise(F.col("model") == p)
+    p, text = F.col("model_pattern"), lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("text"))
+    pattern = F.when(p.endswith("*"), text("prefix", F.left(p, F.length(p) - 1))).otherwise(text("whole", p))
+    r = rates.where((F.col("region") == region) | F.col("region").isNull()).withColumn("fits", pattern)
+    # a model meets its patterns by its own text and by all its prefixes: equal keys, no matching of pairs
+    prefixes = F.transform(F.sequence(F.lit(0), F.length("model")), lambda n: text("prefix", F.left("model", n)))
+    each = models.select("model").distinct().withColumn("fits", F.explode(F.concat(F.array(text("whole", F.col("model"))), prefixes)))
     best = lambda t: F.max_by(F.when(F.col("token_type") == t, F.col("sale_usd_per_mtok")), F.when(F.col("token_type") == t, F.col("row_no")))
-    return models.select("model").distinct().join(r, fits).groupBy("model").agg(*[best(t).alias(f"rate_{t}") for t in TOKEN_TYPES])
+    return each.join(r, "fits").groupBy("model").agg(*[best(t).alias(f"rate_{t}") for t in TOKEN_TYPES])
 
 
 def repriced(messages: DataFrame, rates: DataFrame | None, region: str = "global") -> DataFrame:
     """cost_cents_effective by negotiated rates; a missing rate for tokens that are there, or no list, falls back to the ingested cost."""
     if rates is None:
         return messages.withColumn("cost_cents_effective", F.col("cost_cents_ingested"))
-    by_model = small(team_rates(messages.where("model IS NOT NULL"), rates, region))
+    by_model = team_rates(messages.where("model IS NOT NULL"), rates, region)  # a row per model: adaptive execution broadcasts it
     rows = messages.join(by_model, "model", "left")
     lacks, usd = F.lit(False), F.lit(0.0)
     for t, c in TOKEN_TYPES.items():
@@ -137,6 +144,12 @@ def reprice_audit(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def savings(messages: DataFrame, now: datetime, days: int = 30) -> DataFrame:
+    """One row: the cents that negotiated rates have saved in the last ``days``."""
+    cents = F.sum(F.coalesce("cost_cents_ingested", F.lit(0.0)).cast("decimal(20,8)") - F.coalesce("cost_cents_effective", F.lit(0.0)).cast("decimal(20,8)"))
+    return messages.where(TimeWindow(since=now - timedelta(days=days)).where()).agg(F.coalesce(cents, F.lit(0)).cast("double").alias("savings_cents"))
+
+
 def reconciled(messages: DataFrame, bill: DataFrame) -> DataFrame:
     """Costs scaled, by (date, model), to what was billed; a bucket without a cost is spread evenly over its rows (effective only)."""
     b = bill.where("amount_in_cents > 0").select(F.col("date").alias("__d"), F.col("model").alias("__m"), "amount_in_cents")
@@ -167,11 +180,32 @@ def org_managed(bill_runs: DataFrame) -> DataFrame:
 
 def pricing_label(c: Column) -> Column:
     """struct(kind, version) of a pricing_source."""
-    version = F.regexp_extract(c, "^(?:manifest|backfilled|embedded):v([0-9]+)$", 1)
-    kind = F.when(version != "", F.split_part(c, F.lit(":"), F.lit(1))).when(c.startswith("unpriced"), "unpriced").otherwise(c)
+    version = F.regexp_extract(c, "^(?:(?:manifest|backfilled|embedded):v([0-9]+)|manifest:v([0-9]+):alias)$", 1)
+    by_alias = F.regexp_extract(c, "^manifest:v([0-9]+):alias$", 1)
+    kind = F.when(version != "", F.split_part(c, F.lit(":"), F.lit(1))).when(by_alias != "", "manifest_alias").when(c.startswith("unpriced"), "unpriced").otherwise(c)
+    version = F.concat(version, by_alias)
     return F.struct(kind.alias("kind"), F.when(version != "", version).cast("int").alias("version"))
 
 
 def unknown_models(messages: DataFrame) -> DataFrame:
     """Models without a price and how many messages they have."""
     return messages.where("pricing_source = 'unknown' AND model IS NOT NULL").groupBy("model").agg(F.count("*").alias("messages")).orderBy(F.desc("messages"), "model")
+
+
+def unknown_by_provider(messages: DataFrame) -> DataFrame:
+    """Models without a price by provider: when they were first seen and how many messages they have."""
+    rows = messages.where("pricing_source = 'unknown' AND model IS NOT NULL").groupBy(provider().alias("provider"), "model")
+    return rows.agg(F.min("timestamp").alias("first_seen_at"), F.count("*").alias("messages")).orderBy(F.desc("messages"), "model", "provider")
+
+
+def price_status(messages: DataFrame, price_list: DataFrame, aliases: DataFrame, previous: DataFrame, version: int) -> DataFrame:
+    """One row on the list in use: its version, how many models and aliases it knows, rows refused, models and messages without a price.
+
+    ``checked_prices``, ``aliases`` and ``unknown_by_provider`` have the rows behind the numbers."""
+    kept, refused, _ = checked_prices(price_list, previous)
+    told = unknown_by_provider(messages).agg(F.count_distinct("model").alias("unknown_models"), F.coalesce(F.sum("messages"), F.lit(0)).alias("unknown_messages"))
+    one = told.withColumn("version", F.lit(version))
+    for name, rows, column in (("known_models", kept, "model"), ("aliases", aliases, "alias"), ("refused_rows", refused, "model")):
+        n = F.count("*") if name == "refused_rows" else F.count_distinct(column)
+        one = one.join(F.broadcast(rows.agg(n.alias(name))), F.lit(True))  # one row each
+    return one

@@ -91,6 +91,18 @@ def resolve_session(messages: DataFrame, sessions: DataFrame, prefix: str) -> tu
     return ("none", None) if not found else ("unique", found[0]) if len(found) == 1 else ("ambiguous", None)
 
 
+def resolved_sessions(messages: DataFrame, sessions: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """prefix, outcome (unique, none, ambiguous) and id of many prefixes at once, by equal keys: the beginnings of ids in the lengths that prefixes have."""
+    ids = messages.select(F.col("session_id").alias("id")).union(sessions.select("id")).where("id IS NOT NULL").distinct()
+    asked = prefixes.select("prefix").distinct()
+    lengths = [r["n"] for r in asked.select(F.length("prefix").alias("n")).distinct().collect()]  # a few tens
+    begun = ids.select("id", F.explode(F.array(*[F.when(F.length("id") >= n, F.left("id", F.lit(n))) for n in lengths]).cast("array<string>")).alias("prefix"))
+    found = begun.where("prefix IS NOT NULL").groupBy("prefix").agg(F.count("*").alias("n"), F.min("id").alias("one"), F.bool_or(F.col("id") == F.col("prefix")).alias("own"))
+    met = asked.join(found, "prefix", "left")
+    outcome = F.when(F.col("n").isNull(), "none").when(F.col("own") | (F.col("n") == 1), "unique").otherwise("ambiguous")
+    return met.select("prefix", outcome.alias("outcome"), F.when(F.col("own"), F.col("prefix")).when(F.col("n") == 1, F.col("one")).alias("id"))
+
+
 def message_list(
     messages: DataFrame, sessions: DataFrame, window: TimeWindow = ALL_TIME, filters: DimFilters = NO_FILTERS, search: str | None = None,
     sort: str = "timestamp", ascending: bool = False, limit: int = 50, offset: int = 0,
@@ -130,6 +142,13 @@ def session_messages(messages: DataFrame, tags: DataFrame, sessions: DataFrame |
     return out.withColumns({"tools": F.coalesce("tools", empty), "tags": F.coalesce("tags", empty)})
 
 
+def session_page(messages: DataFrame, tags: DataFrame, session_id: str, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of a session's assistant rows, in order, with their number among all of them."""
+    own = messages.where(F.col("session_id") == session_id)
+    rows = session_messages(own, tags.join(own.select(F.col("id").alias("__id")), F.col("message_id") == F.col("__id"), "left_semi"))
+    return rows.where("assistant_sequence IS NOT NULL").orderBy("timestamp", "id").offset(offset).limit(limit)
+
+
 def message_curve(messages: DataFrame) -> DataFrame:
     """Per session, message by message: number, tokens, running cost."""
     rows = facts(messages.where("session_id IS NOT NULL")).where("d_role = 'assistant'")

@@ -84,11 +84,11 @@ query(
     "s14_usage_events",
     f"SELECT 1704067200000 + event_id AS at_ms, {_I} AS input_tokens, event_id % 3 AS output_tokens, CAST(greatest(event_id % 300 * 500 - 1000, 0) AS DOUBLE) AS cents FROM events WHERE event_id % 300 * 500 - 1000 <= 100000 AND (event_id % 300 * 500 - 1000 > 0 OR {_I} + event_id % 3 > 0)",
 )(lambda s, d: t.usage_events(_lines(s, d, _USAGE)).select(F.unix_millis("timestamp").alias("at_ms"), "input_tokens", "output_tokens", F.col("cost_cents_ingested").alias("cents")))
-_PRICES = ''''{"sample_spec":{"input_cost_per_token":1.0,"output_cost_per_token":1.0},"a":{"input_cost_per_token":0.5,"output_cost_per_token":0.25,"cache_read_input_token_cost":0.125},"n' || CAST(n_nationkey AS STRING) || '":{"input_cost_per_token":' || CAST(n_nationkey AS STRING) || ',"output_cost_per_token":2},"bad":{"mode":"chat"}}' AS value'''
+_PRICES = ''''{"sample_spec":{"input_cost_per_token":1.0,"output_cost_per_token":1.0},"a":{"input_cost_per_token":0.5,"output_cost_per_token":0.25,"cache_read_input_token_cost":0.125},"n' || CAST(event_id AS STRING) || '":{"input_cost_per_token":' || CAST(event_id AS STRING) || ',"output_cost_per_token":2},"bad":{"mode":"chat"}}' AS value'''
 query(
     "s17_price_list",
-    "SELECT 'a' AS model, 0.5e0 AS input_cost_per_token, 0.25e0 AS output_cost_per_token, 0.125e0 AS cache_read_input_token_cost FROM nation UNION ALL SELECT 'n' || n_nationkey, CAST(n_nationkey AS DOUBLE), 2e0, NULL FROM nation",
-)(lambda s, d: t.price_list(a.table(s, d, "nation").selectExpr(_PRICES)).drop("cache_creation_input_token_cost"))
+    "SELECT 'a' AS model, 0.5e0 AS input_cost_per_token, 0.25e0 AS output_cost_per_token, 0.125e0 AS cache_read_input_token_cost FROM events UNION ALL SELECT 'n' || event_id, CAST(event_id AS DOUBLE), 2e0, NULL FROM events",
+)(lambda s, d: t.price_list(a.table(s, d, "events").selectExpr(_PRICES)).drop("cache_creation_input_token_cost"))
 
 _T = ("tickets", "SELECT * FROM (VALUES ('PAVA-12-login', 'PAVA-12', 'branch'), ('fix/1234-typo', '1234', 'branch_numeric'), ('03-20-pava-2120_desc', 'PAVA-2120', 'branch'), ('eng-7/chore/sweep-9', 'ENG-7', 'branch')) v(b, ticket, ticket_source)")
 query(

@@ -148,48 +148,22 @@ query("d01_dedup_requests", "SELECT id FROM (SELECT id, row_number() OVER (PARTI
 )
 
 
-def _merge(s, d):
-    rows = a.messages(s, d).where("role = 'assistant' AND request_id IS NOT NULL")
-    stored, batch = rows.where("CAST(substring(id, 2) AS BIGINT) % 3 = 0"), rows.where("CAST(substring(id, 2) AS BIGINT) % 3 = 1")
-    return m.merged(stored, batch)[0].select("id", "output_tokens", "cost_cents_effective")
-
-
 _E = "CAST(substr(id, 2) AS BIGINT) % 3"
-query(
-    "d02_merged",
-    f"""SELECT s.id, greatest(s.output_tokens, coalesce(b.o, 0)) AS output_tokens, CASE WHEN b.o > s.output_tokens THEN b.c ELSE s.cost_cents_effective END AS cost_cents_effective FROM st s LEFT JOIN ba b ON b.request_id = s.request_id AND b.session_id = s.session_id
-UNION ALL SELECT id, output_tokens, cost_cents_effective FROM asst WHERE {_E} = 1 AND NOT EXISTS (SELECT 1 FROM st WHERE st.request_id = asst.request_id AND st.session_id = asst.session_id)""",
-    ("st", f"SELECT * FROM asst WHERE {_E} = 0"), ("ba", f"SELECT request_id, session_id, max(output_tokens) AS o, arg_max(cost_cents_effective, output_tokens) AS c FROM asst WHERE {_E} = 1 GROUP BY 1, 2"),
-)(_merge)
-
-
-def _windows(s, d):
-    rows = r.sessions(a.messages(s, d))
-    ms = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / 1000)
-    return rows.where("hash(id) IS NOT NULL AND id LIKE 's1%'").select(F.col("id").alias("session_id"), ms("started_at").alias("start_ms"), ms("ended_at").alias("end_ms"))
-
 
-query(
-    "j03_sessions_by_time",
-    """SELECT p.id, arg_min(w.session_id, {'a': CASE WHEN p.t BETWEEN w.a AND w.b THEN 0 ELSE 1 END, 'b': CASE WHEN p.t BETWEEN w.a AND w.b THEN p.t - w.a ELSE least(abs(p.t - w.a), abs(p.t - w.b)) END, 'c': -w.a, 'd': w.session_id}) AS session_id
-FROM (SELECT id, epoch_us(timestamp) // 1000 AS t FROM base WHERE session_id IS NULL) p JOIN (SELECT id AS session_id, epoch_us(started_at) // 1000 AS a, epoch_us(ended_at) // 1000 AS b FROM sess WHERE id LIKE 's1%') w ON p.t BETWEEN w.a - 5000 AND w.b + 5000 GROUP BY 1""",
-    _SESS,
-)(lambda s, d: m.in_interval(a.raw_messages(s, d).where("session_id IS NULL").select("id", F.floor(F.unix_micros(F.col("timestamp").cast("timestamp")) / 1000).alias("at_ms")), _windows(s, d)))
 
-
-def _merge_all(s, d):
+def _merge(s, d):
     rows = a.messages(s, d).where("role = 'assistant'")
-    first = "CAST(substring(id, 2) AS BIGINT) % 3 = 0"
-    return m.merged(rows.where(first), rows.where(f"NOT ({first})"))[0].select("id", "output_tokens", "cost_cents_effective")
+    return m.merged(rows.where(f"{_E} = 0"), rows.where(f"{_E} <> 0"))[0].select("id", "output_tokens", "cost_cents_effective")
 
 
-# the whole jobs of d02 and j03: every row, and every session's window
-query(
-    "d02_merged_all",
-    f"""SELECT s.id, greatest(s.output_tokens, coalesce(b.o, 0)) AS output_tokens, CASE WHEN b.o > s.output_tokens THEN b.c ELSE s.cost_cents_effective END AS cost_cents_effective FROM st s LEFT JOIN ba b ON b.request_id = s.request_id AND b.session_id = s.session_id
+# every row is stored or in the batch
+for _name in ("d02_merged", "d02_merged_all"):
+    query(
+        _name,
+        f"""SELECT s.id, greatest(s.output_tokens, coalesce(b.o, 0)) AS output_tokens, CASE WHEN b.o > s.output_tokens THEN b.c ELSE s.cost_cents_effective END AS cost_cents_effective FROM st s LEFT JOIN ba b ON b.request_id = s.request_id AND b.session_id = s.session_id
 UNION ALL SELECT id, output_tokens, cost_cents_effective FROM asst WHERE {_E} <> 0 AND NOT EXISTS (SELECT 1 FROM st WHERE st.request_id = asst.request_id AND st.session_id = asst.session_id)""",
-    ("st", f"SELECT * FROM asst WHERE {_E} = 0"), ("ba", f"SELECT request_id, session_id, output_tokens AS o, cost_cents_effective AS c FROM (SELECT *, row_number() OVER (PARTITION BY request_id, session_id ORDER BY output_tokens DESC, id) AS k FROM asst WHERE {_E} <> 0) WHERE k = 1"),
-)(_merge_all)
+        ("st", f"SELECT * FROM asst WHERE {_E} = 0"), ("ba", f"SELECT request_id, session_id, output_tokens AS o, cost_cents_effective AS c FROM (SELECT *, row_number() OVER (PARTITION BY request_id, session_id ORDER BY output_tokens DESC, id) AS k FROM asst WHERE {_E} <> 0) WHERE k = 1"),
+    )(_merge)
 
 
 def _all_windows(s, d):
@@ -197,12 +171,13 @@ def _all_windows(s, d):
     return r.sessions(a.messages(s, d)).select(F.col("id").alias("session_id"), ms("started_at").alias("start_ms"), ms("ended_at").alias("end_ms"))
 
 
-query(
-    "j03_all_sessions_by_time",
-    """SELECT p.id, arg_min(w.session_id, {'a': CASE WHEN p.t BETWEEN w.a AND w.b THEN 0 ELSE 1 END, 'b': CASE WHEN p.t BETWEEN w.a AND w.b THEN p.t - w.a ELSE least(abs(p.t - w.a), abs(p.t - w.b)) END, 'c': -w.a, 'd': w.session_id}) AS session_id
-FROM (SELECT id, epoch_us(timestamp) // 1000 AS t FROM base WHERE session_id IS NULL) p JOIN (SELECT id AS session_id, epoch_us(started_at) // 1000 AS a, epoch_us(ended_at) // 1000 AS b FROM sess) w ON p.t BETWEEN w.a - 5000 AND w.b + 5000 GROUP BY 1""",
-    _SESS,
-)(lambda s, d: m.in_interval(a.raw_messages(s, d).where("session_id IS NULL").select("id", F.floor(F.unix_micros(F.col("timestamp").cast("timestamp")) / 1000).alias("at_ms")), _all_windows(s, d)))
+#: Rows without a session and the session whose window they fall into.
+BY_TIME = """SELECT p.id, arg_min(w.session_id, {'a': CASE WHEN p.t BETWEEN w.a AND w.b THEN 0 ELSE 1 END, 'b': CASE WHEN p.t BETWEEN w.a AND w.b THEN p.t - w.a ELSE least(abs(p.t - w.a), abs(p.t - w.b)) END, 'c': -w.a, 'd': w.session_id}) AS session_id
+FROM (SELECT id, epoch_us(timestamp) // 1000 AS t FROM base WHERE session_id IS NULL) p JOIN (SELECT id AS session_id, epoch_us(started_at) // 1000 AS a, epoch_us(ended_at) // 1000 AS b FROM sess) w ON p.t BETWEEN w.a - 5000 AND w.b + 5000 GROUP BY 1"""
+for _name in ("j03_sessions_by_time", "j03_all_sessions_by_time"):  # every session's window
+    query(_name, BY_TIME, _SESS)(
+        lambda s, d: m.in_interval(a.raw_messages(s, d).where("session_id IS NULL").select("id", F.floor(F.unix_micros(F.col("timestamp").cast("timestamp")) / 1000).alias("at_ms")), _all_windows(s, d))
+    )
 query(
     "d05_repaired_branches",
     """SELECT b.id, coalesce(nullif(b.git_branch, ''), nullif(s.git_branch, ''), o.g) AS git_branch FROM base b LEFT JOIN sess s ON s.id = b.session_id LEFT JOIN (SELECT session_id, arg_min(git_branch, {'t': timestamp, 'i': id}) AS g FROM base WHERE git_branch <> '' AND session_id IS NOT NULL GROUP BY 1) o ON o.session_id = b.session_id""",
@@ -221,10 +196,16 @@ query(
 query("d09_first_prompts", "SELECT conv_id, arg_min(text, turn) AS first_text FROM conversations WHERE role = 'user' AND trim(text) <> '' GROUP BY 1")(
     lambda s, d: a.table(s, d, "conversations").where("role = 'user' AND trim(text) <> ''").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first_text"))
 )
-query("d09_prompt_titles")(lambda s, d: m.first_prompt_titles(a.table(s, d, "conversations"), "conv_id", "turn"))
+_LINE = "trim(regexp_replace(split_part(trim(text), chr(10), 1), '\\s+', ' ', 'g'))"
+query(
+    "d09_prompt_titles",
+    f"""SELECT conv_id, CASE WHEN length(line) <= 80 THEN line WHEN substr(line, 81, 1) = ' ' THEN rtrim(left(line, 80)) || '…' ELSE regexp_replace(left(line, 80), '\\s+\\S*$', '') || '…' END AS title
+FROM (SELECT conv_id, {_LINE} AS line FROM (SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'user' AND trim(text) <> '' GROUP BY 1))""",
+)(lambda s, d: m.first_prompt_titles(a.table(s, d, "conversations"), "conv_id", "turn"))
 query(
     "d10_purged_tickets",
-    "SELECT message_id, key, value FROM tags WHERE NOT (key IN ('ticket_id', 'ticket_prefix', 'ticket_source') AND message_id IN (SELECT message_id FROM tags WHERE key = 'ticket_id' AND starts_with(value, 'OPS-')))",
+    "SELECT t.message_id, key, value FROM tags t LEFT JOIN bad ON bad.message_id = t.message_id WHERE bad.message_id IS NULL OR key NOT IN ('ticket_id', 'ticket_prefix', 'ticket_source')",
+    ("bad", "SELECT DISTINCT message_id FROM tags WHERE key = 'ticket_id' AND starts_with(value, 'OPS-')"),
 )(lambda s, d: m.purged_tickets(a.tags(s, d), ("OPS",)))
 query("d12_false_repos", "SELECT id, CASE WHEN regexp_matches(repo_id, '^[^/]*\\.[^/]*/[^/]*/.*$') THEN repo_id END AS repo_id FROM base")(
     lambda s, d: m.without_false_repos(a.raw_messages(s, d)).select("id", "repo_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import breakdowns, feeds, sessions, upkeep
+from .plans import breakdowns, feeds, records, sessions, upkeep
 
-QUERIES = {**breakdowns.Q, **sessions.Q, **upkeep.Q, **feeds.Q}
-ORACLES = {**breakdowns.SQL, **sessions.SQL, **upkeep.SQL, **feeds.SQL}
+QUERIES = {**breakdowns.Q, **sessions.Q, **upkeep.Q, **feeds.Q, **records.Q}
+ORACLES = {**breakdowns.SQL, **sessions.SQL, **upkeep.SQL, **feeds.SQL, **records.SQL}

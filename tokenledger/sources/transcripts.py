@@ -5,11 +5,16 @@ is no JSON gives no row."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import timestamp_of, uuid_of
+from ..functions.workers import importable
 
 STAGING = {
     "id": "string", "session_id": "string", "role": "string", "timestamp": "timestamp", "model": "string", "input_tokens": "bigint", "output_tokens": "bigint",
@@ -29,14 +34,28 @@ BLOCKS = "array<struct<type:string,id:string,name:string,text:string,tool_use_id
 
 
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, line_no, value of all complete lines; what follows a file's last line feed is left for a later read."""
-    whole = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    return split_lines(whole)
+    """file, line_no, value of all complete lines; what follows a file's last line feed is left for a later read.
+
+    Files are read split by split."""
+    return numbered(raw_lines(spark.read, paths))
+
+
+def raw_lines(reader, paths: str | list[str]) -> DataFrame:
+    """Lines with their file, its size and the start of their split, from a batch or a streaming reader."""
+    meta = {"file": "file_path", "block": "file_block_start", "size": "file_size"}
+    text = reader.format("text").option("lineSep", "\n").load(paths)
+    return text.select("value", *[F.col(f"_metadata.{c}").alias(n) for n, c in meta.items()])
 
 
-def split_lines(files: DataFrame) -> DataFrame:
-    each = files.select("file", F.posexplode(F.slice(F.split("value", "\n"), 1, F.size(F.split("value", "\n")) - 1)).alias("line_no", "value"))
-    return each.where(F.trim("value") != "").select("file", F.col("line_no").cast("bigint").alias("line_no"), "value")
+def numbered(raw: DataFrame) -> DataFrame:
+    """file, line_no, value of ``raw_lines``, in the order of the file; blank lines count, but give no row.
+
+    A file whose lines, with a line feed each, are longer than the file does not end with a line feed: its last line is not complete."""
+    rows = raw.withColumn("at", F.monotonically_increasing_id())
+    order = W.partitionBy("file").orderBy("block", "at")
+    length = F.sum(F.octet_length("value") + 1).over(W.partitionBy("file"))
+    rows = rows.withColumns({"line_no": F.row_number().over(order).cast("bigint") - 1, "open": (length > F.col("size")) & F.lead(F.lit(1)).over(order).isNull()})
+    return rows.where(~F.col("open") & (F.trim("value") != "")).select("file", "line_no", "value")
 
 
 def _parsed(rows: DataFrame) -> DataFrame:
@@ -206,31 +225,76 @@ def request_model(price_list: DataFrame, agents: DataFrame, rows: DataFrame, v:
     return rows.withColumn("model", F.coalesce("__priced", own)).drop("__resolved", "__declared", "__agent", "__priced", "__a", "__by_agent")
 
 
+def _slot(state: list, path: list) -> tuple | None:
+    """(container, key, whether it was there) of the place that ``path`` names below ``state[0]``; what lacks on the way is made, and
+    replaced where a number meets no list or a name no object. None for a path with other steps."""
+    holder, key, there = state, 0, True
+    for step in path:
+        kind = dict if isinstance(step, str) else list if isinstance(step, int) and not isinstance(step, bool) and step >= 0 else None
+        if kind is None:
+            return None
+        if not isinstance(holder[key], kind):
+            holder[key] = kind()
+        holder, key = holder[key], step
+        there = key in holder if kind is dict else key < len(holder)
+        if not there:
+            holder.update({key: None}) if kind is dict else holder.extend([None] * (key + 1 - len(holder)))
+    return holder, key, there
+
+
+def _mutated(state: list, line: dict) -> None:
+    """One line of a mutation log on ``state[0]``: 0 puts in the keys it has, 1 sets at a path, 2 appends at a path (none: requests)."""
+    kind, value, path = line.get("kind"), line.get("v"), line.get("k")
+    path = path if isinstance(path, list) else None
+    if isinstance(kind, bool) or "v" not in line:
+        return
+    if kind == 0 and isinstance(value, dict) and isinstance(state[0], dict):
+        state[0].update(value)
+    elif kind == 1 and path is not None:
+        if at := _slot(state, path):
+            at[0][at[1]] = value
+    elif kind == 2 and isinstance(value, list):
+        if at := _slot(state, path or ["requests"]):
+            holder, key, there = at
+            if not there:
+                holder[key] = []
+            if isinstance(holder[key], list):
+                holder[key].extend(value)
+
+
 def folded_requests(rows: DataFrame) -> DataFrame:
     """(file, idx, session_id, v): each request of a mutation log in its last state.
 
-    Snapshots (kind 0) and appends to ``requests`` (kind 2) number the requests of a file; a later snapshot starts anew. Patches
-    (kind 1) of a request's field hold by the last line that set the field."""
-    v = _parsed(rows).withColumns({"kind": get("$.kind", "int"), "path": F.from_json(F.to_json(get("$.k", "variant")), "array<string>")})
-    era = F.max(F.when(F.col("kind") == 0, F.col("line_no"))).over(W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
-    v = v.withColumn("era", era).withColumn("newest", F.max(F.when(F.col("kind") == 0, F.col("line_no"))).over(W.partitionBy("file"))).where(F.col("era").eqNullSafe(F.col("newest")))
-    session = v.where("kind = 0").groupBy("file").agg(F.max_by(get("$.v.sessionId"), "line_no").alias("session_id"))
-    whole = F.when(F.col("kind") == 0, get("$.v.requests", "variant")).when((F.col("kind") == 2) & (F.array_join("path", "/") == "requests"), get("$.v", "variant"))
-    items = v.select("file", "line_no", F.from_json(F.to_json(whole), "array<string>").alias("items")).where("items IS NOT NULL")
-    each = items.select("file", "line_no", F.posexplode("items").alias("pos", "item"))
-    made = each.withColumn("idx", F.row_number().over(W.partitionBy("file").orderBy("line_no", "pos")) - 1).select("file", "idx", "line_no", F.explode(F.from_json("item", "map<string,string>")).alias("field", "value"))
-    patches = v.where("kind = 1 AND size(path) >= 3 AND path[0] = 'requests'").select(
-        "file", F.col("path")[1].cast("int").alias("idx"), "line_no", F.array_join(F.slice("path", 3, 20), ".").alias("field"), F.to_json(get("$.v", "variant")).alias("value")
-    )
-    top = made.select("file", "idx", "line_no", "field", "value").unionByName(patches.where("NOT contains(field, '.')"))
-    last = top.groupBy("file", "idx", "field").agg(F.max_by("value", "line_no").alias("value"))
-    fields = last.groupBy("file", "idx").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields"))
-    deep = patches.where("contains(field, '.')").groupBy("file", "idx", "field").agg(F.max_by("value", "line_no").alias("value")).groupBy("file", "idx").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("deep"))
-    out = fields.join(deep, ["file", "idx"], "left").join(session, "file", "left")
-    # fields hold JSON text of objects and plain text of strings: quote what is no JSON
-    quoted = F.transform_values("fields", lambda k, x: F.when(F.try_parse_json(x).isNotNull() & ~k.isin("requestId", "modelId"), x).otherwise(F.to_json(F.struct(x.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(x.alias("x")))) - 6)))
-    text = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(quoted), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), F.coalesce(e["value"], F.lit("null")))), ","), F.lit("}"))
-    return out.select("file", "idx", "session_id", F.try_parse_json(text).alias("v"), "deep")
+    Lines patch a document at paths of any depth, each upon the state that the lines before it left. A task goes through the sorted
+    lines of its files one by one and holds the state of one file."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def told(file: str, state: list) -> pd.DataFrame:
+            doc = state[0] if isinstance(state[0], dict) else {}
+            session, made = doc.get("sessionId"), doc.get("requests")
+            own = [(file, k, session if isinstance(session, str) else None, json.dumps(r)) for k, r in enumerate(made if isinstance(made, list) else []) if isinstance(r, dict)]
+            return pd.DataFrame(own, columns=["file", "idx", "session_id", "item"])
+
+        file, state = None, [{}]
+        for batch in batches:
+            for f, value in zip(batch["file"], batch["value"]):
+                if f != file:
+                    if file is not None:
+                        yield told(file, state)
+                    file, state = f, [{}]
+                try:
+                    line = json.loads(value)
+                except ValueError:
+                    continue
+                if isinstance(line, dict):
+                    _mutated(state, line)
+        if file is not None:
+            yield told(file, state)
+
+    importable(rows.sparkSession)
+    ordered = rows.select("file", "line_no", "value").repartition("file").sortWithinPartitions("file", "line_no")
+    made = ordered.mapInPandas(fold, "file string, idx int, session_id string, item string")
+    return made.select("file", "idx", "session_id", F.try_parse_json("item").alias("v"))
 
 
 def chat_requests(requests: DataFrame, provider: str = "copilot_chat") -> DataFrame:

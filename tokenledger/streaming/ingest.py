@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,19 +12,16 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions import dims
-from ..operators.exports import write_days
+from ..operators.exports import reload_days, write_days
 from ..operators.merge import dedup_requests, merged
 from ..operators.rollups import hourly
+from ..sources.transcripts import numbered, raw_lines
 
 
 def transcript_files(spark: SparkSession, path: str, most_files: int = 200, most_bytes: str | None = None) -> DataFrame:
-    """A stream of line files that are complete when they appear: (file, line_no, value)."""
-    reader = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", most_files)
-    if most_bytes:
-        reader = spark.readStream.format("text").option("wholetext", True).option("maxBytesPerTrigger", most_bytes)
-    from ..sources.transcripts import split_lines
-
-    return split_lines(reader.load(path).select("value", F.col("_metadata.file_path").alias("file")))
+    """A stream of the lines of files that are complete when they appear; ``ingest`` numbers them batch by batch."""
+    limit = ("maxBytesPerTrigger", most_bytes) if most_bytes else ("maxFilesPerTrigger", most_files)
+    return raw_lines(spark.readStream.option(*limit), path)
 
 
 def _stored(spark: SparkSession, path: str, days: DataFrame | None = None) -> DataFrame | None:
@@ -58,10 +56,22 @@ def load_batch(batch: DataFrame, path: str, staging: str, epoch: int) -> None:
 
 def ingest(lines: DataFrame, parse: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, staging: str, available_now: bool = True) -> StreamingQuery:
     """Lines through ``parse`` (and what it does besides) into the message table; the same checkpoint serves live and catch-up runs."""
-    writer = lines.writeStream.foreachBatch(lambda df, epoch: load_batch(parse(df), path, staging, epoch)).option("checkpointLocation", checkpoint)
+    writer = lines.writeStream.foreachBatch(lambda df, epoch: load_batch(parse(numbered(df)), path, staging, epoch)).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if available_now else writer.trigger(processingTime="5 seconds").start()
 
 
+def reload(lines: DataFrame, parse: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, staging: str) -> StreamingQuery:
+    """A forced reload: what was ingested is cleared, and all sources are taken again under a checkpoint that no run has used.
+
+    ``lines`` has to be a new stream of the sources."""
+    spark = lines.sparkSession
+    stored = _stored(spark, path)
+    if stored is not None:
+        reload_days(stored.drop("bucket_day").limit(0), path)
+    fresh = uuid.uuid4().hex
+    return ingest(lines, parse, path, f"{checkpoint}/{fresh}", f"{staging}/{fresh}")
+
+
 def live_hourly(messages: DataFrame, late: str = "1 day") -> DataFrame:
     """A streaming hourly rollup for append-only messages: counts, tokens and cost by provider and model (update mode)."""
     f = dims.facts(messages.withWatermark("timestamp", late))
