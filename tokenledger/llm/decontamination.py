@@ -8,10 +8,12 @@ and, for the spans, to offsets of the original text.
 
 The automaton is built in the workers from broadcast windows. A block of items holds at most
 ``BLOCK_BYTES`` of windows, however large the benchmark is: beyond that the items are dealt to
-several blocks and the corpus is scanned once for each, so what a worker holds is bounded.
+several blocks and the corpus is scanned once for each, by tasks of their own, so a task holds one
+automaton; what the scans find meets the documents by two hashes of the text.
 
 Defined results: a null text or item has no words; equal items keep their own ids, repeated rows of
-one item count once; a null item id marks words but is not listed; an empty benchmark finds nothing.
+one item count once; a null item id marks words but is not listed; ids of any type; an empty
+benchmark finds nothing; an empty documents table gives an empty result; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER
+from .shared import LOWER, few, written
 
 WINDOW = 10
 #: Bytes of windows that one automaton holds.
@@ -36,7 +38,7 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Bytes: A-Z to a-z, ASCII letters and digits and all bytes beyond ASCII stay, the others are blanks.
 _CLEAN = bytes(LOWER[b] if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 
-HITS = "n_words long, hit_words array<int>, item_ids array<long>, spans array<struct<start:int,end:int>>"
+HITS = "n_words long, hit_words array<int>, item_ids array<{}>, spans array<struct<start:int,end:int>>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -107,10 +109,10 @@ def _matches(text: str | None, auto, with_spans: bool):
 _LOWER_STR = {i: i + 32 for i in range(65, 91)}
 
 
-def _finder(shared, window: int, with_spans: bool):
+def _finder(shared, window: int, with_spans: bool, schema: str):
     key = uuid.uuid4().hex
 
-    @F.pandas_udf(HITS)
+    @F.pandas_udf(schema)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         auto = _automaton_of(key, shared)
         for texts in batches:
@@ -148,21 +150,33 @@ def benchmark_hits(
     """``docs`` with n_words, n_hit, item_ids (sorted), spans (code points of the original text) and
     contaminated. Spans cover neighbouring hit words together."""
     sc = docs.sparkSession.sparkContext
-    parts: list[Column] = []
-    for block in item_blocks(benchmark, item_id, item_text, window, block_bytes):
-        shared = sc.broadcast((block, window))
-        parts.append(_finder(shared, window, with_spans)(F.col(text)))
-    out = docs.withColumns({f"__hits{i}": p for i, p in enumerate(parts)})
-    of = [f"__hits{i}" for i in range(len(parts))]
-    joined = lambda f: functools.reduce(F.array_union, [F.col(f"{c}.{f}") for c in of])
+    schema = HITS.format(benchmark.schema[item_id].dataType.simpleString())
+    find = [_finder(sc.broadcast((block, window)), window, with_spans, schema) for block in item_blocks(benchmark, item_id, item_text, window, block_bytes)]
+    if len(find) == 1:
+        out = docs.withColumn("__hits", find[0](F.col(text)))
+    else:
+        # a scan of its own for each block: a task holds one automaton; what it finds depends on the text alone
+        key = [F.xxhash64(F.lit(k), F.coalesce(text, F.lit(""))).alias(f"__key{k}") for k in (0, 1)]
+        keys = ["__key0", "__key1"]
+        found = None
+        for f in find:
+            part = docs.select(*key, f(F.col(text)).alias("h")).where(F.size("h.hit_words") > 0)
+            found = part if found is None else found.unionByName(part)
+        union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(f"h.{c}")))).alias(f"__{c}")
+        found = written(found.groupBy(*keys).agg(*[union(c) for c in ("hit_words", "item_ids", "spans")]), "hits")
+        met = docs.withColumns(dict(zip(keys, key))).join(few(found), keys, "left")
+        words_of = F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0)))
+        none = lambda c: F.coalesce(c, F.array())
+        made = F.struct(words_of.cast("long").alias("n_words"), *[none(f"__{c}").alias(c) for c in ("hit_words", "item_ids", "spans")])
+        out = met.withColumn("__hits", made).drop(*keys, "__hit_words", "__item_ids", "__spans")
     return out.withColumns(
         {
-            "n_words": F.col(f"{of[0]}.n_words"),
-            "n_hit": F.size(joined("hit_words")).cast("long"),
-            "item_ids": F.array_sort(joined("item_ids")),
-            "spans": F.array_sort(joined("spans")),
+            "n_words": F.col("__hits.n_words"),
+            "n_hit": F.size("__hits.hit_words").cast("long"),
+            "item_ids": F.array_sort("__hits.item_ids"),
+            "spans": F.array_sort("__hits.spans"),
         }
-    ).withColumn("contaminated", F.col("n_hit") > 0).drop(*of)
+    ).withColumn("contaminated", F.col("n_hit") > 0).drop("__hits")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **kind) -> DataFrame:

@@ -10,7 +10,7 @@ blocks, a task compares two blocks by signature (equal groups of bits counted, c
 2^-BITS chance of equal bits) and passes on the classes that have a likely partner, once each. Then
 the full sets of these classes meet in the same blocks, the likely pairs are found again, and their
 similarity is confirmed exactly; pairs that confirmed links have already joined inside the task are
-skipped, so a group of n near copies gives about n links. A pair is taken up only in the first band
+skipped, and a task passes on a star for each group it has joined, so n near copies give about n links. A pair is taken up only in the first band
 it shares. Components come from alternating large-star and small-star steps over the links.
 
 Keys that many rows have (a bucket, a class of copies, the hub of a star) meet their one row by
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .shared import CHUNK_BYTES, LOWER, byte_runs, few, join_hot, sizes, written
@@ -228,7 +228,7 @@ def _likely(floor: float):
 
 
 def _confirmed(similarity: float, floor: float):
-    """Links among the classes of a job that hold on the full sets; none between classes already joined."""
+    """Classes of a job that links on the full sets join, each linked to the first of those it is joined to; pairs already joined are skipped."""
     percent = round(similarity * 100)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,7 +236,6 @@ def _confirmed(similarity: float, floor: float):
             sets = [np.frombuffer(x, np.uint64) for x in b["shingles"]]
             size = np.array([len(s) for s in sets])
             root = np.arange(len(b))
-            links = []
             for x, y in _pairs(b, floor):
                 short, long = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
                 open_ = (root[x] != root[y]) & (100 * short >= percent * long)
@@ -246,10 +245,13 @@ def _confirmed(similarity: float, floor: float):
                     both = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
                     if 100 * both >= percent * (len(sets[u]) + len(sets[v]) - both):
                         root[root == root[u]] = root[v]
-                        links.append((u, v))
-            if links:
-                u, v = (list(k) for k in zip(*links))
+            if (root != np.arange(len(b))).any():
+                # stars around the least id, as its text tells it, need the fewest steps to a component
                 rep, cls = b["rep"].to_numpy(), b["cls"].to_numpy()
+                order = sorted(range(len(b)), key=lambda i: (root[i], len(rep[i]), rep[i]))
+                u, centre = np.array(order), root[order]
+                v = u[np.searchsorted(centre, centre)]
+                u, v = u[u != v], v[u != v]
                 yield pd.DataFrame({"ur": rep[u], "u": cls[u], "vr": rep[v], "v": cls[v]})
 
     return run
@@ -313,28 +315,30 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str,
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for the nodes of links (u, v): the least node reachable."""
-    edges, before = written(links.where("u != v").distinct(), "edges"), None
-    while True:
+
+    def kept(df: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+        """Written, with the number of edges and a sum of their hashes, taken in the same pass."""
+        seen = Observation()
+        told = df.observe(seen, F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0)).alias("h"))
+        out = written(told, name)
+        return out, (seen.get["n"], seen.get["h"])
+
+    edges, state = kept(links.where("u != v").distinct(), "edges")
+    while state[0]:
         # large star: neighbours above a node go to the least of its neighbourhood
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("degree")), "stars")
-        total = 2 * edges.count()
-        large = join_hot(both, least, ["u"], "degree", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = join_hot(both, least, ["u"], "degree", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         # small star: a node and its neighbours below go to the least of them
-        large = written(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
+        large, told = kept(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
         low = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")), "stars")
-        small = (
-            join_hot(large, low, ["u"], "degree", total)
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-            .select("e.*")
-            .where("u != v")
-            .distinct()
-        )
-        edges = written(small, "edges")
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if state == before:
-            return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-        before = state
+        pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        small = join_hot(large, low, ["u"], "degree", told[0]).select(F.explode(pairs).alias("e")).select("e.*").where("u != v").distinct()
+        edges, now = kept(small, "edges")
+        if now == state:
+            break
+        state = now
+    return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
 
 
 def near_duplicates(

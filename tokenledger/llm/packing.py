@@ -12,7 +12,8 @@ often which lengths share a sequence:
    fits follows, until none fits.
 
 The plan's slots then meet the pieces by (length, rank among the pieces of that length), a join.
-Ranks come from salted groups with offsets, so one length may hold any share of all pieces.
+Ranks come from salted groups with offsets, as many as a length has pieces for, so one length may
+hold any share of all pieces.
 
 Defined results: a null text is an empty document and still has its closing id; repeated rows are
 documents of their own; an empty table gives an empty result.
@@ -30,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import byte_runs, written
+from .shared import byte_runs, sizes, written
 from .tokens import units, vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
 SIZE = 2048
 END_ID = 0
-#: Groups that the pieces of one length are dealt to for their ranks.
-SALTS = 64
+#: Pieces of one length that are ranked together, about.
+RANKED = 1 << 20
 
 PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
@@ -63,7 +64,7 @@ def token_pieces(docs: DataFrame, text: str, vocabulary: str, size: int, end_id:
         for batch in batches:
             texts = [t or "" for t in batch.to_pylist()]
             out = []
-            for lo, hi in byte_runs([len(t) for t in texts]):
+            for lo, hi in byte_runs(sizes(texts)):
                 out += [_pieces(ids + end, size) for ids in tok.ids(texts[lo:hi])]
             yield pa.array(out, kind)
 
@@ -159,8 +160,13 @@ def pack(
     """Pieces with sequence_id and offset: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     pieces = written(token_pieces(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", vocabulary, size, end_id), "pieces")
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    groups = salted.groupBy("length", "salt").count().collect()  # at most size * SALTS rows
+    # a piece of the full size is a sequence of its own and needs no rank
+    full = pieces.where(F.col("length") == size).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    pieces = pieces.where(F.col("length") < size)
+    salts = pieces.groupBy("length").agg(F.ceil(F.count("*") / RANKED).cast("int").alias("salts"))  # a row per length
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")).cast("int")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", salt).drop("salts")
+    groups = salted.groupBy("length", "salt").count().collect()  # a row per length and RANKED pieces
     counts: dict[int, int] = defaultdict(int)
     bases = []
     for r in sorted(groups):
@@ -185,16 +191,18 @@ def pack(
     )
     ranked = (
         salted.withColumn("in_salt", F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-        .join(F.broadcast(base), ["length", "salt"])  # at most size * SALTS rows
+        .join(F.broadcast(base), ["length", "salt"])  # as many rows as groups
         .withColumn("rank", F.col("base") + F.col("in_salt"))
     )
-    return placed(ranked, slot).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    return placed(ranked, slot).select(*columns).unionByName(full.select(*columns))
 
 
 def placed(ranked: DataFrame, slot: DataFrame) -> DataFrame:
     """Each piece's slot: the plan as one row per length, searched by the piece's rank.
 
-    The plan has a few slots per length, so the table is bounded by the plan and not by the corpus.
+    Every step of the plan uses up a length, so there are fewer than ``size`` kinds of sequences, and the table is bounded by the
+    plan and not by the corpus.
     """
     by_length = slot.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("rank", "shift", "offset"))).alias("slots"))
     found = ranked.join(F.broadcast(by_length), "length")

@@ -3,17 +3,19 @@
 A word has two tokens: its lower-cased core and its shape (case, digits, closing signs, whether it
 repeats the word before), each hashed to a fixed number of ids. Every id has a fixed sparse random
 index vector; a token's word vector is the normalised sum of the index vectors of its neighbours
-over the training texts. A document is the mean of its cores' vectors, the mean of its shapes'
+over all texts. A document is the mean of its cores' vectors, the mean of its shapes'
 vectors and a few pooled counts of its words. A two-layer network in numpy gives the logit; a
 temperature, fitted on training rows set apart, calibrates it.
 
-Labels are learned from at most ``MOST_ROWS`` labelled rows (the bound of the fit; the rows of the
-smallest hash of their id), none of them held out. Vectors, features and scores are made by tasks;
+Word vectors take no labels and cover all documents. Labels are learned from at most ``MOST_ROWS``
+labelled rows (the bound of the fit; the rows of the smallest hash of their id), none of them held
+out. Vectors, features and scores are made by tasks;
 the driver sees the bounded feature rows and fits the small network. Scores cover every whole text.
 
 Defined results: an empty or null text has the features of no words and so the same score as any
 other; without a labelled row every score is 0.5; a label row of several for one id counts by its
-least quality; rows of null quality are no labels; extra columns are kept.
+least quality; rows of null quality are no labels; extra columns are kept; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, crc32_mod
+from .shared import LOWER, crc32_mod, packed_sums, tree_summed
 
 #: Labelled rows that the classifier is fitted on at most.
 MOST_ROWS = 12_000
@@ -39,7 +41,7 @@ MEMO_WORDS = 500_000
 #: Words whose vectors are gathered at a time.
 SLICE = 1 << 16
 
-_COUNTS = 6
+_COUNTS, _BLOCKS = 6, 16
 _SIGNS = b".,;:!?*#$%&|=+-_/\\()[]{}<>\"'"
 
 
@@ -95,13 +97,12 @@ def _worker_words() -> Words:
 
 
 def context_vectors(texts: DataFrame, text: str) -> np.ndarray:
-    """Word vectors of all ids: index vectors of neighbours, summed by tasks and merged by block of ids."""
-    blocks = 64
-    rows = -(-(CORES + SHAPES) // blocks)
+    """Word vectors of all ids: index vectors of their neighbours over all ``texts``, summed by tasks and added level by level."""
+    rows = -(-(CORES + SHAPES) // _BLOCKS)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, words = index_vectors(), _worker_words()
-        out = np.zeros((blocks * rows, DIM), np.float32)
+        out = np.zeros((_BLOCKS * rows, DIM), np.float32)
         for batch in batches:
             for t in batch[text]:
                 cores, shapes, _ = words.ids(t)
@@ -116,17 +117,12 @@ def context_vectors(texts: DataFrame, text: str) -> np.ndarray:
                         order = np.argsort(ids, kind="stable")
                         first = np.flatnonzero(np.diff(ids[order], prepend=-1))
                         out[ids[order][first]] += np.add.reduceat(near[order], first, axis=0)
-        for k in range(blocks):
-            yield pd.DataFrame({"block": [k], "sums": [out[k * rows : (k + 1) * rows].tobytes()]})
+        if out.any():
+            yield packed_sums(out, _BLOCKS)
 
-    def merged(part: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in sorted(part["sums"]))
-        return pd.DataFrame({"block": part["block"][:1], "sums": [np.float32(total).tobytes()]})
-
-    made = texts.select(text).mapInPandas(sums, "block int, sums binary").groupBy("block").applyInPandas(merged, "block int, sums binary")
-    out = np.zeros((blocks * rows, DIM), np.float32)
-    for r in made.collect():  # a fixed number of rows
-        out[r["block"] * rows : (r["block"] + 1) * rows] = np.frombuffer(bytes(r["sums"]), np.float32).reshape(rows, DIM)
+    out = np.zeros((_BLOCKS * rows, DIM), np.float32)
+    for block, x in tree_summed(texts.select(text).mapInPandas(sums, "block int, part int, sums binary"), np.float32).items():
+        out[block * rows : (block + 1) * rows] = x.reshape(rows, DIM)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
 
 
@@ -178,7 +174,7 @@ class Network:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = MOST_ROWS):
-    """(word vectors, network), or None without labels. Held-out rows are never looked at."""
+    """(word vectors, network), or None without labels. Labels of held-out rows are never looked at."""
     known = (
         labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("double").alias("__y"))
         .where("__id IS NOT NULL AND __y IS NOT NULL")
@@ -190,7 +186,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     )
     # at most most_rows short rows are broadcast; ids of several rows still give at most that many here
     sample = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).join(F.broadcast(known), "__id")
-    vectors = context_vectors(sample, "__t")
+    vectors = context_vectors(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

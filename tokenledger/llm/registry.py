@@ -34,7 +34,7 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archived(read(spark, sf_dir, "pages")).drop("intact")
+    return archived(read(spark, sf_dir, "pages"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

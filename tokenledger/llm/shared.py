@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +89,35 @@ def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], count: str, tot
     return rows.join(F.broadcast(hot), keys).unionByName(rest.join(table.where(F.col(count) <= most), keys))
 
 
+def tree_summed(parts: DataFrame, dtype, fan: int = 32) -> dict[int, np.ndarray]:
+    """The sums, by block, of rows (block, part, sums: bytes of ``dtype``), of which each block has one per task at most.
+
+    Parts are added ``fan`` at a time, level by level, so no group holds the parts of all tasks; only the last sums, one a block, reach
+    the driver. The number of blocks has to be fixed."""
+
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("part")
+        total = np.zeros(1)
+        for x in rows["sums"]:
+            total = total + np.frombuffer(zlib.decompress(x), dtype)
+        return pd.DataFrame({"block": rows["block"][:1], "part": rows["part"][:1] // fan, "sums": [zlib.compress(total.astype(dtype).tobytes(), 1)]})
+
+    parts = written(parts, "sums")
+    most = parts.agg(F.max("part")).first()[0]
+    while most:
+        parts = parts.groupBy("block", F.floor(F.col("part") / fan).alias("of")).applyInPandas(lambda rows: merged(rows), "block int, part int, sums binary")
+        most //= fan
+    return {r["block"]: np.frombuffer(zlib.decompress(bytes(r["sums"])), dtype) for r in parts.collect()}
+
+
+def packed_sums(sums: np.ndarray, blocks: int) -> pd.DataFrame:
+    """A task's rows for ``tree_summed``: ``sums`` cut into equal blocks."""
+    from pyspark import TaskContext
+
+    own = sums.reshape(blocks, -1)
+    return pd.DataFrame({"block": range(blocks), "part": [TaskContext.get().partitionId()] * blocks, "sums": [zlib.compress(x.tobytes(), 1) for x in own]})
+
+
 def crc32_mod(col: Column, n: int) -> Column:
     """crc32 of the column as text, modulo ``n``; a null counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n

@@ -1,8 +1,9 @@
 """Operator 1: token counts of whole texts.
 
 Batch encoding inside an Arrow function that returns lengths only: ids never leave the worker.
-Arrow batches are worked off in runs of about ``CHUNK_BYTES`` of text, and every text is cut at
-boundaries that no token crosses, so one very long text never is one call of the tokenizer.
+Arrow batches are worked off in runs of about ``CHUNK_BYTES`` of UTF-8, and every text is cut at
+boundaries that no token crosses, so one very long text is many short calls of the tokenizer; only a
+stretch without any such boundary (no blank, no line end) is one call.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows each get their own
 count; extra columns are kept, a column of the name of a result is replaced; an empty table gives
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_runs
+from .shared import byte_runs, sizes
 from .tokens import units, vocabulary_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -33,7 +34,7 @@ def token_count(vocabulary: str = VOCABULARY):
         for batch in batches:
             texts = [t or "" for t in batch.to_pylist()]
             out: list[int] = []
-            for lo, hi in byte_runs([len(t) for t in texts]):
+            for lo, hi in byte_runs(sizes(texts)):
                 out += [len(b) // 4 for b in tok.ids(texts[lo:hi])]
             yield pa.array(out, pa.int64())
 

@@ -11,7 +11,7 @@ response, the others are revisits that refer to it. Digests that hold more than
 rows, of which there are fewer than a thousand, meet their response by broadcast; the others by a
 shuffle.
 
-Defined results: a null payload is empty; a null page_id counts as the smallest; rows that repeat
+Defined results: an empty table gives an empty result; a null payload is empty; a null page_id counts as the smallest; rows that repeat
 the response's own page_id and payload are responses too; extra columns stay out of the archives.
 """
 
@@ -34,6 +34,8 @@ from .shared import scratch, written
 #: An archive is closed beyond so many bytes.
 ARCHIVE = 1 << 30
 GAP, RANGE = 64 << 10, 8 << 20
+#: Archive bytes that a task reads back, about.
+TASK = 64 << 20
 #: Share of all rows from which on a digest is met by broadcast.
 HOT_SHARE = 1000
 LEVEL = 1
@@ -80,7 +82,10 @@ def parse(data: bytes) -> dict:
     name = lambda urn: None if urn in (None, "<urn:page:None>") else urn[len("<urn:page:") : -1]
     revisit = fields["WARC-Type"] == "revisit"
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    same = base64.b32encode(hashlib.sha1(payload).digest()).decode() == digest and len(payload) == size
+    same = True
+    if not revisit:  # a revisit's payload stands elsewhere
+        told, digest = (digest, size), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        same, size = told == (digest, len(payload)), len(payload)
     return {
         "page_id": name(fields["WARC-Record-ID"]),
         "url": fields["WARC-Target-URI"],
@@ -89,7 +94,7 @@ def parse(data: bytes) -> dict:
         "payload_digest": digest,
         "payload_bytes": size,
         "payload": None if revisit else payload.decode("utf-8", "replace"),
-        "intact": revisit or same,
+        "intact": same,
     }
 
 
@@ -187,12 +192,18 @@ def read_records(index: DataFrame, gap: int = GAP, most: int = RANGE) -> DataFra
                 rows = [parse(zlib.decompress(data[r["offset"] - lo : r["offset"] - lo + r["length"]], 31)) for r in records]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")])
 
-    return ranges.mapInPandas(fetch, RECORD)
+    # tasks by bytes of the archives, not of the index
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // TASK))
+    return ranges.repartition(int(tasks), "file", "lo").mapInPandas(fetch, RECORD)
 
 
 def archived(pages: DataFrame, page_id: str = "page_id", **kind) -> DataFrame:
-    """Every page's record, read back from the archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Every page's record, read back from the archives: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Size and digest of a response are those of the payload read; one that is not what its header says fails the job."""
     back = read_records(write_archives(pages, page_id, **kind))
+    back = back.withColumn("record_type", F.when(F.col("intact"), F.col("record_type")).otherwise(F.raise_error(F.concat(F.lit("damaged record of page "), F.coalesce("page_id", F.lit("null"))))))
     number = pages.schema[page_id].dataType
     return back.select(
         F.col("page_id").cast(number).alias("page_id"),
@@ -200,7 +211,6 @@ def archived(pages: DataFrame, page_id: str = "page_id", **kind) -> DataFrame:
         "payload_digest",
         "record_type",
         F.col("refers_to").cast(number).alias("refers_to"),
-        "intact",
     )
 
 
