@@ -107,31 +107,36 @@ def tag_stats(messages: DataFrame, tags: DataFrame, key: str | None = None, wind
     return out.agg(F.count_distinct("session_id").alias("session_count"), money_sum().alias("cost_cents")).orderBy("key", F.desc("cost_cents"), "value")
 
 
-def _dominant(rows: DataFrame, column: str, name: str, by_count: bool = False) -> DataFrame:
-    """Per value, the ``column`` of the greatest cost (or count), ties to the smaller; blanks do not count."""
-    weight = F.count("*") if by_count else F.sum("cents")
-    each = rows.where(F.col(column).isNotNull() & ~F.col(column).isin("", UNTAGGED)).groupBy("value", column).agg(weight.alias("__w"))
-    order = W.partitionBy("value").orderBy(F.desc("__w"), column)
-    return each.withColumn("__k", F.row_number().over(order)).where("__k = 1").select("value", F.col(column).alias(name))
-
-
-def _labels(tags: DataFrame, key: str, name: str) -> DataFrame:
-    return tags.where(F.col("key") == key).groupBy("message_id").agg(F.min("value").alias(name))
+def _split_and_labelled(messages, tags, key: str, window, filters, labels: dict[str, str]) -> DataFrame:
+    """As ``split_by_tag``, with the least value of each label's tag as l_<label>: one pass over tags and one join."""
+    own = tags.where(F.col("key").isin(key, *labels.values())).groupBy("message_id").agg(
+        F.collect_set(F.when(F.col("key") == key, F.col("value"))).alias("__values"),  # a message's own tags
+        *[F.min(F.when(F.col("key") == tag, F.col("value"))).alias(f"l_{name}") for name, tag in labels.items()],
+    )
+    rows = selected(messages, window, filters)
+    met = rows.join(own, rows["id"] == own["message_id"], "left").drop("message_id")
+    met = met.withColumn("__n", F.greatest(F.coalesce(F.size("__values"), F.lit(1)), F.lit(1))).withColumn("value", F.explode_outer("__values"))
+    share = {m: F.expr(f"{m} div __n") for m in MEASURES}
+    share["cents"] = (F.col("cents").cast("double") / F.col("__n")).cast(MONEY)
+    share["value"] = F.coalesce("value", F.lit(UNTAGGED))
+    return met.withColumns(share).drop("__n", "__values")
 
 
 def _tag_cost(messages, tags, key, window, filters, picks: dict[str, str], labels: dict[str, str], by_count: bool) -> DataFrame:
-    rows = split_by_tag(messages, tags, key, window, filters)
-    for name, tag in labels.items():
-        label = _labels(tags, tag, f"l_{name}")
-        rows = rows.join(label, rows["id"] == label["message_id"], "left").drop("message_id")
+    """Sums by value, and per value the dominant of each pick (greatest cost) and label (greatest cost, or count), ties to the smaller;
+    blanks do not count, nor labels of untagged rows. All dominants come from one aggregation."""
+    rows = _split_and_labelled(messages, tags, key, window, filters, labels)
     out = rows.groupBy("value").agg(
         F.count_distinct("session_id").alias("session_count"), F.count("*").alias("message_count"), *token_sums(), money_sum().alias("cost_cents")
     )
-    for name, column in picks.items():
-        out = out.join(_dominant(rows, column, name), "value", "left")
-    for name in labels:
-        out = out.join(_dominant(rows.where(F.col("value") != UNTAGGED), f"l_{name}", name, by_count), "value", "left")
-    out = out.na.fill("", [*picks, *labels])
+    of = {**picks, **{name: f"l_{name}" for name in labels}}
+    named = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("label")) for n, c in of.items()]))
+    each = rows.select("value", "cents", named.alias("x")).select("value", "cents", "x.*").where(F.col("label").isNotNull() & ~F.col("label").isin("", UNTAGGED))
+    each = each.where(F.col("name").isin(*picks) | (F.col("value") != UNTAGGED)).groupBy("value", "name", "label").agg(F.sum("cents").alias("c"), F.count("*").alias("n"))
+    counted = F.col("name").isin(*labels) if by_count else F.lit(False)
+    weight = F.struct(-F.when(counted, F.col("n").cast("decimal(38,8)")).otherwise(F.col("c")), "label")
+    top = lambda n: F.min_by(F.when(F.col("name") == n, F.col("label")), F.when(F.col("name") == n, weight)).alias(n)
+    out = out.join(each.groupBy("value").agg(*[top(n) for n in of]), "value", "left").na.fill("", [*of])
     return out.where((F.col("value") != UNTAGGED) | (F.col("message_count") > 0)).orderBy(F.desc("cost_cents"), "value")
 
 

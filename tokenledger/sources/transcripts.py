@@ -97,10 +97,6 @@ def outcome_of(is_error: Column, text: Column) -> Column:
     return F.when(denied, "denied").when(F.coalesce(is_error, F.lit(False)), "error").otherwise("success")
 
 
-def _blocks(content: str) -> Column:
-    return F.coalesce(F.from_json(F.to_json(get(content, "variant")), BLOCKS), F.array().cast(BLOCKS))
-
-
 def tool_files(blocks: Column) -> Column:
     """File arguments of tool uses, in order: which argument depends on the tool."""
     arg = lambda b, *names: F.array(*[F.get_json_object(b["input"], f"$.{n}") for n in names])
@@ -123,27 +119,44 @@ def tool_files(blocks: Column) -> Column:
     return F.filter(F.flatten(F.transform(blocks, of)), lambda x: x.isNotNull() & (F.trim(x) != ""))
 
 
+_USAGE = "struct<input_tokens:string,output_tokens:string,cache_creation_input_tokens:string,cache_read_input_tokens:string,speed:string,cache_creation:struct<ephemeral_1h_input_tokens:string>,server_tool_use:struct<web_search_requests:string>>"
+#: A line with all that is read of it. Texts take a value of any kind: objects and lists come as their JSON.
+_ENVELOPE = (
+    "type string, role string, uuid string, sessionId string, session_id string, timestamp string, cwd string, gitBranch string, parentUuid string, model string, id string, content string, "
+    f"usage {_USAGE}, message struct<id:string,model:string,content:string,usage:{_USAGE}>"
+)
+
+
+def _count(*fields: str) -> Column:
+    """The first of the fields that holds a number, as whole tokens."""
+    whole = lambda c: F.coalesce(F.col(c).try_cast("bigint"), F.col(c).try_cast("double").try_cast("bigint"))
+    return F.greatest(F.coalesce(*[whole(c) for c in fields], F.lit(0)), F.lit(0))
+
+
 def envelope(rows: DataFrame, provider: str = "claude_code") -> DataFrame:
-    """Transcript lines: user and assistant envelopes, and flat sub-agent lines that name a role instead of a type."""
-    v = _parsed(rows)
-    v = v.withColumns({"kind": get("$.type"), "flat": get("$.role")})
-    v = v.where("kind IN ('user', 'assistant') OR (kind IS NULL AND flat IN ('user', 'assistant'))")
-    v = v.withColumns({"role": F.coalesce("kind", "flat"), "blocks": F.coalesce(_blocks("$.message.content"), _blocks("$.content"))})
-    v = v.withColumn("blocks", F.when(F.size("blocks") > 0, F.col("blocks")).otherwise(_blocks("$.content")))
+    """Transcript lines: user and assistant envelopes, and flat sub-agent lines that name a role instead of a type.
+
+    A line is parsed once, by one schema; content that is a list is parsed as blocks, if one of them has a type."""
+    v = rows.where(F.rtrim("value").endswith("}")).withColumn("v", F.from_json("value", _ENVELOPE))
+    role = F.when(F.col("v.type").isin("user", "assistant"), F.col("v.type")).when(F.col("v.type").isNull() & F.col("v.role").isin("user", "assistant"), F.col("v.role"))
+    v = v.withColumn("role", role).where("role IS NOT NULL")
+    listed = lambda c: F.when(F.col(c).startswith("["), F.from_json(c, BLOCKS))
+    typed = lambda c: F.filter(c, lambda b: b["type"].isNotNull())
+    v = v.withColumn("blocks", F.coalesce(F.nullif(typed(listed("v.message.content")), F.array().cast(BLOCKS)), typed(listed("v.content")), F.array().cast(BLOCKS)))
     uses, results = F.filter("blocks", lambda b: b["type"] == "tool_use"), F.filter("blocks", lambda b: b["type"] == "tool_result")
-    u = lambda *names: tokens(*[f"$.message.usage.{n}" for n in names], *[f"$.usage.{n}" for n in names])
-    said = F.coalesce(get("$.message.content"), get("$.content"))
+    u = lambda name: _count(f"v.message.usage.{name}", f"v.usage.{name}")
+    said = F.coalesce("v.message.content", "v.content")
     spoken = F.array_join(F.transform(F.filter("blocks", lambda b: b["type"] == "text"), lambda b: b["text"]), "\n")
     mine = F.col("role") == "assistant"
     out = staged(
         v, provider,
-        id=first("$.uuid"), session_id=first("$.sessionId", "$.session_id"), role=F.col("role"), timestamp=timestamp_of(first("$.timestamp")),
-        model=F.when(mine, first("$.message.model", "$.model")),
+        id=F.col("v.uuid"), session_id=F.coalesce("v.sessionId", "v.session_id"), role=F.col("role"), timestamp=timestamp_of(F.col("v.timestamp")),
+        model=F.when(mine, F.coalesce("v.message.model", "v.model")),
         input_tokens=F.when(mine, u("input_tokens")).otherwise(0), output_tokens=F.when(mine, u("output_tokens")).otherwise(0),
         cache_creation_tokens=F.when(mine, u("cache_creation_input_tokens")).otherwise(0), cache_read_tokens=F.when(mine, u("cache_read_input_tokens")).otherwise(0),
         cache_creation_1h_tokens=u("cache_creation.ephemeral_1h_input_tokens"), web_search_requests=u("server_tool_use.web_search_requests"),
-        speed=first("$.message.usage.speed", "$.usage.speed"), cwd=first("$.cwd"), git_branch=first("$.gitBranch"), parent_uuid=first("$.parentUuid"),
-        request_id=F.when(mine, first("$.message.id", "$.id")), text=F.when(~mine, F.coalesce(F.nullif(spoken, F.lit("")), F.when(F.size("blocks") == 0, said))),
+        speed=F.coalesce("v.message.usage.speed", "v.usage.speed"), cwd=F.col("v.cwd"), git_branch=F.col("v.gitBranch"), parent_uuid=F.col("v.parentUuid"),
+        request_id=F.when(mine, F.coalesce("v.message.id", "v.id")), text=F.when(~mine, F.coalesce(F.nullif(spoken, F.lit("")), F.when(F.size("blocks") == 0, said))),
         tool_names=F.transform(uses, lambda b: F.trim(b["name"])), tool_use_ids=F.transform(uses, lambda b: b["id"]), tool_files=tool_files(uses),
         tool_outcomes=F.transform(results, lambda b: F.struct(b["tool_use_id"].alias("tool_use_id"), outcome_of(b["is_error"], b["content"]).alias("outcome"))),
     )
