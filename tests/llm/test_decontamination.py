@@ -52,3 +52,14 @@ def test_stage_keeps_rows_and_columns(spark):
     assert decontaminated(docs, bench.where("false")).count() == 4
     assert decontaminated(docs.where("false"), bench).count() == 0
     assert out.where(F.col("n_hit") == "en").count() == 3
+
+
+def test_items_of_text_ids_in_scans_of_their_own(spark):
+    docs = frame(spark, [(1, "a b c d e f g h i j k"), (1, "a b c d e f g h i j k"), (2, "q r s"), (3, None)]).withColumnRenamed("source", "hit_words").withColumnRenamed("lang", "item_ids")
+    bench = spark.createDataFrame([("x-2", "b c d e f g h i j k"), ("x-10", "q r s"), ("none", None), (None, "a b c d e f g h i j")], "item_id string, text string")
+    for block in (24 << 20, 100):
+        out = benchmark_hits(docs, bench, block_bytes=block)
+        assert sorted((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids)) for r in out.collect()) == [(1, 11, 11, ("x-2",)), (1, 11, 11, ("x-2",)), (2, 3, 3, ("x-10",)), (3, 0, 0, ())]
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 0  # the scans are written before
+    very_long = "x " * 300_000 + "b c d e f g h i j k"
+    assert [(r.n_words, r.n_hit) for r in benchmark_hits(frame(spark, [(1, very_long)]), bench).collect()] == [(300_010, 10)]

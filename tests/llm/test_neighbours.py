@@ -56,6 +56,19 @@ def test_recall_over_many_parts_with_a_hot_vector(spark, monkeypatch):
     assert hit >= 0.9, hit
 
 
+def test_recall_of_rows_that_no_fit_has_seen(spark, monkeypatch):
+    monkeypatch.setattr(n, "PART_ROWS", 150)
+    monkeypatch.setattr(n, "FIT_ROWS", 600)
+    asked = []
+    monkeypatch.setattr(n, "fit", lambda sample, rows, own=n.fit: asked.append(own(sample, rows)) or asked[-1])
+    rows = data(5, 3000, 40)
+    got = {(r.query_id, r.rank, r.vec_id) for r in nearest(spark.createDataFrame(rows, VECTORS), lambda i: i % 20 == 0).collect()}
+    want = brute(rows, lambda i: i % 20 == 0)
+    hit = len({(a, c) for a, _, c in got} & {(a, c) for a, _, c in want}) / len(want)
+    _, parts, probes = asked[0]
+    assert parts == 20 and probes <= parts // 2 and hit >= 0.95, (parts, probes, hit)
+
+
 def test_parts_are_balanced():
     x = n.unit(np.random.default_rng(0).normal(size=(600, 8)))
     own = n.balanced_parts(x, n.graph(x, 10), 6)

@@ -84,3 +84,27 @@ def test_plan_prefers_exact_complements():
     assert plan({}, 10) == []
     triples = plan({50: 1, 20: 1, 17: 1, 13: 1}, 100)
     assert triples == [((50, 20, 13, 17), 1)] or sorted(triples[0][0]) == [13, 17, 20, 50]
+
+
+def test_a_plan_is_bounded_whatever_the_counts():
+    rng = random.Random(6)
+    for counts in ({n: rng.randrange(1, 10**9) for n in range(1, 2049)}, {n: 10**9 for n in range(1, 2049)}, {n: rng.randrange(1, 4) for n in range(1, 2049, 3)}):
+        made = plan(counts, 2048)
+        assert len(made) <= 2 * 2048  # every step leaves of some length less than it takes at once
+        assert sum(len(c) for c, _ in made) <= 16 * 2048  # rows of the table that is broadcast
+        used = {}
+        for combo, times in made:
+            assert sum(combo) <= 2048
+            for n in combo:
+                used[n] = used.get(n, 0) + times
+        assert used == counts
+
+
+def test_full_pieces_and_a_hot_length(spark, monkeypatch):
+    from tokenledger.llm import packing
+
+    monkeypatch.setattr(packing, "RANKED", 100)
+    rng = random.Random(7)
+    rows = [(i, "same words here") for i in range(900)] + [(5000, sentence(rng, 30_000)), (5001, None)]
+    n, total = check_packing(rows, pack(frame(spark, rows)).collect(), whole("byte_bpe_50k.json"))
+    assert n <= total / 2048 * 1.05 + 1

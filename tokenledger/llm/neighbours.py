@@ -3,8 +3,8 @@
 Fit, on a bounded sample: the k-nearest-neighbour graph of the sample is cut into balanced parts
 (spherical k-means as a start, then moves to the part where most graph neighbours are, under a
 capacity), and a small network learns a vector's part from the vector. The number of parts follows
-the number of rows; how many parts a query is routed to is the least that reaches ``RECALL`` on the
-sample's own neighbours, plus one.
+the number of rows; how many parts a query is routed to is the least that reaches ``RECALL`` on
+rows kept out of the network's training, plus one.
 
 Index: every row goes to its most probable part. Search: a query goes to its most probable parts
 and is reranked there by exact cosine in double precision. A part is dealt to blocks of about
@@ -13,7 +13,8 @@ vectors of a block are compared once; the smallest ids among them are the ones t
 
 Defined results: vectors that are null, zero, hold null or non-finite components or have another
 length than most rows take no part, nor do rows without an id; rows that repeat an id and its
-vector count once; ties go to the smaller id; with fewer candidates all found are returned.
+vector count once; ties go to the smaller id; with fewer candidates all found are returned; an empty
+table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ FIT_ROWS = 8192
 PART_ROWS, MOST_PARTS = 2000, 256
 GRAPH, SLACK, RECALL = 10, 1.1, 0.97
 HIDDEN, EPOCHS, RATE = 96, 25, 2e-3
+#: One in so many rows of the sample is kept out of the router's training.
+APART = 8
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 512
 NEAREST = 5
 
@@ -130,12 +133,14 @@ def fit(sample: np.ndarray, rows: int) -> tuple[Router, int, int]:
     parts = int(np.clip(rows // PART_ROWS, 1, min(MOST_PARTS, max(1, len(x) // 16))))
     near = graph(x, GRAPH)
     own = balanced_parts(x, near, parts)
-    router = Router(x, own, parts)
+    # rows set apart from the router's training tell how many parts have to be asked
+    apart = np.arange(len(x)) % APART == APART - 1 if len(x) >= 2 * APART else np.zeros(len(x), bool)
+    router = Router(x[~apart], own[~apart], parts)
     ranked = router.best(x, parts)
     where = np.empty_like(ranked)
     np.put_along_axis(where, ranked, np.arange(parts)[None, :].repeat(len(x), 0), axis=1)
     routed = ranked[:, 0]
-    ask = np.arange(0, len(x), max(1, len(x) // 1024))
+    ask = np.flatnonzero(apart) if apart.any() else np.arange(len(x))
     at = np.concatenate([where[i, routed[near[i, :NEAREST]]] for i in ask]) if near.shape[1] else np.zeros(1, np.int64)
     probes = next((m for m in range(1, parts + 1) if (at < m).mean() >= RECALL), parts)
     return router, parts, min(parts, probes + 1)

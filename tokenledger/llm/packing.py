@@ -201,8 +201,8 @@ def pack(
 def placed(ranked: DataFrame, slot: DataFrame) -> DataFrame:
     """Each piece's slot: the plan as one row per length, searched by the piece's rank.
 
-    Every step of the plan uses up a length, so there are fewer than ``size`` kinds of sequences, and the table is bounded by the
-    plan and not by the corpus.
+    Every step of the plan leaves of some length less than it takes at once, so there are a few thousand kinds of sequences, and the
+    table is bounded by the plan and not by the corpus.
     """
     by_length = slot.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("rank", "shift", "offset"))).alias("slots"))
     found = ranked.join(F.broadcast(by_length), "length")

@@ -44,7 +44,8 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tokenledger-")
         base = "file://" + base
-    return f"{base.rstrip('/')}/tokenledger/{name}-{uuid.uuid4().hex}"
+    # results are read from here lazily, so nothing is deleted while the application runs; its folder can go when it has ended
+    return f"{base.rstrip('/')}/tokenledger/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
