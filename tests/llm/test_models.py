@@ -158,6 +158,14 @@ def test_pairs_are_found_whatever_collides():
     assert (table.get(other) == 0).all() and not len(lm.Pairs(keys[:0], keys[:0]).get(keys[:0]))
 
 
+def test_a_very_long_text(spark):
+    rng = random.Random(5)
+    rows = [(i, sentence(rng, 30, 200)) for i in range(30)] + [(100, sentence(rng, 150_000, 5000)), (101, "中" * 50_000), (100, "again")]
+    out = lm_scores(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in out) == sorted((*x[:5], round(x[5], 4)) for x in base(rows))
+    assert all(math.isfinite(r.score) and r.score < 0 for r in out)
+
+
 def test_empty_corpus(spark):
     assert lm_scores(frame(spark, [])).count() == 0
     one = lm_scores(frame(spark, [(1, None)])).collect()

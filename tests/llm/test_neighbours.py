@@ -69,6 +69,20 @@ def test_recall_of_rows_that_no_fit_has_seen(spark, monkeypatch):
     assert parts == 20 and probes <= parts // 2 and hit >= 0.95, (parts, probes, hit)
 
 
+def test_parts_below_parts(spark, monkeypatch):
+    for name, value in (("PART_ROWS", 60), ("MOST_PARTS", 6), ("FIT_ROWS", 600), ("BELOW_ROWS", 400), ("BLOCK_ROWS", 50)):
+        monkeypatch.setattr(n, name, value)
+    trees = []
+    monkeypatch.setattr(n, "fit_below", lambda rows, top, total, own=n.fit_below: trees.append(own(rows, top, total)) or trees[-1])
+    rows = data(6, 1500, 30) + [(5000 + i, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0], 0) for i in range(700)]
+    got = {(r.query_id, r.rank, r.vec_id) for r in nearest(spark.createDataFrame(rows, VECTORS), lambda i: i % 20 == 0).collect()}
+    want = brute(rows, lambda i: i % 20 == 0)
+    hit = len({(a, c) for a, _, c in got} & {(a, c) for a, _, c in want}) / len(want)
+    assert hit >= 0.9 and len(trees[0].below) >= 3, (hit, trees[0].below.keys())
+    x = n.unit(np.array([v for _, v, _ in rows]))
+    assert len(np.unique(trees[0].place(x))) > 6 and all(p in a for p, a in zip(trees[0].place(x)[:200], trees[0].asked(x[:200])))
+
+
 def test_parts_are_balanced():
     x = n.unit(np.random.default_rng(0).normal(size=(600, 8)))
     own = n.balanced_parts(x, n.graph(x, 10), 6)

@@ -54,3 +54,14 @@ def test_failing_matches_are_consumed(spark):
 def test_plan_has_no_python(spark):
     plan = secret_spans(frame(spark, [(1, "x")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(10)
+    text = " ".join(rng.choice(["plain", "words", "token=abcdef12", "Zx9Q4vB7nM2kL8pR5tY1wC3", "deadbeef" * 4]) for _ in range(30_000))
+    got = secret_spans(frame(spark, [(1, text), (2, "x" * 300_000), (3, "0a" * 100_000)])).collect()
+    for r in got:
+        if r.doc_id == 1:
+            assert [(s.start, s.number, s.end) for s in r.secrets] == brute(text)
+        elif r.doc_id == 2:
+            assert not r.secrets

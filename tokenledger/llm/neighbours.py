@@ -3,7 +3,8 @@
 Fit, on a bounded sample: the k-nearest-neighbour graph of the sample is cut into balanced parts
 (spherical k-means as a start, then moves to the part where most graph neighbours are, under a
 capacity), and a small network learns a vector's part from the vector. The number of parts follows
-the number of rows; how many parts a query is routed to is the least that reaches ``RECALL`` on
+the number of rows: beyond ``MOST_PARTS`` parts, each part is cut again in the same way, by a sample
+of its own rows, in tasks. How many parts a query is routed to is the least that reaches ``RECALL`` on
 rows kept out of the network's training, plus one.
 
 Index: every row goes to its most probable part. Search: a query goes to its most probable parts
@@ -19,6 +20,7 @@ table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,8 @@ from .near_dedup import _groups
 
 #: Rows that the partition is fitted on at most: those of the smallest hash of their id.
 FIT_ROWS = 8192
+#: Rows that a part of the first level is cut by.
+BELOW_ROWS = 4096
 PART_ROWS, MOST_PARTS = 2000, 256
 GRAPH, SLACK, RECALL = 10, 1.1, 0.97
 HIDDEN, EPOCHS, RATE = 96, 25, 2e-3
@@ -127,10 +131,69 @@ class Router:
         return np.argsort(-s, axis=1, kind="stable")[:, :n]
 
 
-def fit(sample: np.ndarray, rows: int) -> tuple[Router, int, int]:
+class Tree:
+    """Parts in two levels: a router, and for each of its parts that many rows fall into, one of its own."""
+
+    def __init__(self, top: tuple[Router, int, int], below: dict[int, tuple[Router, int, int]]):
+        self.top, self.below = top, below
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """The part of each unit vector."""
+        own = self.top[0].best(x, 1)[:, 0]
+        return own * MOST_PARTS + self._inside(x, own, 1)[:, 0]
+
+    def asked(self, x: np.ndarray) -> list[np.ndarray]:
+        """The parts that each unit vector's search goes to."""
+        router, _, probes = self.top
+        best = router.best(x, probes)
+        found: list[list[np.ndarray]] = [[] for _ in x]
+        for j in range(best.shape[1]):
+            for p in np.unique(best[:, j]):
+                at = np.flatnonzero(best[:, j] == p)
+                inside = self.below[p][0].best(x[at], self.below[p][2]) if p in self.below else np.zeros((len(at), 1), np.int64)
+                for i, parts in zip(at.tolist(), p * MOST_PARTS + inside):
+                    found[i].append(parts)
+        return [np.concatenate(f).astype(np.int32) for f in found]
+
+    def _inside(self, x: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros((len(x), n), np.int64)
+        for p in np.unique(own):
+            if p in self.below:
+                at = np.flatnonzero(own == p)
+                out[at] = self.below[p][0].best(x[at], n)
+        return out
+
+
+def fit_below(rows: DataFrame, top: tuple[Router, int, int], total: int) -> Tree:
+    """The tree under ``top``: a part of far more than PART_ROWS rows is cut again, by a bounded sample of its own, one task a part."""
+    if total <= MOST_PARTS * PART_ROWS:
+        return Tree(top, {})
+    shared = rows.sparkSession.sparkContext.broadcast(top[0])
+
+    @F.pandas_udf("int")
+    def part_of(vectors: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.best(unit(np.stack(vectors.to_list()).astype(np.float64)), 1)[:, 0] if len(vectors) else [], dtype="int32")
+
+    placed = rows.withColumn("part", part_of("vec"))
+    sizes = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}  # MOST_PARTS rows at most
+    first = F.row_number().over(W.partitionBy("part").orderBy(F.xxhash64("id"), "id"))
+    sample = placed.withColumn("k", first).where(F.col("k") <= BELOW_ROWS)
+
+    part_rows = PART_ROWS
+
+    def fitted(own: pd.DataFrame) -> pd.DataFrame:
+        part = int(own["part"].iloc[0])
+        x = np.stack(own.sort_values("k")["vec"].to_list())
+        return pd.DataFrame({"part": [part], "router": [pickle.dumps(fit(x, sizes[part], part_rows))]})
+
+    made = sample.select("part", "k", "vec").groupBy("part").applyInPandas(lambda own: fitted(own), "part int, router binary")
+    return Tree(top, {r["part"]: pickle.loads(bytes(r["router"])) for r in made.collect() if sizes[r["part"]] > 2 * PART_ROWS})  # MOST_PARTS small networks
+
+
+def fit(sample: np.ndarray, rows: int, part_rows: int | None = None) -> tuple[Router, int, int]:
     """(router, parts, parts per query) from a bounded sample of ``rows`` vectors."""
     x = unit(sample.astype(np.float64))
-    parts = int(np.clip(rows // PART_ROWS, 1, min(MOST_PARTS, max(1, len(x) // 16))))
+    parts = int(np.clip(rows // (part_rows or PART_ROWS), 1, min(MOST_PARTS, max(1, len(x) // 16))))
     near = graph(x, GRAPH)
     own = balanced_parts(x, near, parts)
     # rows set apart from the router's training tell how many parts have to be asked
@@ -211,24 +274,27 @@ def nearest(vectors: DataFrame, asked, vec_id: str = "vec_id", embedding: str =
     sample = [r["vec"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("vec").collect()]
     if len(sample) < 2:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    router, parts, probes = fit(np.array(sample), total)
-    shared = spark.sparkContext.broadcast(router)
+    tree = fit_below(rows, fit(np.array(sample), total), total)
+    shared = spark.sparkContext.broadcast(tree)
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 x = np.stack(b["vec"].to_list()).astype(np.float64)
-                best = shared.value.best(unit(x), probes)
-                yield pd.DataFrame({"id": b["id"], "vec": [v.tobytes() for v in x], "own": best[:, 0], "best": list(best)})
+                best: list[np.ndarray | None] = [None] * len(b)
+                asks = np.flatnonzero(b["ask"].to_numpy())
+                for i, parts in zip(asks.tolist(), shared.value.asked(unit(x[asks])) if len(asks) else []):
+                    best[i] = parts
+                yield pd.DataFrame({"id": b["id"], "vec": [v.tobytes() for v in x], "own": shared.value.place(unit(x)), "ask": b["ask"], "best": best})
 
     from .shared import written
 
-    placed = written(rows.mapInPandas(routed, "id long, vec binary, own int, best array<int>").withColumn("ask", asked(F.col("id"))), "routed")
+    placed = written(rows.withColumn("ask", asked(F.col("id"))).mapInPandas(routed, "id long, vec binary, own int, ask boolean, best array<int>"), "routed")
     asks = placed.where("ask").select("id", "vec", F.explode("best").alias("part"))
-    # at most ``parts`` rows: how many blocks of rows and of queries each part has
+    # a row per part: how many blocks of rows and of queries each has
     sizes = placed.groupBy(F.col("own").alias("part")).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("row_blocks"))
     calls = asks.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("ask_blocks"))
-    blocks = F.broadcast(sizes.join(calls, "part"))
+    blocks = F.broadcast(sizes.join(calls, "part"))  # MOST_PARTS * MOST_PARTS short rows at most
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     held = placed.withColumnRenamed("own", "part").join(blocks, "part").select("part", block("row_blocks").alias("rows"), each("ask_blocks").alias("asks"), "id", "vec", F.lit(False).alias("ask"))

@@ -195,7 +195,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
             x = [features(words, shared.value, t).tobytes() for t in b["__t"]]
             yield pd.DataFrame({"id": b["__id"], "y": b["__y"], "x": x})
 
-    made = sample.mapInPandas(rows, "id long, y double, x binary").orderBy(F.xxhash64("id"), "id", "x").limit(most_rows).collect()
+    sample = sample.withColumn("__id", F.col("__id").cast("string"))  # ids of any type
+    made = sample.mapInPandas(rows, "id string, y double, x binary").orderBy(F.xxhash64("id"), "id", "x").limit(most_rows).collect()
     if not made:
         return None
     x = np.stack([np.frombuffer(bytes(r["x"]), np.float32) for r in made]).astype(np.float64)

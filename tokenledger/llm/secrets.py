@@ -9,8 +9,10 @@ sums on any engine. Candidates that the allow-list names are suppressed; base sp
 Offsets are code points. They come from the matches and the gaps between them (one ``split``), by
 prefix sums over the lengths, so no row-wise code is needed.
 
+A candidate needs a letter and a digit; a match of the allow-list anywhere in it suppresses it whole.
+
 Defined results: a null or empty text has no spans; repeated rows each get their own; extra columns
-are kept.
+are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
