@@ -42,7 +42,7 @@ SIMILARITY = 0.8
 SLACK = 0.16
 #: Classes, and shingles, that a block of a bucket holds on average at most.
 BLOCK_CLASSES, BLOCK_SHINGLES = 256, 1 << 20
-MEMO_WORDS = 500_000
+MEMO_WORDS = 150_000
 
 _MEMBER = "doc_id string, key long, n long, cls binary, sig binary, bands array<long>"
 _JOB = ["bucket", "lo", "hi"]

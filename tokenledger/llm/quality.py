@@ -37,9 +37,9 @@ HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 3e-3, 1e-4
 SOFT = 0.002
 THRESHOLD = 0.3
 HELD_OUT_OF = 5
-MEMO_WORDS = 500_000
+MEMO_WORDS = 100_000
 #: Words whose vectors are gathered at a time.
-SLICE = 1 << 16
+SLICE = 1 << 14
 
 _COUNTS, _BLOCKS = 6, 16
 _SIGNS = b".,;:!?*#$%&|=+-_/\\()[]{}<>\"'"
@@ -117,6 +117,7 @@ def context_vectors(texts: DataFrame, text: str) -> np.ndarray:
                         order = np.argsort(ids, kind="stable")
                         first = np.flatnonzero(np.diff(ids[order], prepend=-1))
                         out[ids[order][first]] += np.add.reduceat(near[order], first, axis=0)
+        words.memo.clear()  # an idle worker holds no more than it has to
         if out.any():
             yield packed_sums(out, _BLOCKS)
 
@@ -219,6 +220,7 @@ def quality_scores(docs: DataFrame, model, text: str = "text") -> DataFrame:
             for texts in batches:
                 x = [features(words, vectors, t) for t in texts]
                 yield pd.Series(network.score(np.stack(x)) if x else [], dtype="float64")
+            words.memo.clear()
 
         scored = docs.withColumn("score", score(F.col(text)))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
