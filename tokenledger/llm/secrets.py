@@ -82,13 +82,11 @@ def _offsets(gaps: Column, found: Column) -> Column:
 
 
 def _entropy_sum(value: Column, window: int) -> Column:
-    """The least sum of c * log2(c) over the windows of ``value``, by incremental counts."""
+    """The least sum of c * log2(c) over the windows of ``value``, by incremental counts; the work grows with the length alone."""
     weights = F.array(*[F.lit(x) for x in _weights(window)])
-    at = lambda p: F.instr(F.lit(ALPHABET), F.substr(value, p, F.lit(1)))
-    none = F.array_repeat(F.lit(0), len(ALPHABET) + 1)
 
-    def step(s: Column, i: Column) -> Column:
-        char_in, char_out = at(i), F.when(i > window, at(i - window)).otherwise(F.lit(0))
+    def step(s: Column, move: Column) -> Column:
+        char_in, char_out = move["i"], move["o"]
         c_out = F.when(char_out > 0, F.get(s["counts"], char_out)).otherwise(F.lit(0))
         c_in = F.get(s["counts"], char_in) - F.when(char_in == char_out, 1).otherwise(0)
         less = F.when(c_out > 0, F.get(weights, c_out) - F.get(weights, c_out - 1)).otherwise(F.lit(0))
@@ -102,11 +100,19 @@ def _entropy_sum(value: Column, window: int) -> Column:
         return F.struct(
             counts.alias("counts"),
             total.alias("total"),
-            F.when((i >= window) & (total < s["least"]), total).otherwise(s["least"]).alias("least"),
+            F.when(move["full"] & (total < s["least"]), total).otherwise(s["least"]).alias("least"),
         )
 
-    start = F.struct(none.alias("counts"), F.lit(0).alias("total"), F.lit(2**31 - 1).alias("least"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step, lambda s: s["least"])
+    def summed(chars: Column) -> Column:
+        out = lambda i: F.when(i >= window, F.get(chars, i - window)).otherwise(F.lit(0))
+        moves = F.transform(chars, lambda c, i: F.struct(c.alias("i"), out(i).alias("o"), (i + 1 >= window).alias("full")))
+        none = F.array_repeat(F.lit(0), len(ALPHABET) + 1)
+        start = F.struct(none.alias("counts"), F.lit(0).alias("total"), F.lit(2**31 - 1).alias("least"))
+        return F.aggregate(moves, start, step, lambda s: s["least"])
+
+    # the characters' places in the alphabet, found once
+    places = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    return F.get(F.transform(F.array(places), summed), F.lit(0))
 
 
 def _spans(found: Column, starts: Column, number: int, keep) -> Column:
