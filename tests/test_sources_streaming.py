@@ -160,3 +160,27 @@ def test_hours_of_touched_days(spark):
     rows = t.envelope(frame(spark, *[line(k, at=f"2024-01-0{1 + k % 3}T00:00:00Z") for k in range(6)])).withColumns({"cost_cents_effective": F.lit(1.0), "cost_cents_ingested": F.lit(1.0)})
     touched = spark.createDataFrame([(datetime(2024, 1, 2).date(),), (datetime(2024, 1, 2).date(),)], "day date")
     assert [(str(r.bucket_start), r.message_count) for r in w.refresh_touched(rows, touched).collect()] == [("2024-01-02 00:00:00", 2)]
+
+
+def test_lines_of_any_file(spark, tmp_path):
+    import gzip
+
+    row = line(1).encode()
+    (tmp_path / "crlf.jsonl").write_bytes(row + b"\r\n" + row.replace(b"u1", b"u2") + b"\r\n" + row.replace(b"u1", b"open"))
+    (tmp_path / "packed.jsonl.gz").write_bytes(gzip.compress(b"\n".join(row.replace(b"u1", b"z%d" % k) for k in range(50)) + b"\n"))
+    (tmp_path / "empty.jsonl").write_bytes(b"")
+    (tmp_path / "broken.jsonl").write_bytes(b"\xff\xfe{\n" + row.replace(b"u1", b"u3") + b"\n[1]\nnull\n")
+    got = t.envelope(t.lines(spark, str(tmp_path)))
+    assert {r.id for r in got.collect()} == {"u1", "u2", "u3", *(f"z{k}" for k in range(50))}
+    assert [r.line_no for r in got.where("id LIKE 'z%'").orderBy("line_no").collect()] == list(range(50))
+
+
+def test_contents_of_any_kind(spark):
+    said = {"type": "user", "uuid": "a", "sessionId": "s", "timestamp": "2024-01-01T00:00:00Z"}
+    rows = [
+        {**said, "message": {"content": "plain"}}, {**said, "message": {"content": "[1, 2]"}}, {**said, "message": {"content": [{"type": "text", "text": "one"}, {"type": "text", "text": "two"}]}}, {**said, "content": "flat"}, {**said, "message": 5},
+        {**said, "type": "assistant", "message": {"model": "m", "usage": {"input_tokens": "7", "output_tokens": 2.0, "cache_read_input_tokens": None, "cache_creation_input_tokens": -3}}},
+    ]
+    got = t.envelope(frame(spark, *rows)).orderBy("line_no").collect()
+    assert [r.text for r in got] == ["plain", "[1, 2]", "one\ntwo", "flat", None, None]
+    assert (got[5].input_tokens, got[5].output_tokens, got[5].cache_read_tokens, got[5].cache_creation_tokens) == (7, 2, 0, 0)

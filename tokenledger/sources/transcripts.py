@@ -54,7 +54,9 @@ def numbered(raw: DataFrame) -> DataFrame:
     rows = raw.withColumn("at", F.monotonically_increasing_id())
     order = W.partitionBy("file").orderBy("block", "at")
     length = F.sum(F.octet_length("value") + 1).over(W.partitionBy("file"))
-    rows = rows.withColumns({"line_no": F.row_number().over(order).cast("bigint") - 1, "open": (length > F.col("size")) & F.lead(F.lit(1)).over(order).isNull()})
+    plain = ~F.lower("file").rlike(r"\.(gz|bz2|zst|lz4|snappy|deflate|xz)$")  # the size of a compressed file tells nothing of its lines
+    last = F.lead(F.lit(1)).over(order).isNull()
+    rows = rows.withColumns({"line_no": F.row_number().over(order).cast("bigint") - 1, "open": plain & (length > F.col("size")) & last})
     return rows.where(~F.col("open") & (F.trim("value") != "")).select("file", "line_no", "value")
 
 
@@ -137,7 +139,7 @@ def envelope(rows: DataFrame, provider: str = "claude_code") -> DataFrame:
     """Transcript lines: user and assistant envelopes, and flat sub-agent lines that name a role instead of a type.
 
     A line is parsed once, by one schema; content that is a list is parsed as blocks, if one of them has a type."""
-    v = rows.where(F.rtrim("value").endswith("}")).withColumn("v", F.from_json("value", _ENVELOPE))
+    v = rows.where(F.rtrim("value", F.lit(" \t\r\n")).endswith("}")).withColumn("v", F.from_json("value", _ENVELOPE))
     role = F.when(F.col("v.type").isin("user", "assistant"), F.col("v.type")).when(F.col("v.type").isNull() & F.col("v.role").isin("user", "assistant"), F.col("v.role"))
     v = v.withColumn("role", role).where("role IS NOT NULL")
     listed = lambda c: F.when(F.col(c).startswith("["), F.from_json(c, BLOCKS))
