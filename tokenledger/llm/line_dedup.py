@@ -144,28 +144,36 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     small = told[0] <= BROADCAST_ROWS and told[1] <= 8 * BROADCAST_ROWS
     keyed = docs.withColumn("__doc", F.when(F.col(text).isNotNull(), _document(doc_id, text)))
     met = keyed.join(F.broadcast(gone) if small else gone.hint("shuffle_hash"), F.col("__doc") == F.col("__gone_of"), "left").drop("__doc", "__gone_of")
-    raw = F.split(F.col(text), "\n", -1)
-    full = F.filter(F.transform(raw, lambda x, i: F.when(_trimmed(x) != "", i)), lambda i: i.isNotNull())
-    at = lambda lines, k: F.get(lines, F.get(F.col("gone"), k))
-    joined = lambda k: F.get(F.col("gone"), k + 1) == F.get(F.col("gone"), k) + 1
-    spans = _let(
-        F.struct(full.alias("f")),
-        lambda v: F.transform("gone", lambda _, k: F.sequence(at(v["f"], k), F.when(joined(k), at(v["f"], k + 1) - 1).otherwise(at(v["f"], k)))),
-    )
     none = F.array().cast("array<int>")
-    met = met.withColumn("removed", F.when(F.col("gone").isNull(), none).otherwise(F.flatten(spans)))
-    # what stays, piece by piece: from behind a deleted line up to the next one
-    edges = F.concat(F.array(F.lit(-1)), F.col("removed"), F.array(F.size(raw)))
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.size("removed")), lambda k: F.slice(raw, F.get(edges, k) + 2, F.get(edges, k + 1) - F.get(edges, k) - 1)
-    )
+
+    def rebuilt(raw: Column) -> Column:
+        """Everything about one text, each part bound once: what refers to it inside a lambda finds it ready."""
+        full = F.filter(F.transform(raw, lambda x, i: F.when(_trimmed(x) != "", i)), lambda i: i.isNotNull())
+        return _let(full, lambda f: _let(F.when(F.col("gone").isNull(), none).otherwise(F.flatten(spans(f))), lambda cut: kept(raw, cut)))
+
+    def spans(full: Column) -> Column:
+        """From each deleted line up to the next one, if no line that stays is between."""
+        at = lambda k: F.get(full, F.get(F.col("gone"), k))
+        joined = lambda k: F.get(F.col("gone"), k + 1) == F.get(F.col("gone"), k) + 1
+        return F.transform("gone", lambda _, k: F.sequence(at(k), F.when(joined(k), at(k + 1) - 1).otherwise(at(k))))
+
+    def kept(raw: Column, cut: Column) -> Column:
+        """What stays, piece by piece: from behind a deleted line up to the next one."""
+        edges = F.concat(F.array(F.lit(-1)), cut, F.array(F.size(raw)))
+        piece = lambda e, k: F.slice(raw, F.get(e, k) + 2, F.get(e, k + 1) - F.get(e, k) - 1)
+        pieces = _let(edges, lambda e: F.flatten(F.transform(F.sequence(F.lit(0), F.size(cut)), lambda k: piece(e, k))))
+        new = F.when(F.size(cut) > 0, F.array_join(pieces, "\n"))
+        return F.struct(F.size(raw).cast("long").alias("lines"), cut.alias("removed"), new.alias("text"))
+
+    met = met.withColumn("__made", _let(F.split(F.col(text), "\n", -1), rebuilt))
     return met.withColumns(
         {
-            "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(raw)).cast("long"),
-            "n_removed": F.size("removed").cast("long"),
-            text: F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(F.flatten(pieces), "\n")),
+            "removed": F.coalesce("__made.removed", none),
+            "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.col("__made.lines")).cast("long"),
+            "n_removed": F.coalesce(F.size("__made.removed"), F.lit(0)).cast("long"),
+            text: F.coalesce("__made.text", text),
         }
-    ).drop("gone")
+    ).drop("gone", "__made")
 
 
 def lines_deduped(docs: DataFrame) -> DataFrame:
