@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup, near_dedup, secrets, warc
+from . import decontamination, fill_in_middle, line_dedup, near_dedup, secrets, warc
 from .decontamination import benchmark_hits, hits_digest
 from .line_dedup import dedup_lines, lines_digest
 from .lm_scoring import lm_scores
@@ -64,6 +64,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, size=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.transformed_digest(fill_in_middle.transformed(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_lm_scores": op9_lm_scores,
     "op10_line_dedup": op10_line_dedup,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
@@ -83,4 +88,5 @@ ORACLES: dict[str, str] = {
     "op10_line_dedup": line_dedup.ORACLE,
     "op2_decontamination": decontamination.ORACLE,
     "op6_secret_scan": secrets.oracle(),
+    "op13_fill_in_middle": fill_in_middle.ORACLE,
 }
