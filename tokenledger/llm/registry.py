@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, fill_in_middle, line_dedup, near_dedup, secrets, warc
+from . import chat_format, decontamination, fill_in_middle, line_dedup, near_dedup, secrets, warc
 from .decontamination import benchmark_hits, hits_digest
 from .line_dedup import dedup_lines, lines_digest
 from .lm_scoring import lm_scores
@@ -64,6 +65,12 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, size=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the table is an event of the log, a whole message; the planted conversation's log has edits and streamed parts."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), "turn", F.lit("message").alias("kind"), "role", "text")
+    return chat_format.chat_digest(chat_format.formatted(chat_format.messages(rows.unionByName(chat_format.planted(spark)))))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.transformed_digest(fill_in_middle.transformed(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -79,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_lm_scores": op9_lm_scores,
     "op10_line_dedup": op10_line_dedup,
+    "op11_chat_format": op11_chat_format,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -88,5 +96,6 @@ ORACLES: dict[str, str] = {
     "op10_line_dedup": line_dedup.ORACLE,
     "op2_decontamination": decontamination.ORACLE,
     "op6_secret_scan": secrets.oracle(),
+    "op11_chat_format": chat_format.ORACLE,
     "op13_fill_in_middle": fill_in_middle.ORACLE,
 }
