@@ -1,6 +1,7 @@
 """Token counts and packing against the tokenizer's own whole-text encoding."""
 
 import random
+import re
 import struct
 import zlib
 
@@ -10,7 +11,7 @@ from tokenizers import Tokenizer
 
 from tokenledger.llm.packing import pack, plan
 from tokenledger.llm.token_counts import token_counts
-from tokenledger.llm.tokens import units, vocabulary_path
+from tokenledger.llm.tokens import TAIL_LETTERS, TAIL_SIGNS, units, vocabulary_path
 
 
 def whole(name):
@@ -23,13 +24,23 @@ def whole(name):
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_units_give_the_ids_of_whole_texts(name):
     rng, ids = random.Random(1), whole(name)
-    parts = ["ther***", "Word,", "B!!", "é.", "x-", "̸", "A9%%%", "**a", "don't", "'ll", " ", "  ", "\n", "\t", "\xa0", " ", "\x85", "\x1c", "᠎", "​", "﻿", "́", "中", "😀", "½", "_", "<|endoftext|>", "<|startoftext|>", "Σ", "\x00", "1"]
+    parts = ["ther***", "Word,", "B!!", "é.", "x-", "̸", "A9%%%", "**a", "don't", "'ll", " ", "  ", "\n", "\t", "\xa0", " ", "\x85", "\x1c", "᠎", "​", "﻿", "́", "中", "😀", "½", "_", "<|endoftext|>", "<|startoftext|>", "Σ", "\x00", "1", "İ", "İ:", "ŉ!", "ǰ-", "ÀÉİ.,;"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(1500)]
     got = units(vocabulary_path(name)).ids(texts)
     for t, b in zip(texts, got):
         assert list(struct.unpack(f"<{len(b) // 4}I", b)) == ids(t), repr(t)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_each_letter_before_each_sign(name):
+    """All of U+00C0 to U+024F, in or out of the class of letters that a tail is cut behind."""
+    own, ids = units(vocabulary_path(name)), whole(name)
+    letters = [chr(k) for k in range(0xC0, 0x250)] + list("09AZaz")
+    texts = [f"{before}{c}{s}{s}" for c in letters for s in TAIL_SIGNS for before in ("", "x ")]
+    assert [len(b) // 4 for b in own.ids(texts)] == [len(ids(t)) for t in texts]
+    assert "İ" not in re.findall(f"[{TAIL_LETTERS}]", "".join(letters)) and len(re.findall(f"[{TAIL_LETTERS}]", "".join(letters))) > 390
+
+
 def test_token_counts(spark):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(3, "\n\n"), (99, sentence(random.Random(2), 40_000))]
     docs = frame(spark, rows).withColumnRenamed("n_chars", "n_tokens")  # a clashing name is replaced

@@ -161,7 +161,9 @@ PLANTED = (
 
 
 def planted(spark: SparkSession, conv: int = -7) -> DataFrame:
-    return spark.createDataFrame([(conv, *e) for e in PLANTED], "conv_id long, seq long, turn long, kind string, role string, text string")
+    names = ("seq", "turn", "kind", "role", "text")
+    rows = F.array(*[F.struct(*[F.lit(v).cast("long" if n in ("seq", "turn") else "string").alias(n) for n, v in zip(names, e)]) for e in PLANTED])
+    return spark.range(1).select(F.lit(conv).cast("long").alias("conv_id"), F.inline(rows))
 
 
 _ESC = lambda c: f"regexp_replace({c}, '([<\\[]\\\\*)(/?s>|/?INST\\]|</?SYS>>)', '\\1\\\\\\2', 'g')"

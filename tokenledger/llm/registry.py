@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, fill_in_middle, line_dedup, near_dedup, secrets, warc
+from . import alignment, chat_format, decontamination, fill_in_middle, line_dedup, near_dedup, secrets, warc
 from .decontamination import benchmark_hits, hits_digest
 from .line_dedup import dedup_lines, lines_digest
 from .lm_scoring import lm_scores
@@ -71,6 +71,10 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digest(chat_format.formatted(chat_format.messages(rows.unionByName(chat_format.planted(spark)))))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digest(alignment.aligned(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.transformed_digest(fill_in_middle.transformed(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scores": op9_lm_scores,
     "op10_line_dedup": op10_line_dedup,
     "op11_chat_format": op11_chat_format,
+    "op12_token_alignment": op12_token_alignment,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 

@@ -15,8 +15,10 @@ MEMO_UNITS = 500_000
 #: Longer units are encoded, but not remembered.
 MEMO_CHARS = 64
 
-#: A Latin letter or digit and then signs: every pattern here starts a token at the first sign.
-_TAIL = re.compile(r"(?<=[0-9A-Za-zÀ-ÖØ-öø-ɏ])[.,;:!?*#$%&)-]+$")
+#: A Latin letter or digit and then signs: every pattern here starts a token at the first sign. Not after U+0130, whose lower case
+#: ends with a combining dot, which joins what follows. Tested for each character of the class.
+TAIL_LETTERS, TAIL_SIGNS = "0-9A-Za-zÀ-ÖØ-öø-įı-ɏ", ".,;:!?*#$%&)-"
+_TAIL = re.compile(rf"(?<=[{TAIL_LETTERS}])[{re.escape(TAIL_SIGNS)}]+$")
 
 #: White space in any reading of the word, control separators included.
 _WHITE = r"\s\x1c-\x1f\u180e\u200b\ufeff"
@@ -26,6 +28,9 @@ _ODD = re.compile(rf"[{_WHITE}] | [{_WHITE}]|^ | $")
 _SAFE = re.compile(rf"(?<=[^{_WHITE}])(?= [^{_WHITE}])")
 
 
+#: Before a blank behind another character, and before a line feed.
+_PIECE_CUT = re.compile(r"(?<=[^ ])(?= )|(?=\n)")
+
 #: How byte-level vocabularies cut a text into words. Fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -45,6 +50,12 @@ PLAIN_CHARS = 1 << 16
 PROBES = ("It's a test, isn't it?  WE'LL see.\n\n\tdone ", "x=12.50%; (y)!!\r\n -- caf\xe9 na\xefve \xa0\xab1\xbd\xbb", "a" * 300 + " 1234567890 " + "_-" * 40)
 
 
+def _byte_of() -> dict[str, int]:
+    """Byte-level vocabularies write printable bytes as themselves and the others as characters from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(own))}
+
+
 def _plain_encoding(told: dict):
     """The same byte-level vocabulary for the faster library, if its ids rise with the merges' ranks; else None."""
     import tiktoken
@@ -56,10 +67,7 @@ def _plain_encoding(told: dict):
     ranks = [vocab.get("".join(m), -1) for m in merges]
     if ranks != sorted(ranks) or len(set(ranks)) < len(ranks):
         return None
-    # byte-level vocabularies write printable bytes as themselves and the others as characters from U+0100 on
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-    byte_of = {chr(b): b for b in own}
-    byte_of |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(own))}
+    byte_of = _byte_of()
     special = {t["content"] for t in told["added_tokens"]}
     table = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in special}
     return tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
@@ -71,14 +79,16 @@ class Units:
     A vocabulary with word ends ignores white space, so a text may be cut at any blank or line
     feed. A byte-level vocabulary puts one blank in front of a word, so a text may be cut before a
     single blank between two characters that are no white space; texts with other runs of blanks
-    are cut at fewer places.
+    are cut at fewer places. Strings of special tokens stand for them, as is the library's default, or
+    are ordinary text (``plain_specials``).
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one Spark slot, one thread
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = plain_specials
         self.tok.no_padding()
         self.tok.no_truncation()
         import json
@@ -86,13 +96,21 @@ class Units:
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         self.by_words = bool(told["model"].get("end_of_word_suffix"))
-        self.specials = tuple(t["content"] for t in told["added_tokens"])
+        self.specials = () if plain_specials else tuple(t["content"] for t in told["added_tokens"])
         self.plain = None if self.by_words else _plain_encoding(told)
         if self.plain and any(self.plain.encode_ordinary(t) != self.tok.encode(t, add_special_tokens=False).ids for t in PROBES):
             self.plain = None  # a version of either library that reads the pattern in another way
         self.memo: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
+    def token_bytes(self) -> list[bytes]:
+        """The text of each id of a byte-level vocabulary."""
+        byte_of, vocab = _byte_of(), self.tok.get_vocab(with_added_tokens=True)
+        out = [b""] * (max(vocab.values()) + 1)
+        for t, i in vocab.items():
+            out[i] = bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode()
+        return out
+
     def cut(self, text: str) -> list[str]:
         if self.by_words:
             return text.replace("\n", " ").split(" ")
@@ -173,6 +191,71 @@ def _packed(ids: list[int]) -> bytes:
 
 
 @functools.lru_cache(maxsize=4)
-def units(path: str) -> Units:
+def units(path: str, plain_specials: bool = False) -> Units:
     """One per Python worker and vocabulary."""
-    return Units(path)
+    return Units(path, plain_specials)
+
+
+#: Texts on which a model's units have to have the ids of the whole text.
+PIECE_PROBES = ("", "a", " a", "a b", "  a   b  \n\n c\n d \n", "\n", "\t x\r\n y\xa0z", "It's 12 \ufb01ne, isn't\u3000it? <s> caf\xe9 \U0001f600", "ab" * 200 + " " + "_-" * 40)
+
+
+class PieceUnits:
+    """Ids of texts, as little-endian uint32 bytes, by a SentencePiece ``.model`` of merges that puts a blank in front.
+
+    No merge crosses a place that no piece of the vocabulary crosses. If that holds for a blank behind another character, and for both
+    sides of a line feed, a text is cut before these and each distinct unit is encoded once in a batch: the blank in front of a unit is
+    the one that the library adds; a line feed is encoded behind that blank, whose token goes. Other models encode whole texts."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.tok = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = [self.tok.id_to_piece(i) for i in range(self.tok.get_piece_size())]
+        self.memo: dict[str, bytes] = {}
+        self.blank = self.tok.encode("\n")[:1]
+        crossed = any("\u2581" in p.lstrip("\u2581") or "\n" in p for p in pieces)
+        self.by_units = not crossed and all(self._joined(t) == self.tok.encode(t) for t in PIECE_PROBES if t)
+
+    def cut(self, text: str) -> list[str]:
+        text = " " + text
+        if "  " not in text and "\x00" not in text:
+            return text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")[1:]
+        return _PIECE_CUT.split(text)
+
+    def _encoded(self, units: list[str]) -> list[list[int]]:
+        got = self.tok.encode([u if u[0] == "\n" else u[1:] for u in units], num_threads=1)
+        return [self.blank if u == " " else ids[1:] if u[0] == "\n" else ids for u, ids in zip(units, got)]
+
+    def _joined(self, text: str) -> list[int]:
+        return list(itertools.chain.from_iterable(self._encoded(self.cut(text))))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; an empty text has none."""
+        if not self.by_units:
+            return [_packed(x) for x in self.tok.encode(texts, num_threads=1)]
+        own = ["\u2581" in t for t in texts]  # the blank's mark itself: any piece may hold it
+        parts = [self.cut(t) if t and not marked else [] for t, marked in zip(texts, own)]
+        distinct = set().union(*parts)
+        new = [u for u in distinct if u not in self.memo]
+        if len(self.memo) + len(new) > MEMO_UNITS:
+            self.memo = {u: self.memo[u] for u in distinct if u in self.memo}
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            self.memo.update(zip(part, map(_packed, self._encoded(part))))
+        out = [_packed(self.tok.encode(t)) if marked else b"".join(map(self.memo.__getitem__, p)) for t, marked, p in zip(texts, own, parts)]
+        for u in new:
+            if len(u) > MEMO_CHARS:
+                del self.memo[u]
+        return out
+
+    def token_bytes(self) -> list[bytes]:
+        """The text of each id: a piece with blanks for its marks, or the byte that it stands for."""
+        tok = self.tok
+        return [bytes([int(tok.id_to_piece(i)[1:-1], 16)]) if tok.is_byte(i) else tok.id_to_piece(i).replace("\u2581", " ").encode() for i in range(tok.get_piece_size())]
+
+
+@functools.lru_cache(maxsize=2)
+def piece_units(path: str) -> PieceUnits:
+    """One per Python worker and model."""
+    return PieceUnits(path)
