@@ -85,15 +85,15 @@ def test_split_cost(spark):
 def test_pricing(spark):
     prices = spark.createDataFrame([("m", 1e-6, 2e-6, None, 5e-7), ("bad", -1.0, 1e-6, None, None), ("high", 2e-3, 1e-6, None, None), ("nan", float("nan"), 1e-6, None, None)], "model string, input_cost_per_token double, output_cost_per_token double, cache_creation_input_token_cost double, cache_read_input_token_cost double")
     aliases = spark.createDataFrame([("alias", "m")], "alias string, canonical string")
-    rows = messages(spark, {"model": "alias", "input_tokens": 10**6, "output_tokens": 10**6}, {"model": "x", "input_tokens": 1}, {"model": "m"}, {"role": "user"})
+    rows = messages(spark, {"model": "alias", "input_tokens": 10**6, "output_tokens": 10**6}, {"model": "x", "input_tokens": 1}, {"model": "m"}, {"role": "user"}).drop("cost_cents_ingested", "cost_cents_effective", "pricing_source")  # none is known yet
     got = [(q.cost_cents_effective, q.pricing_source) for q in p.priced(rows, prices, aliases).orderBy("id").collect()]
-    assert got == [(300.0, "manifest:v1"), (0.0, "unknown"), (0.0, "unpriced:no_tokens"), (0.0, "n/a")]
+    assert got == [(300.0, "manifest:v1:alias"), (0.0, "unknown"), (0.0, "manifest:v1"), (0.0, "unpriced:no_tokens")]
     kept, refused, fine = p.checked_prices(prices, prices.where("model = 'm'"))
     assert [q.model for q in kept.collect()] == ["m"] and [q.model for q in refused.collect()] == ["bad", "high", "nan"] and fine
     assert not p.checked_prices(prices, prices)[2]
     more = prices.where("model = 'm'").union(spark.createDataFrame([("x", 1.0e-6, 0.0, None, None)], prices.schema))
     later = p.backfilled(p.priced(rows, prices, aliases), more, aliases, 7).orderBy("id").collect()
-    assert [q.pricing_source for q in later][:2] == ["manifest:v1", "backfilled:v7"] and later[1].cost_cents_effective == 0.0001
+    assert [q.pricing_source for q in later][:2] == ["manifest:v1:alias", "backfilled:v7"] and later[1].cost_cents_effective == 0.0001
     cost = spark.createDataFrame([(100, 10, 50, 0, 20, True, 2)], "input_tokens long, output_tokens long, cache_creation_tokens long, cache_read_tokens long, long_writes long, fast boolean, n long")
     unit = {k: F.lit(float(v)) for k, v in {"input": 1, "output": 2, "write": 3, "read": 4}.items()}
     assert cost.select(p.cost_cents(unit, F.col("long_writes"), F.col("fast"), F.col("n"))).first()[0] == pytest.approx(((100 + 20 + 30 * 3 + 20 * 2) * 6 / 1e6 + 0.02) * 100)
@@ -101,6 +101,48 @@ def test_pricing(spark):
     assert [(q.l.kind, q.l.version) for q in labels] == [("backfilled", 12), ("unknown", None), ("unpriced", None), (None, None)]
 
 
+OPUS = ("opus", 5e-6, 25e-6, 6.25e-6, 0.5e-6)
+RATED = "model string, input_cost_per_token double, output_cost_per_token double, cache_creation_input_token_cost double, cache_read_input_token_cost double"
+
+
+def call(spark, *rows):
+    """Assistant rows of the staging schema, as parsers give them."""
+    from tokenledger.sources.transcripts import STAGING
+
+    base = {"role": "assistant", "model": "opus", "provider": "claude_code", "input_tokens": 0, "output_tokens": 0, "cache_creation_tokens": 0, "cache_read_tokens": 0, "cache_creation_1h_tokens": 0, "web_search_requests": 0}
+    schema = ", ".join(f"{k} {v}" for k, v in STAGING.items())
+    return spark.createDataFrame([tuple(({**base, "id": f"c{k}", **r}).get(c) for c in STAGING) for k, r in enumerate(rows)], schema)
+
+
+def test_costs_of_enrichment(spark):
+    prices, aliases = spark.createDataFrame([OPUS, ("named", 1e-6, 1e-6, None, None)], RATED), spark.createDataFrame([("o", "opus"), ("named", "opus"), ("lost", "nowhere")], "alias string, canonical string")
+    m = 10**6
+    cases = [
+        ({"input_tokens": m, "output_tokens": 100_000, "speed": "standard"}, 750.0, "manifest:v4", "estimated"),
+        ({"input_tokens": m, "output_tokens": 100_000, "speed": "fast"}, 4500.0, "manifest:v4", "estimated"),
+        ({"cache_creation_tokens": m, "cache_creation_1h_tokens": m}, 1000.0, "manifest:v4", "estimated"),
+        ({"cache_creation_tokens": m, "cache_creation_1h_tokens": 200_000}, 700.0, "manifest:v4", "estimated"),
+        ({"cache_creation_tokens": m, "cache_creation_1h_tokens": 3 * m}, 1000.0, "manifest:v4", "estimated"),
+        ({"web_search_requests": 5}, 5.0, "manifest:v4", "estimated"),
+        ({"input_tokens": m, "speed": "fast", "web_search_requests": 10}, 3010.0, "manifest:v4", "estimated"),
+        ({"model": "o", "input_tokens": m}, 500.0, "manifest:v4:alias", "estimated"),
+        ({"model": "named", "input_tokens": m}, 100.0, "manifest:v4", "estimated"),  # its own price, though it is an alias too
+        ({"model": "lost", "input_tokens": m, "web_search_requests": 9}, 0.0, "unknown", "estimated_unknown_model"),
+        ({"model": None, "input_tokens": m}, 0.0, "unknown", "estimated_unknown_model"),
+        ({"input_tokens": m, "cost_cents_ingested": 777.0, "cost_confidence": "exact"}, 777.0, "upstream:api", "exact"),
+        ({"input_tokens": m, "cost_cents_ingested": 0.0, "cost_confidence": "exact"}, 0.0, "upstream:api", "exact"),
+        ({"model": "lost", "cost_cents_ingested": 3.0, "cost_confidence": ""}, 3.0, "upstream:api", "estimated"),
+        ({"role": "user", "model": None}, 0.0, "unpriced:no_tokens", None),
+        ({"role": "user", "input_tokens": m, "speed": "fast"}, 0.0, None, None),
+    ]
+    got = {r.id: r for r in p.priced(call(spark, *[c[0] for c in cases]), prices, aliases, 4).collect()}
+    for k, (row, cents, source, sure) in enumerate(cases):
+        r = got[f"c{k}"]
+        assert (r.cost_cents_ingested, r.cost_cents_effective, r.pricing_source, r.cost_confidence) == (cents, cents, source, sure), row
+    tags = {(r.key, r.value) for r in e.cost_tags(p.priced(call(spark, {"speed": "standard"}, {"speed": "fast", "model": None}), prices, aliases)).collect()}
+    assert tags == {("provider", "claude_code"), ("model", "opus"), ("speed", "fast"), ("cost_confidence", "estimated"), ("cost_confidence", "estimated_unknown_model")}
+
+
 def test_bills(spark):
     rows = messages(spark, {"model": "m", "cost_cents_effective": 1.0, "cost_cents_ingested": 1.0}, {"model": "m", "cost_cents_effective": 3.0, "cost_cents_ingested": 3.0}, {"model": "z"}, {"model": "z"}, {"model": "q", "cost_cents_effective": 5.0})
     bill = spark.createDataFrame([(date(2024, 1, 1), "m", 8.0), (date(2024, 1, 1), "z", 3.0), (date(2024, 1, 1), "q", 0.0)], "date date, model string, amount_in_cents double")

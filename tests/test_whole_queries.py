@@ -27,7 +27,7 @@ def test_sessions_by_time_meet_all_sessions(spark):
                 near.append((1, min(abs(t - lo), abs(t - hi)), -lo, s))
         if near:
             want[p.id] = min(near)[3]
-    got = {x.id: x.session_id for x in QUERIES["j03_all_sessions_by_time"](spark, DATA).collect()}
+    got = {x.id: x.session_id for x in QUERIES["j03_sessions_by_time"](spark, DATA).collect()}
     assert got == want and any(not s.startswith("s1") for s in got.values())
 
 
@@ -42,7 +42,7 @@ def test_merge_takes_every_row_and_the_largest_of_several(spark):
             batch.setdefault(old, []).append(i) if old else want.setdefault(i, i)
     for old, many in batch.items():
         want[old] = min([old, *many], key=lambda i: (-rows[i].output_tokens, i != old, i))
-    got = {x.id: (x.output_tokens, x.cost_cents_effective) for x in QUERIES["d02_merged_all"](spark, DATA).collect()}
+    got = {x.id: (x.output_tokens, x.cost_cents_effective) for x in QUERIES["d02_merged"](spark, DATA).collect()}
     assert got == {i: (rows[j].output_tokens, rows[j].cost_cents_effective) for i, j in want.items()}
 
 

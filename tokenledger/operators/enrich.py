@@ -96,8 +96,11 @@ def file_tags(messages: DataFrame, root: str = "cwd") -> DataFrame:
 
 
 def cost_tags(messages: DataFrame) -> DataFrame:
-    columns = {k: k for k in ("provider", "model", "speed", "cost_confidence") if k in messages.columns}
-    return _tags(_assistant(messages), {k: F.col(c) for k, c in columns.items()})
+    """provider, model, cost_confidence, and a speed other than the standard one."""
+    columns = {k: F.col(k) for k in ("provider", "model", "speed", "cost_confidence") if k in messages.columns}
+    if "speed" in columns:
+        columns["speed"] = F.nullif(F.col("speed"), F.lit("standard"))
+    return _tags(_assistant(messages), columns)
 
 
 def cwd_source_tags(messages: DataFrame) -> DataFrame:

@@ -55,27 +55,43 @@ def per_million() -> dict[str, Column]:
 
 
 def with_prices(rows: DataFrame, price_list: DataFrame, aliases: DataFrame, model: str = "model") -> DataFrame:
-    """``rows`` with the four rates of their model, by its own name or its alias; null rates for unknown models."""
-    a = small(aliases.select(F.col("alias").alias("__alias"), F.col("canonical").alias("__canonical")))
-    p = small(price_list.select(F.col("model").alias("__model"), *RATES))
-    met = rows.join(a, F.col(model) == F.col("__alias"), "left")
-    met = met.join(p, F.col("__model") == F.coalesce("__canonical", F.col(model)), "left")
-    return met.withColumn("priced_model", F.col("__model")).drop("__alias", "__canonical", "__model")
+    """``rows`` with the four rates of their model, ``priced_model`` and ``by_alias``; null for unknown models.
+
+    A model that the list has itself is met by its own name, others by the alias that leads to one."""
+    own = price_list.select(F.col("model").alias("__model"), F.col("model").alias("priced_model"), F.lit(False).alias("by_alias"), *RATES)
+    led = aliases.select(F.col("alias").alias("__model"), F.col("canonical").alias("priced_model")).join(price_list.select("model"), F.col("__model") == F.col("model"), "left_anti")
+    met = led.join(price_list, F.col("priced_model") == F.col("model")).select("__model", "priced_model", F.lit(True).alias("by_alias"), *RATES)
+    names = small(own.unionByName(met))
+    return rows.join(names, F.col(model) == F.col("__model"), "left").drop("__model")
+
+
+def _given(messages: DataFrame, name: str, kind: str) -> Column:
+    return F.col(name) if name in messages.columns else F.lit(None).cast(kind)
 
 
 def priced(messages: DataFrame, price_list: DataFrame, aliases: DataFrame, version: int = 1) -> DataFrame:
-    """Cost of assistant rows by the price list: cost_cents_ingested, cost_cents_effective, pricing_source."""
+    """Messages with cost_cents_ingested, cost_cents_effective, pricing_source and cost_confidence.
+
+    A cost that is there already (``cost_cents_ingested``, from a source that tells the exact one) stays, with its confidence and source.
+    Assistant rows without one are priced by the list: fast mode (``speed``), 1-hour cache writes (``cache_creation_1h_tokens``) and web
+    searches (``web_search_requests``) count where the columns are there. An unknown model costs nothing, searches included. Other rows cost
+    nothing; without tokens their source says so, else it is null."""
     rows = with_prices(messages, price_list, aliases)
+    given = _given(messages, "cost_cents_ingested", "double")
     assistant = F.coalesce(F.col("role"), F.lit("assistant")) == "assistant"
-    tokens = F.col("input_tokens") + F.col("output_tokens") + F.col("cache_creation_tokens") + F.col("cache_read_tokens")
-    cents = F.when(assistant & F.col("priced_model").isNotNull(), cost_cents(per_million())).otherwise(0.0)
-    source = (
-        F.when(~assistant, "n/a")
-        .when(tokens == 0, "unpriced:no_tokens")
-        .when(F.col("priced_model").isNull(), "unknown")
-        .otherwise(f"manifest:v{version}")
-    )
-    return rows.withColumns({"cost_cents_ingested": cents, "cost_cents_effective": cents, "pricing_source": source}).drop("priced_model", *RATES)
+    tokens = sum((F.coalesce(F.col(c), F.lit(0)) for c in ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens")), F.lit(0))
+    known = F.col("priced_model").isNotNull()
+    extra = {"cache_creation_1h": _given(messages, "cache_creation_1h_tokens", "bigint"), "fast": _given(messages, "speed", "string") == "fast", "web_searches": _given(messages, "web_search_requests", "bigint")}
+    by_list = F.when(assistant & known, cost_cents(per_million(), **extra)).otherwise(0.0)
+    label = F.when(F.col("by_alias"), f"manifest:v{version}:alias").otherwise(f"manifest:v{version}")
+    told, sure = _given(messages, "pricing_source", "string"), F.nullif(_given(messages, "cost_confidence", "string"), F.lit(""))
+    made = {
+        "cost_cents_ingested": F.coalesce(given, by_list),
+        "cost_cents_effective": F.coalesce(given, by_list),
+        "pricing_source": F.when(given.isNotNull(), F.coalesce(told, F.lit("upstream:api"))).when(assistant & known, label).when(assistant, "unknown").otherwise(F.coalesce(told, F.when(tokens == 0, "unpriced:no_tokens"))),
+        "cost_confidence": F.when(~assistant, sure).when(given.isNotNull(), F.coalesce(sure, F.lit("estimated"))).when(known, "estimated").otherwise("estimated_unknown_model"),
+    }
+    return rows.withColumns(made).drop("priced_model", "by_alias", *RATES)
 
 
 def checked_prices(price_list: DataFrame, previous: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
@@ -103,7 +119,7 @@ def backfilled(messages: DataFrame, price_list: DataFrame, aliases: DataFrame, v
             "cost_cents_effective": F.when(now, cents).otherwise(F.col("cost_cents_effective")),
             "pricing_source": F.when(now, f"backfilled:v{version}").otherwise(F.col("pricing_source")),
         }
-    ).drop("priced_model", *RATES)
+    ).drop("priced_model", "by_alias", *RATES)
 
 
 TOKEN_TYPES = {"input": "input_tokens", "output": "output_tokens", "cache_write": "cache_creation_tokens", "cache_read": "cache_read_tokens"}

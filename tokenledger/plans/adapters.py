@@ -34,7 +34,11 @@ SELECT 'm' || CAST(event_id AS STRING) AS id,
             WHEN event_id % 4 = 2 THEN 'otel_exact' ELSE 'estimated_unknown_model' END AS cost_confidence,
        CASE WHEN event_type = 'view' THEN NULL ELSE 'r' || CAST(event_id - event_id % 3 AS STRING) END AS request_id,
        CASE WHEN event_id % 6 = 0 THEN NULL WHEN event_id % 6 = 1 THEN '' WHEN event_id % 6 = 2 THEN 'VSCode'
-            WHEN event_id % 6 = 3 THEN 'cursor' WHEN event_id % 6 = 4 THEN 'jetbrains' ELSE 'terminal' END AS surface
+            WHEN event_id % 6 = 3 THEN 'cursor' WHEN event_id % 6 = 4 THEN 'jetbrains' ELSE 'terminal' END AS surface,
+       CASE WHEN event_id % 19 = 0 THEN 'fast' WHEN event_id % 19 < 9 THEN 'standard' END AS speed,
+       CASE WHEN event_type = 'view' THEN 0 WHEN event_id % 21 = 0 THEN 600 ELSE (event_id % 5) * (event_id % 3) * 50 END AS cache_creation_1h_tokens,
+       CASE WHEN event_type <> 'view' AND event_id % 14 = 0 THEN event_id % 4 ELSE 0 END AS web_search_requests,
+       CASE WHEN event_type <> 'view' AND event_id % 4 IN (0, 2) AND event_id % 17 <> 0 AND event_id % 3 <> 1 THEN CAST(event_id % 1000 AS DOUBLE) / 8e0 END AS cost_cents_ingested
 FROM {events}
 """
 
@@ -94,8 +98,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Priced messages: the adapter's rows with cost_cents_ingested, cost_cents_effective and pricing_source."""
     from ..operators.pricing import priced
 
-    rows = _run(spark, MESSAGES, events=table(spark, sf_dir, "events"))
-    return priced(rows, prices(spark), aliases(spark))
+    return priced(raw_messages(spark, sf_dir), prices(spark), aliases(spark))
 
 
 def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,15 +126,19 @@ def bill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Common table expressions of the SQL twins, in dependency order.
-_COST = """CASE WHEN role <> 'assistant' THEN 0e0 WHEN p.model IS NULL THEN 0e0 ELSE
- ((input_tokens * (p.input_cost_per_token * 1e6) + output_tokens * (p.output_cost_per_token * 1e6) + cache_creation_tokens * (coalesce(p.cache_creation_input_token_cost, 0e0) * 1e6)
- + cache_read_tokens * (coalesce(p.cache_read_input_token_cost, 0e0) * 1e6)) / 1e6) * 100e0 END"""
+_LONG = "least(coalesce(b.cache_creation_1h_tokens, 0), cache_creation_tokens)"
+_COST = f"""CASE WHEN b.cost_cents_ingested IS NOT NULL THEN b.cost_cents_ingested WHEN role <> 'assistant' THEN 0e0 WHEN p.model IS NULL THEN 0e0 ELSE
+ ((input_tokens * (p.input_cost_per_token * 1e6) + output_tokens * (p.output_cost_per_token * 1e6) + (cache_creation_tokens - {_LONG}) * (coalesce(p.cache_creation_input_token_cost, 0e0) * 1e6)
+ + cache_read_tokens * (coalesce(p.cache_read_input_token_cost, 0e0) * 1e6) + {_LONG} * (p.input_cost_per_token * 1e6) * 2) / 1e6 * CASE WHEN b.speed = 'fast' THEN 6 ELSE 1 END + b.web_search_requests * 0.01e0) * 100e0 END"""
+_SOURCE = """CASE WHEN b.cost_cents_ingested IS NOT NULL THEN 'upstream:api' WHEN role = 'assistant' AND p.model IS NOT NULL THEN CASE WHEN a.alias IS NULL THEN 'manifest:v1' ELSE 'manifest:v1:alias' END WHEN role = 'assistant' THEN 'unknown'
+ WHEN input_tokens + output_tokens + cache_creation_tokens + cache_read_tokens = 0 THEN 'unpriced:no_tokens' END"""
+_SURE = """CASE WHEN role <> 'assistant' THEN nullif(b.cost_confidence, '') WHEN b.cost_cents_ingested IS NOT NULL THEN coalesce(nullif(b.cost_confidence, ''), 'estimated') WHEN p.model IS NOT NULL THEN 'estimated' ELSE 'estimated_unknown_model' END"""
 CTES = {
     "base": MESSAGES.format(events="events"),
     "price": PRICES,
     "alias": ALIASES,
     "msg": f"""
-SELECT b.*, round({_COST}, 8) AS cost_cents_effective, CAST(round({_COST}, 8) AS DECIMAL(20,8)) AS cents,
+SELECT b.* EXCLUDE (cost_cents_ingested, cost_confidence), {_SOURCE} AS pricing_source, {_SURE} AS cost_confidence, round({_COST}, 8) AS cost_cents_ingested, round({_COST}, 8) AS cost_cents_effective, CAST(round({_COST}, 8) AS DECIMAL(20,8)) AS cents,
        coalesce(nullif(b.provider, ''), 'claude_code') AS d_provider,
        CASE WHEN b.model IS NULL OR b.model = '' OR starts_with(b.model, '<') THEN '(untagged)' ELSE b.model END AS d_model,
        CASE WHEN repo_id IS NULL OR repo_id IN ('', 'unknown') THEN '(untagged)' ELSE repo_id END AS d_project,

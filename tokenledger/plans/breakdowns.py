@@ -224,7 +224,7 @@ query(
 )(lambda s, d: p.reprice_audit(a.messages(s, d), p.repriced(a.messages(s, d), s.sql(_RATES))))
 query(
     "p11_unknown_models",
-    "SELECT b.model, count(*) AS messages FROM base b LEFT JOIN alias a ON a.alias = b.model LEFT JOIN price p ON p.model = coalesce(a.canonical, b.model) WHERE role = 'assistant' AND p.model IS NULL AND b.model IS NOT NULL AND input_tokens + output_tokens + cache_creation_tokens + cache_read_tokens > 0 GROUP BY 1",
+    "SELECT b.model, count(*) AS messages FROM base b LEFT JOIN alias a ON a.alias = b.model LEFT JOIN price p ON p.model = coalesce(a.canonical, b.model) WHERE role = 'assistant' AND p.model IS NULL AND b.model IS NOT NULL AND b.cost_cents_ingested IS NULL GROUP BY 1",
 )(lambda s, d: p.unknown_models(a.messages(s, d)))
 _PRICED_BILL = "SELECT CAST(timestamp AS DATE) AS date, model, CAST(count(*) * 7 AS DOUBLE) AS amount_in_cents FROM {m} WHERE role = 'assistant' AND model IS NOT NULL AND model <> '<synthetic>' GROUP BY 1, 2"
 query(

@@ -117,10 +117,11 @@ query(
     "p03_refused_prices",
     "SELECT 'n' || event_id AS model, CASE event_id % 10 WHEN 0 THEN 'input_cost_per_token is negative' WHEN 1 THEN 'input_cost_per_token is too high' WHEN 2 THEN 'input_cost_per_token is no number' ELSE 'output_cost_per_token is too high' END AS reason FROM events WHERE event_id % 10 IN (0, 1, 2) OR event_id % 100 = 13",
 )(lambda s, d: p.checked_prices(_made(s, d, _LIST), a.prices(s))[1].select("model", "reason"))
+# a model that the list lacked costs tokens alone when it gets its price: no fast mode, no searches, all cache writes short ones
 query(
     "p04_backfilled",
-    """SELECT m.id, cost_cents_effective, CASE WHEN role <> 'assistant' THEN 'n/a' WHEN input_tokens + output_tokens + cache_creation_tokens + cache_read_tokens = 0 THEN 'unpriced:no_tokens' WHEN m.model = 'gpt-5.3-codex' THEN 'backfilled:v3' WHEN p.model IS NULL THEN 'unknown' ELSE 'manifest:v1' END AS pricing_source
-FROM msg m LEFT JOIN alias a ON a.alias = m.model LEFT JOIN price p ON p.model = coalesce(a.canonical, m.model)""",
+    """SELECT m.id, CASE WHEN late THEN round(((input_tokens * (input_cost_per_token * 1e6) + output_tokens * (output_cost_per_token * 1e6) + cache_creation_tokens * (coalesce(cache_creation_input_token_cost, 0e0) * 1e6) + cache_read_tokens * (coalesce(cache_read_input_token_cost, 0e0) * 1e6)) / 1e6) * 100e0, 8) ELSE cost_cents_effective END AS cost_cents_effective,
+ CASE WHEN late THEN 'backfilled:v3' ELSE pricing_source END AS pricing_source FROM (SELECT *, model = 'gpt-5.3-codex' AND pricing_source = 'manifest:v1' AS late FROM msg) m LEFT JOIN price p ON p.model = m.model""",
 )(
     lambda s, d: p.backfilled(p.priced(a.raw_messages(s, d), a.prices(s).where("model <> 'gpt-5.3-codex'"), a.aliases(s)), a.prices(s), a.aliases(s), 3).select("id", "cost_cents_effective", "pricing_source")
 )
@@ -144,7 +145,7 @@ query(
     "p10_pricing_labels",
     "SELECT event_id AS id, CASE event_id % 7 WHEN 0 THEN 'manifest' WHEN 1 THEN 'manifest_alias' WHEN 2 THEN 'backfilled' WHEN 3 THEN 'embedded' WHEN 4 THEN 'unknown' WHEN 5 THEN 'unpriced' ELSE 'legacy:pre-manifest' END AS kind, CASE event_id % 7 WHEN 0 THEN 3 WHEN 1 THEN event_id WHEN 2 THEN 12 WHEN 3 THEN 2 END AS version FROM events",
 )(lambda s, d: _made(s, d, _LABELS).select("id", p.pricing_label(F.col("c")).alias("l")).select("id", "l.kind", "l.version"))
-_UNKNOWN = "SELECT b.* FROM base b LEFT JOIN alias a ON a.alias = b.model LEFT JOIN price p ON p.model = coalesce(a.canonical, b.model) WHERE role = 'assistant' AND p.model IS NULL AND b.model IS NOT NULL AND input_tokens + output_tokens + cache_creation_tokens + cache_read_tokens > 0"
+_UNKNOWN = "SELECT b.* FROM base b LEFT JOIN alias a ON a.alias = b.model LEFT JOIN price p ON p.model = coalesce(a.canonical, b.model) WHERE role = 'assistant' AND p.model IS NULL AND b.model IS NOT NULL AND b.cost_cents_ingested IS NULL"
 query("p11_price_status", f"SELECT 7 AS version, 4 AS known_models, 1 AS aliases, 0 AS refused_rows, count(DISTINCT model) AS unknown_models, count(*) AS unknown_messages FROM ({_UNKNOWN})")(
     lambda s, d: p.price_status(a.messages(s, d), a.prices(s), a.aliases(s), a.prices(s), 7)
 )

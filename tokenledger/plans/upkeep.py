@@ -113,7 +113,7 @@ query(
 )(lambda s, d: e.ticket_tags(a.raw_messages(s, d)))
 query(
     "e07_cost_tags",
-    "SELECT id AS message_id, 'provider' AS key, provider AS value FROM msg WHERE role = 'assistant' AND provider <> '' UNION ALL SELECT id, 'model', model FROM msg WHERE role = 'assistant' AND model <> '' UNION ALL SELECT id, 'cost_confidence', cost_confidence FROM msg WHERE role = 'assistant' AND cost_confidence <> ''",
+    "SELECT id AS message_id, 'provider' AS key, provider AS value FROM msg WHERE role = 'assistant' AND provider <> '' UNION ALL SELECT id, 'model', model FROM msg WHERE role = 'assistant' AND model <> '' UNION ALL SELECT id, 'cost_confidence', cost_confidence FROM msg WHERE role = 'assistant' AND cost_confidence <> '' UNION ALL SELECT id, 'speed', speed FROM msg WHERE role = 'assistant' AND speed = 'fast'",
 )(lambda s, d: e.cost_tags(a.messages(s, d)))
 _RULES = "SELECT 'team' AS key, 'core' AS value, 'github.com/acme/r?' AS match_repo UNION ALL SELECT 'org', 'acme', NULL UNION ALL SELECT 'team', 'four', '*/r4'"
 query(
@@ -157,13 +157,12 @@ def _merge(s, d):
 
 
 # every row is stored or in the batch
-for _name in ("d02_merged", "d02_merged_all"):
-    query(
-        _name,
-        f"""SELECT s.id, greatest(s.output_tokens, coalesce(b.o, 0)) AS output_tokens, CASE WHEN b.o > s.output_tokens THEN b.c ELSE s.cost_cents_effective END AS cost_cents_effective FROM st s LEFT JOIN ba b ON b.request_id = s.request_id AND b.session_id = s.session_id
+query(
+    "d02_merged",
+    f"""SELECT s.id, greatest(s.output_tokens, coalesce(b.o, 0)) AS output_tokens, CASE WHEN b.o > s.output_tokens THEN b.c ELSE s.cost_cents_effective END AS cost_cents_effective FROM st s LEFT JOIN ba b ON b.request_id = s.request_id AND b.session_id = s.session_id
 UNION ALL SELECT id, output_tokens, cost_cents_effective FROM asst WHERE {_E} <> 0 AND NOT EXISTS (SELECT 1 FROM st WHERE st.request_id = asst.request_id AND st.session_id = asst.session_id)""",
-        ("st", f"SELECT * FROM asst WHERE {_E} = 0"), ("ba", f"SELECT request_id, session_id, output_tokens AS o, cost_cents_effective AS c FROM (SELECT *, row_number() OVER (PARTITION BY request_id, session_id ORDER BY output_tokens DESC, id) AS k FROM asst WHERE {_E} <> 0) WHERE k = 1"),
-    )(_merge)
+    ("st", f"SELECT * FROM asst WHERE {_E} = 0"), ("ba", f"SELECT request_id, session_id, output_tokens AS o, cost_cents_effective AS c FROM (SELECT *, row_number() OVER (PARTITION BY request_id, session_id ORDER BY output_tokens DESC, id) AS k FROM asst WHERE {_E} <> 0) WHERE k = 1"),
+)(_merge)
 
 
 def _all_windows(s, d):
@@ -174,10 +173,9 @@ def _all_windows(s, d):
 #: Rows without a session and the session whose window they fall into.
 BY_TIME = """SELECT p.id, arg_min(w.session_id, {'a': CASE WHEN p.t BETWEEN w.a AND w.b THEN 0 ELSE 1 END, 'b': CASE WHEN p.t BETWEEN w.a AND w.b THEN p.t - w.a ELSE least(abs(p.t - w.a), abs(p.t - w.b)) END, 'c': -w.a, 'd': w.session_id}) AS session_id
 FROM (SELECT id, epoch_us(timestamp) // 1000 AS t FROM base WHERE session_id IS NULL) p JOIN (SELECT id AS session_id, epoch_us(started_at) // 1000 AS a, epoch_us(ended_at) // 1000 AS b FROM sess) w ON p.t BETWEEN w.a - 5000 AND w.b + 5000 GROUP BY 1"""
-for _name in ("j03_sessions_by_time", "j03_all_sessions_by_time"):  # every session's window
-    query(_name, BY_TIME, _SESS)(
-        lambda s, d: m.in_interval(a.raw_messages(s, d).where("session_id IS NULL").select("id", F.floor(F.unix_micros(F.col("timestamp").cast("timestamp")) / 1000).alias("at_ms")), _all_windows(s, d))
-    )
+query("j03_sessions_by_time", BY_TIME, _SESS)(  # every session's window
+    lambda s, d: m.in_interval(a.raw_messages(s, d).where("session_id IS NULL").select("id", F.floor(F.unix_micros(F.col("timestamp").cast("timestamp")) / 1000).alias("at_ms")), _all_windows(s, d))
+)
 query(
     "d05_repaired_branches",
     """SELECT b.id, coalesce(nullif(b.git_branch, ''), nullif(s.git_branch, ''), o.g) AS git_branch FROM base b LEFT JOIN sess s ON s.id = b.session_id LEFT JOIN (SELECT session_id, arg_min(git_branch, {'t': timestamp, 'i': id}) AS g FROM base WHERE git_branch <> '' AND session_id IS NOT NULL GROUP BY 1) o ON o.session_id = b.session_id""",
