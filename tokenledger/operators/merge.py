@@ -29,12 +29,15 @@ def dedup_requests(messages: DataFrame, order: str = "line_no") -> DataFrame:
 
 def merged(stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(messages, id map of batch rows to survivors). A row of the same request and session keeps the stored id; output tokens and
-    costs become those of the larger output, of equal ones those of the smaller id. Rows of a known id are not taken again."""
+    costs become those of the larger output, of equal ones those of the smaller id. A row without a session meets its request in any
+    session. Rows of a known id are not taken again."""
     fresh = batch.join(stored.select("id"), "id", "left_anti")
-    by = ["request_id", "session_id"]
     following = [c for c in ("output_tokens", "cost_cents_ingested", "cost_cents_effective") if c in stored.columns]
-    known = stored.where("request_id IS NOT NULL AND session_id IS NOT NULL").groupBy(*by).agg(F.min("id").alias("__old"))
-    met = fresh.join(known, by, "left")
+    requests = stored.where("request_id IS NOT NULL").select("request_id", "session_id", "id")
+    own = requests.where("session_id IS NOT NULL").groupBy("request_id", "session_id").agg(F.min("id").alias("__own"))
+    of_any = requests.groupBy("request_id").agg(F.min("id").alias("__any"))
+    met = fresh.join(own, ["request_id", "session_id"], "left").join(of_any, "request_id", "left")
+    met = met.withColumn("__old", F.coalesce("__own", F.when(F.col("session_id").isNull(), F.col("__any"))))
     best = met.where("__old IS NOT NULL").groupBy(F.col("__old").alias("id")).agg(
         F.min_by(F.struct(*following), F.when(F.col("output_tokens").isNotNull(), F.struct(-F.col("output_tokens"), "id"))).alias("__new")
     )

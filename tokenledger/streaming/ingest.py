@@ -12,10 +12,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions import dims
-from ..operators.exports import reload_days, write_days
-from ..operators.merge import dedup_requests, merged
 from ..operators.rollups import hourly
 from ..sources.transcripts import numbered, raw_lines
+from .load import clear, load_batch
 
 
 def transcript_files(spark: SparkSession, path: str, most_files: int = 200, most_bytes: str | None = None) -> DataFrame:
@@ -24,52 +23,27 @@ def transcript_files(spark: SparkSession, path: str, most_files: int = 200, most
     return raw_lines(spark.readStream.option(*limit), path)
 
 
-def _stored(spark: SparkSession, path: str, days: DataFrame | None = None) -> DataFrame | None:
-    try:
-        out = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
-        raise
-    if days is None:
-        return out
-    return out.join(F.broadcast(days), "bucket_day", "left_semi")  # the days of one batch
-
-
-def load_batch(batch: DataFrame, path: str, staging: str, epoch: int) -> None:
-    """Merge a batch into the day table. A replay changes nothing: ids and requests that are there are met, not added.
-
-    Rows that can meet the batch stand in its days or the days beside them, so only those are read, written to a staging folder
-    and put back."""
-    spark = batch.sparkSession
-    batch = dedup_requests(batch, "id").persist()
-    try:
-        spread = F.explode(F.array(*[F.date_add(F.col("timestamp").cast("date"), d) for d in (-1, 0, 1)]))
-        stored = _stored(spark, path, batch.select(spread.alias("bucket_day")).distinct())
-        rows = batch if stored is None else merged(stored.drop("bucket_day").select(*batch.columns), batch)[0]
-        target = f"{staging}/epoch={epoch}"
-        rows.write.mode("overwrite").parquet(target)
-        write_days(spark.read.schema(rows.schema).parquet(target), path)
-    finally:
-        batch.unpersist()
-
-
-def ingest(lines: DataFrame, parse: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, staging: str, available_now: bool = True) -> StreamingQuery:
-    """Lines through ``parse`` (and what it does besides) into the message table; the same checkpoint serves live and catch-up runs."""
-    writer = lines.writeStream.foreachBatch(lambda df, epoch: load_batch(parse(numbered(df)), path, staging, epoch)).option("checkpointLocation", checkpoint)
+Parse = Callable[[DataFrame], DataFrame]
+
+
+def ingest(lines: DataFrame, parse: Parse, path: str, checkpoint: str, staging: str, available_now: bool = True, tags: Parse | None = None) -> StreamingQuery:
+    """Lines through ``parse`` (and what it does besides) into the tables of ``path`` (``load``), with the tags that ``tags`` makes of a
+    parsed batch; the same checkpoint serves live and catch-up runs."""
+
+    def take(df: DataFrame, epoch: int) -> None:
+        load_batch(parse(df if "line_no" in df.columns else numbered(df)), path, staging, epoch, tags)
+
+    writer = lines.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if available_now else writer.trigger(processingTime="5 seconds").start()
 
 
-def reload(lines: DataFrame, parse: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, staging: str) -> StreamingQuery:
+def reload(lines: DataFrame, parse: Parse, path: str, checkpoint: str, staging: str, tags: Parse | None = None) -> StreamingQuery:
     """A forced reload: what was ingested is cleared, and all sources are taken again under a checkpoint that no run has used.
 
     ``lines`` has to be a new stream of the sources."""
-    spark = lines.sparkSession
-    stored = _stored(spark, path)
-    if stored is not None:
-        reload_days(stored.drop("bucket_day").limit(0), path)
+    clear(lines.sparkSession, path)
     fresh = uuid.uuid4().hex
-    return ingest(lines, parse, path, f"{checkpoint}/{fresh}", f"{staging}/{fresh}")
+    return ingest(lines, parse, path, f"{checkpoint}/{fresh}", f"{staging}/{fresh}", tags=tags)
 
 
 def live_hourly(messages: DataFrame, late: str = "1 day") -> DataFrame:
