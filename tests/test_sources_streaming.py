@@ -184,3 +184,21 @@ def test_contents_of_any_kind(spark):
     got = t.envelope(frame(spark, *rows)).orderBy("line_no").collect()
     assert [r.text for r in got] == ["plain", "[1, 2]", "one\ntwo", "flat", None, None]
     assert (got[5].input_tokens, got[5].output_tokens, got[5].cache_read_tokens, got[5].cache_creation_tokens) == (7, 2, 0, 0)
+
+
+def test_lists_of_anything_and_texts_that_look_like_lists(spark):
+    said = {"uuid": "a", "sessionId": "s", "timestamp": "2024-01-01T00:00:00Z"}
+    use = {"type": "tool_use", "id": " t1 ", "name": "Read", "input": {"file_path": "a.py"}}
+    result = lambda **k: {"type": "tool_result", "tool_use_id": "t1", **k}
+    answers = [["hi", use], [use, 5, None, [use], {"no": "type"}], [{"type": "text", "text": "x"}, use], "[]", {"type": "tool_use"}, [], [{**use, "input": "none"}, {**use, "id": None, "name": None, "input": None}]]
+    got = t.envelope(frame(spark, *[{**said, "type": "assistant", "message": {"model": "m", "content": c}} for c in answers])).orderBy("line_no").collect()
+    assert [(r.tool_names, r.tool_use_ids, r.tool_files) for r in got] == [
+        (["Read"], ["t1"], ["a.py"]), (["Read"], ["t1"], ["a.py"]), (["Read"], ["t1"], ["a.py"]), ([], [], []), ([], [], []), ([], [], []), (["Read", None], ["t1", None], []),
+    ]
+    asked = [
+        '[{"type": "text", "text": "typed by the user"}]', '{"type": "text"}', ["plain", {"type": "text", "text": "block"}], ["only", "words"], 7, {"a": 1}, '["hi"',
+        [result(is_error=True, content="x"), 3, result(tool_use_id=" ", content="x"), result(content=[{"type": "text", "text": "user"}, "rejected", 4, {"text": 5}])], [result(is_error="yes", content={"text": "user rejected"})],
+    ]
+    got = t.envelope(frame(spark, *[{**said, "type": "user", "message": {"content": c}} for c in asked])).orderBy("line_no").collect()
+    assert [r.text for r in got] == [asked[0], asked[1], "block", None, None, None, asked[6], None, None]
+    assert [[tuple(o) for o in r.tool_outcomes] for r in got[7:]] == [[("t1", "error"), ("t1", "denied")], [("t1", "success")]]

@@ -35,10 +35,10 @@ def _lines(s, d, value: str, where: str = "true", key: str = "user_id"):
 _TS = "replace(CAST(date_trunc('second', ts) AS STRING), ' ', 'T') || 'Z'"
 _TS_D = "date_trunc('second', ts)"
 _I = "CAST(floor(value * 10) AS BIGINT)"
-_ENVELOPE = f"""CASE WHEN event_id % 50 = 0 THEN 'not json' WHEN event_type = 'view' THEN '{{"type":"user","uuid":"u' || CAST(event_id AS STRING) || '","sessionId":"s' || CAST(user_id AS STRING) || '","timestamp":"' || {_TS} || '","gitBranch":"b","message":{{"content":[{{"type":"tool_result","tool_use_id":"t' || CAST(event_id AS STRING)
+_ENVELOPE = f"""CASE WHEN event_id % 50 = 0 THEN 'not json' WHEN event_type = 'view' THEN '{{"type":"user","uuid":"u' || CAST(event_id AS STRING) || '","sessionId":"s' || CAST(user_id AS STRING) || '","timestamp":"' || {_TS} || '","gitBranch":"b","message":{{"content":[' || CASE WHEN event_id % 3 = 0 THEN '"and then", 7, null, ' ELSE '' END || '{{"type":"tool_result","tool_use_id":"t' || CAST(event_id AS STRING)
 || '","is_error":' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END || ',"content":"' || CASE WHEN event_id % 6 = 0 THEN 'User rejected it' ELSE 'ok' END || '"}}]}}}}'
 WHEN event_id % 7 = 0 THEN '{{"role":"assistant","uuid":"u' || CAST(event_id AS STRING) || '","id":"r' || CAST(event_id AS STRING) || '","sessionId":"s' || CAST(user_id AS STRING) || '","timestamp":"' || {_TS} || '","model":"flat","usage":{{"input_tokens":' || CAST({_I} AS STRING) || ',"output_tokens":3}}}}'
-ELSE '{{"type":"assistant","uuid":"u' || CAST(event_id AS STRING) || '","sessionId":"s' || CAST(user_id AS STRING) || '","timestamp":"' || {_TS} || '","message":{{"id":"r' || CAST(event_id AS STRING) || '","model":"' || CASE WHEN event_id % 11 = 0 THEN '<synthetic>' ELSE 'm' END || '","content":[{{"type":"tool_use","id":"t1","name":"Edit","input":{{"file_path":"src/a.py"}}}},{{"type":"tool_use","id":"t2","name":" Grep ","input":{{"path":"lib"}}}}],
+ELSE '{{"type":"assistant","uuid":"u' || CAST(event_id AS STRING) || '","sessionId":"s' || CAST(user_id AS STRING) || '","timestamp":"' || {_TS} || '","message":{{"id":"r' || CAST(event_id AS STRING) || '","model":"' || CASE WHEN event_id % 11 = 0 THEN '<synthetic>' ELSE 'm' END || '","content":[' || CASE WHEN event_id % 5 = 0 THEN '"hi", [1], {{"no":"type"}}, ' ELSE '' END || '{{"type":"tool_use","id":"t1","name":"Edit","input":{{"file_path":"src/a.py"}}}},{{"type":"tool_use","id":"t2","name":" Grep ","input":{{"path":"lib"}}}}],
 "usage":{{"input_tokens":' || CAST({_I} AS STRING) || ',"output_tokens":5,"cache_creation_input_tokens":7,"cache_read_input_tokens":' || CAST(event_id % 9 AS STRING) || ',"cache_creation":{{"ephemeral_1h_input_tokens":2}}}}}}}}' END"""
 query(
     "s02_envelope_lines",

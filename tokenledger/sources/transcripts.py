@@ -30,7 +30,7 @@ DENIALS = (
 )
 #: Characters of a result that are looked at.
 RESULT_CHARS = 2048
-BLOCKS = "array<struct<type:string,id:string,name:string,text:string,tool_use_id:string,is_error:boolean,input:string,content:string>>"
+BLOCK = "struct<type:string,id:string,name:string,text:string,tool_use_id:string,is_error:variant,input:variant,content:variant>"
 
 
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -101,7 +101,7 @@ def outcome_of(is_error: Column, text: Column) -> Column:
 
 def tool_files(blocks: Column) -> Column:
     """File arguments of tool uses, in order: which argument depends on the tool."""
-    arg = lambda b, *names: F.array(*[F.get_json_object(b["input"], f"$.{n}") for n in names])
+    arg = lambda b, *names: F.array(*[F.try_variant_get(b["input"], f"$.{n}", "string") for n in names])
 
     def of(b: Column) -> Column:
         name = F.lower(F.trim(b["name"]))
@@ -122,13 +122,34 @@ def tool_files(blocks: Column) -> Column:
 
 
 _USAGE = "struct<input_tokens:string,output_tokens:string,cache_creation_input_tokens:string,cache_read_input_tokens:string,speed:string,cache_creation:struct<ephemeral_1h_input_tokens:string>,server_tool_use:struct<web_search_requests:string>>"
-#: A line with all that is read of it. Texts take a value of any kind: objects and lists come as their JSON.
+#: A line with all that is read of it. Contents are of any kind, a text or a list of blocks and others; they are kept as values.
 _ENVELOPE = (
-    "type string, role string, uuid string, sessionId string, session_id string, timestamp string, cwd string, gitBranch string, parentUuid string, model string, id string, content string, "
-    f"usage {_USAGE}, message struct<id:string,model:string,content:string,usage:{_USAGE}>"
+    "type string, role string, uuid string, sessionId string, session_id string, timestamp string, cwd string, gitBranch string, parentUuid string, model string, id string, content variant, "
+    f"usage {_USAGE}, message struct<id:string,model:string,content:variant,usage:{_USAGE}>"
 )
 
 
+def _listed(c: Column) -> Column:
+    """The elements of a value that is a list."""
+    return F.try_variant_get(c, "$", "array<variant>")
+
+
+def _text(c: Column) -> Column:
+    """A value that is a text."""
+    return F.when(F.schema_of_variant(c) == "STRING", F.try_variant_get(c, "$", "string"))
+
+
+def _flag(c: Column) -> Column:
+    """A value that is true or false."""
+    return F.when(F.schema_of_variant(c) == "BOOLEAN", F.try_variant_get(c, "$", "boolean"))
+
+
+def _result_text(c: Column) -> Column:
+    """What a tool's result says: its text, or the texts of a list."""
+    each = F.transform(_listed(c), lambda x: F.coalesce(F.try_variant_get(x, "$.text", "string"), _text(x)))
+    return F.coalesce(F.array_join(each, " "), _text(c))
+
+
 def _count(*fields: str) -> Column:
     """The first of the fields that holds a number, as whole tokens."""
     whole = lambda c: F.coalesce(F.col(c).try_cast("bigint"), F.col(c).try_cast("double").try_cast("bigint"))
@@ -138,16 +159,17 @@ def _count(*fields: str) -> Column:
 def envelope(rows: DataFrame, provider: str = "claude_code") -> DataFrame:
     """Transcript lines: user and assistant envelopes, and flat sub-agent lines that name a role instead of a type.
 
-    A line is parsed once, by one schema; content that is a list is parsed as blocks, if one of them has a type."""
+    A line is parsed once, by one schema. Content that is a list gives its blocks, the objects in it with a type, whatever stands beside
+    them; content that is a text stays one, also if it looks like a list."""
     v = rows.where(F.rtrim("value", F.lit(" \t\r\n")).endswith("}")).withColumn("v", F.from_json("value", _ENVELOPE))
     role = F.when(F.col("v.type").isin("user", "assistant"), F.col("v.type")).when(F.col("v.type").isNull() & F.col("v.role").isin("user", "assistant"), F.col("v.role"))
     v = v.withColumn("role", role).where("role IS NOT NULL")
-    listed = lambda c: F.when(F.col(c).startswith("["), F.from_json(c, BLOCKS))
-    typed = lambda c: F.filter(c, lambda b: b["type"].isNotNull())
-    v = v.withColumn("blocks", F.coalesce(F.nullif(typed(listed("v.message.content")), F.array().cast(BLOCKS)), typed(listed("v.content")), F.array().cast(BLOCKS)))
-    uses, results = F.filter("blocks", lambda b: b["type"] == "tool_use"), F.filter("blocks", lambda b: b["type"] == "tool_result")
-    u = lambda name: _count(f"v.message.usage.{name}", f"v.usage.{name}")
     said = F.coalesce("v.message.content", "v.content")
+    blocks = F.filter(F.transform(_listed(F.col("said")), lambda x: F.try_variant_get(x, "$", BLOCK)), lambda b: b["type"].isNotNull())
+    v = v.withColumn("said", said).withColumn("blocks", F.coalesce(blocks, F.array().cast(f"array<{BLOCK}>")))
+    uses = F.filter("blocks", lambda b: b["type"] == "tool_use")
+    results = F.filter("blocks", lambda b: (b["type"] == "tool_result") & (F.trim(b["tool_use_id"]) != ""))
+    u = lambda name: _count(f"v.message.usage.{name}", f"v.usage.{name}")
     spoken = F.array_join(F.transform(F.filter("blocks", lambda b: b["type"] == "text"), lambda b: b["text"]), "\n")
     mine = F.col("role") == "assistant"
     out = staged(
@@ -158,9 +180,9 @@ def envelope(rows: DataFrame, provider: str = "claude_code") -> DataFrame:
         cache_creation_tokens=F.when(mine, u("cache_creation_input_tokens")).otherwise(0), cache_read_tokens=F.when(mine, u("cache_read_input_tokens")).otherwise(0),
         cache_creation_1h_tokens=u("cache_creation.ephemeral_1h_input_tokens"), web_search_requests=u("server_tool_use.web_search_requests"),
         speed=F.coalesce("v.message.usage.speed", "v.usage.speed"), cwd=F.col("v.cwd"), git_branch=F.col("v.gitBranch"), parent_uuid=F.col("v.parentUuid"),
-        request_id=F.when(mine, F.coalesce("v.message.id", "v.id")), text=F.when(~mine, F.coalesce(F.nullif(spoken, F.lit("")), F.when(F.size("blocks") == 0, said))),
-        tool_names=F.transform(uses, lambda b: F.trim(b["name"])), tool_use_ids=F.transform(uses, lambda b: b["id"]), tool_files=tool_files(uses),
-        tool_outcomes=F.transform(results, lambda b: F.struct(b["tool_use_id"].alias("tool_use_id"), outcome_of(b["is_error"], b["content"]).alias("outcome"))),
+        request_id=F.when(mine, F.coalesce("v.message.id", "v.id")), text=F.when(~mine, F.coalesce(F.nullif(spoken, F.lit("")), _text(F.col("said")))),
+        tool_names=F.transform(uses, lambda b: F.trim(b["name"])), tool_use_ids=F.transform(uses, lambda b: F.trim(b["id"])), tool_files=tool_files(uses),
+        tool_outcomes=F.transform(results, lambda b: F.struct(F.trim(b["tool_use_id"]).alias("tool_use_id"), outcome_of(_flag(b["is_error"]), _result_text(b["content"])).alias("outcome"))),
     )
     return out.where("id IS NOT NULL AND timestamp IS NOT NULL AND NOT (role = 'assistant' AND coalesce(model, '') = '<synthetic>')")
 
