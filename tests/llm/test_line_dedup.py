@@ -80,3 +80,13 @@ def test_a_very_long_text_ids_of_text_and_a_common_line(spark, monkeypatch):
     want = {i: list(range(4, 10)) if i and i % 2 == 0 else [] for i in range(41)}  # the passage, but in the long text
     docs = frame(spark, rows).withColumn("doc_id", F.format_string("d%05d", "doc_id"))
     assert {int(r.doc_id[1:]): list(r.removed) for r in dedup_lines(docs).collect()} == want
+
+
+def test_columns_of_any_name_are_kept(spark):
+    words = "\n".join(["again " * 60])
+    names = ("gone", "__gone", "__gone_of", "__doc", "__made", "doc", "lo", "m")
+    docs = frame(spark, [(1, words), (2, words), (3, None)]).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    got = {r.doc_id: r for r in dedup_lines(docs).collect()}
+    assert {i: r.n_removed for i, r in got.items()} == {1: 0, 2: 1, 3: 0}
+    assert all(r[c] == f"{c}{i}" for i, r in got.items() for c in names)
+    assert lines_deduped(docs).columns == docs.columns

@@ -68,3 +68,16 @@ def test_hot_payload_and_empty_table(spark, monkeypatch):
     got = archived(spark.createDataFrame(rows, PAGES)).groupBy("record_type").count().collect()
     assert {r["record_type"]: r["count"] for r in got} == {"response": 101, "revisit": 199}
     assert archived(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_ids_of_any_characters(spark):
+    ids = ["a\r\nb", "None", None, "", "<urn:page:x>", "é 😀%20", "a: b", "\x00\x85", "plain"]
+    rows = [(i, f"u{k}", f"payload {k // 2}", "d") for k, i in enumerate(ids)]
+    got = archived(spark.createDataFrame(rows, PAGES.replace("page_id long", "page_id string"))).collect()
+    assert sorted((r.page_id for r in got), key=str) == sorted(ids, key=str)
+    best = {}
+    for i, _, h, _ in rows:
+        best[h] = max(best.get(h, (False, "")), (i is not None, i or ""))
+    for i, _, h, _ in rows:
+        r = next(x for x in got if x.page_id == i)
+        assert r.refers_to == (None if best[h] == (i is not None, i or "") else best[h][1])

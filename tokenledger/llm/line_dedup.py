@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, join_hot, written
+from .shared import BROADCAST_ROWS, join_hot, unused, written
 
 MIN_WORDS = 50
 
@@ -139,23 +139,24 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     A blank line goes if the lines before and behind it go. Deletions of up to ``BROADCAST_ROWS`` rows
     and eight times as many lines are broadcast; more of them meet their texts by a shuffle.
     """
-    gone = repeated_lines(docs, doc_id, text, min_words).withColumnRenamed("doc", "__gone_of")
-    told = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
+    lost, owner, own, made = (unused(docs, c) for c in ("__gone", "__gone_of", "__doc", "__made"))
+    gone = repeated_lines(docs, doc_id, text, min_words).withColumnsRenamed({"doc": owner, "gone": lost})
+    told = gone.agg(F.count("*"), F.coalesce(F.sum(F.size(lost)), F.lit(0))).first()
     small = told[0] <= BROADCAST_ROWS and told[1] <= 8 * BROADCAST_ROWS
-    keyed = docs.withColumn("__doc", F.when(F.col(text).isNotNull(), _document(doc_id, text)))
-    met = keyed.join(F.broadcast(gone) if small else gone.hint("shuffle_hash"), F.col("__doc") == F.col("__gone_of"), "left").drop("__doc", "__gone_of")
+    keyed = docs.withColumn(own, F.when(F.col(text).isNotNull(), _document(doc_id, text)))
+    met = keyed.join(F.broadcast(gone) if small else gone.hint("shuffle_hash"), F.col(own) == F.col(owner), "left").drop(own, owner)
     none = F.array().cast("array<int>")
 
     def rebuilt(raw: Column) -> Column:
         """Everything about one text, each part bound once: what refers to it inside a lambda finds it ready."""
         full = F.filter(F.transform(raw, lambda x, i: F.when(_trimmed(x) != "", i)), lambda i: i.isNotNull())
-        return _let(full, lambda f: _let(F.when(F.col("gone").isNull(), none).otherwise(F.flatten(spans(f))), lambda cut: kept(raw, cut)))
+        return _let(full, lambda f: _let(F.when(F.col(lost).isNull(), none).otherwise(F.flatten(spans(f))), lambda cut: kept(raw, cut)))
 
     def spans(full: Column) -> Column:
         """From each deleted line up to the next one, if no line that stays is between."""
-        at = lambda k: F.get(full, F.get(F.col("gone"), k))
-        joined = lambda k: F.get(F.col("gone"), k + 1) == F.get(F.col("gone"), k) + 1
-        return F.transform("gone", lambda _, k: F.sequence(at(k), F.when(joined(k), at(k + 1) - 1).otherwise(at(k))))
+        at = lambda k: F.get(full, F.get(F.col(lost), k))
+        joined = lambda k: F.get(F.col(lost), k + 1) == F.get(F.col(lost), k) + 1
+        return F.transform(lost, lambda _, k: F.sequence(at(k), F.when(joined(k), at(k + 1) - 1).otherwise(at(k))))
 
     def kept(raw: Column, cut: Column) -> Column:
         """What stays, piece by piece: from behind a deleted line up to the next one."""
@@ -165,15 +166,15 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
         new = F.when(F.size(cut) > 0, F.array_join(pieces, "\n"))
         return F.struct(F.size(raw).cast("long").alias("lines"), cut.alias("removed"), new.alias("text"))
 
-    met = met.withColumn("__made", _let(F.split(F.col(text), "\n", -1), rebuilt))
+    met = met.withColumn(made, _let(F.split(F.col(text), "\n", -1), rebuilt))
     return met.withColumns(
         {
-            "removed": F.coalesce("__made.removed", none),
-            "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.col("__made.lines")).cast("long"),
-            "n_removed": F.coalesce(F.size("__made.removed"), F.lit(0)).cast("long"),
-            text: F.coalesce("__made.text", text),
+            "removed": F.coalesce(f"{made}.removed", none),
+            "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.col(f"{made}.lines")).cast("long"),
+            "n_removed": F.coalesce(F.size(f"{made}.removed"), F.lit(0)).cast("long"),
+            text: F.coalesce(f"{made}.text", text),
         }
-    ).drop("gone", "__made")
+    ).drop(lost, made)
 
 
 def lines_deduped(docs: DataFrame) -> DataFrame:

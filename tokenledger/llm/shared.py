@@ -56,6 +56,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or it behind more underscores, as no column of ``df`` is called, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def byte_runs(sizes: Sequence[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Index ranges whose sizes sum to about ``most``; a larger item is a range of its own."""
     at, total = 0, 0

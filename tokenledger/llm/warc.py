@@ -11,7 +11,7 @@ response, the others are revisits that refer to it. Digests that hold more than
 rows, of which there are fewer than a thousand, meet their response by broadcast; the others by a
 shuffle.
 
-Defined results: an empty table gives an empty result; a null payload is empty; a null page_id counts as the smallest; rows that repeat
+Defined results: an empty table gives an empty result; a null payload is empty; ids may hold any characters; a null page_id counts as the smallest; rows that repeat
 the response's own page_id and payload are responses too; extra columns stay out of the archives.
 """
 
@@ -23,6 +23,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,7 +46,12 @@ RECORD = "page_id string, url string, record_type string, refers_to string, payl
 
 
 def _urn(page_id: str | None) -> str:
-    return f"<urn:page:{page_id}>"
+    """Ids of any characters stand in a header percent-encoded; a null id is a name without one."""
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(page_id, safe='', errors='replace')}>"
+
+
+def _id_of(urn: str | None) -> str | None:
+    return None if urn in (None, "<urn:page>") else unquote(urn[len("<urn:page:") : -1])
 
 
 def record(page_id: str | None, url: str | None, payload: bytes, refers_to: str | None) -> tuple[bytes, str]:
@@ -79,7 +85,6 @@ def parse(data: bytes) -> dict:
     body = rest[: int(fields["Content-Length"])]
     http, _, payload = body.partition(b"\r\n\r\n")
     size = int(re.search(rb"Content-Length: (\d+)", http)[1])
-    name = lambda urn: None if urn in (None, "<urn:page:None>") else urn[len("<urn:page:") : -1]
     revisit = fields["WARC-Type"] == "revisit"
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     same = True
@@ -87,10 +92,10 @@ def parse(data: bytes) -> dict:
         told, digest = (digest, size), base64.b32encode(hashlib.sha1(payload).digest()).decode()
         same, size = told == (digest, len(payload)), len(payload)
     return {
-        "page_id": name(fields["WARC-Record-ID"]),
+        "page_id": _id_of(fields["WARC-Record-ID"]),
         "url": fields["WARC-Target-URI"],
         "record_type": fields["WARC-Type"],
-        "refers_to": name(fields.get("WARC-Refers-To")),
+        "refers_to": _id_of(fields.get("WARC-Refers-To")),
         "payload_digest": digest,
         "payload_bytes": size,
         "payload": None if revisit else payload.decode("utf-8", "replace"),
