@@ -202,3 +202,30 @@ def test_lists_of_anything_and_texts_that_look_like_lists(spark):
     got = t.envelope(frame(spark, *[{**said, "type": "user", "message": {"content": c}} for c in asked])).orderBy("line_no").collect()
     assert [r.text for r in got] == [asked[0], asked[1], "block", None, None, None, asked[6], None, None]
     assert [[tuple(o) for o in r.tool_outcomes] for r in got[7:]] == [[("t1", "error"), ("t1", "denied")], [("t1", "success")]]
+
+
+def test_a_file_of_many_splits_is_many_tasks(spark, tmp_path, monkeypatch):
+    import random
+
+    rng, want = random.Random(8), []
+    for name in ("a", "b", "c"):
+        rows = [rng.choice(["", " ", "x" * rng.randrange(1, 90), "é" * rng.randrange(1, 40), "tail\r"]) for _ in range(400)]
+        end = rng.choice(["", "\n"]) if name != "c" else ""
+        (tmp_path / f"{name}.jsonl").write_bytes(("\n".join([*rows, "last"]) + end).encode())
+        want += [(f"{name}.jsonl", k, v) for k, v in enumerate([*rows, *(["last"] if end else [])]) if v.strip(" ")]
+    got = {}
+    for size in (500, 3000, 10**7):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for most in (t.SMALL_ROWS, 0):
+            monkeypatch.setattr(t, "SMALL_ROWS", most)
+            lines = t.lines(spark, str(tmp_path))
+            got[size, most] = sorted((os.path.basename(r.file), r.line_no, r.value) for r in lines.collect())
+            if most:
+                # reading and numbering is narrow: as many tasks as there are splits, and no exchange of lines
+                plan = lines._jdf.queryExecution().executedPlan().toString()
+                assert "Exchange hashpartitioning" not in plan and (size > 500 or lines.rdd.getNumPartitions() > 40)
+        monkeypatch.undo()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert all(x == sorted(want) for x in got.values())

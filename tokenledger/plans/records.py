@@ -48,7 +48,7 @@ _RAW = "SELECT 'f' || CAST(user_id AS STRING) AS file, CASE WHEN event_id % 10 =
 query(
     "s01_numbered_lines",
     f"SELECT file, line_no, value FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY block) - 1 AS line_no, lead(block) OVER (PARTITION BY file ORDER BY block) IS NULL AND odd = 1 AS open FROM ({_RAW.format(e='events')})) WHERE NOT open AND trim(value) <> ''",
-)(lambda s, d: src.numbered(s.sql("SELECT file, value, block, sum(octet_length(value) + 1) OVER (PARTITION BY file) - odd AS size FROM {raw}", raw=_made(s, d, _RAW))))
+)(lambda s, d: src.numbered(s.sql("SELECT file, value, block, block AS at, sum(octet_length(value) + 1) OVER (PARTITION BY file) - odd AS size FROM {raw}", raw=_made(s, d, _RAW))))
 _PAIR = lambda i, o: f"'\"{i}\":' || CAST(event_id % 50 AS STRING) || ',\"{o}\":' || CAST(event_id % 7 AS STRING)"
 _SHAPES = f"""CASE event_id % 6 WHEN 0 THEN '{{"result":{{"metadata":{{' || {_PAIR('promptTokens', 'outputTokens')} || '}}}}}}' WHEN 1 THEN '{{"result":{{"usage":{{' || {_PAIR('promptTokens', 'completionTokens')} || '}}}}}}'
 WHEN 2 THEN '{{"usage":{{' || {_PAIR('prompt_tokens', 'completion_tokens')} || '}}}}' WHEN 3 THEN '{{' || {_PAIR('promptTokens', 'completionTokens')} || '}}' WHEN 4 THEN '{{"completionTokens":' || CAST(event_id % 7 AS STRING) || '}}'

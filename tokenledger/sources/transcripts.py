@@ -28,6 +28,8 @@ DENIALS = (
     "the user doesn't want to take this action", "the user doesn't want to proceed", "user rejected", "user denied", "operation cancelled by the user",
     "operation canceled by the user", "permission denied by user",
 )
+#: Splits of files whose numbers are broadcast; more of them meet their lines by a shuffle.
+SMALL_ROWS = 200_000
 #: Characters of a result that are looked at.
 RESULT_CHARS = 2048
 BLOCK = "struct<type:string,id:string,name:string,text:string,tool_use_id:string,is_error:variant,input:variant,content:variant>"
@@ -47,17 +49,32 @@ def raw_lines(reader, paths: str | list[str]) -> DataFrame:
     return text.select("value", *[F.col(f"_metadata.{c}").alias(n) for n, c in meta.items()])
 
 
+def _splits(rows: DataFrame) -> DataFrame:
+    """Per (file, block): the number of its first line, the place of that line in its task, and the place of a line that is not complete."""
+    own = rows.groupBy("file", "block").agg(
+        F.count("*").alias("n"), F.sum(F.octet_length("value").cast("bigint") + 1).alias("bytes"), F.max("size").alias("size"), F.min("at").alias("first"), F.max("at").alias("last")
+    )
+    order = W.partitionBy("file").orderBy("block")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    plain = ~F.lower("file").rlike(r"\.(gz|bz2|zst|lz4|snappy|deflate|xz)$")  # the size of a compressed file tells nothing of its lines
+    open_ = plain & (F.sum("bytes").over(W.partitionBy("file")) > F.col("size")) & F.lead("block").over(order).isNull()
+    return own.select("file", "block", (before - F.col("first")).alias("shift"), F.when(open_, F.col("last")).alias("open"))
+
+
 def numbered(raw: DataFrame) -> DataFrame:
     """file, line_no, value of ``raw_lines``, in the order of the file; blank lines count, but give no row.
 
-    A file whose lines, with a line feed each, are longer than the file does not end with a line feed: its last line is not complete."""
-    rows = raw.withColumn("at", F.monotonically_increasing_id())
-    order = W.partitionBy("file").orderBy("block", "at")
-    length = F.sum(F.octet_length("value") + 1).over(W.partitionBy("file"))
-    plain = ~F.lower("file").rlike(r"\.(gz|bz2|zst|lz4|snappy|deflate|xz)$")  # the size of a compressed file tells nothing of its lines
-    last = F.lead(F.lit(1)).over(order).isNull()
-    rows = rows.withColumns({"line_no": F.row_number().over(order).cast("bigint") - 1, "open": plain & (length > F.col("size")) & last})
-    return rows.where(~F.col("open") & (F.trim("value") != "")).select("file", "line_no", "value")
+    Two passes: the first counts lines and bytes of each split of a file and adds them up in the order of splits, one row each; in the
+    second a line's number is that of its split's first line and its place in the split, which is read by one task. No file's lines come
+    together. ``raw`` has to be read from files that do not change in between, or to tell the order itself (``at``). A file whose lines, with a line feed each, are longer
+    than the file does not end with a line feed: its last line is not complete."""
+    rows = raw if "at" in raw.columns else raw.withColumn("at", F.monotonically_increasing_id())
+    splits = _splits(rows)
+    few = splits.limit(SMALL_ROWS + 1).collect()  # SMALL_ROWS at most: counted once, where the plan would run the first pass twice
+    if len(few) <= SMALL_ROWS:
+        splits = F.broadcast(raw.sparkSession.createDataFrame(few, splits.schema))
+    met = rows.join(splits, ["file", "block"]).where(~F.col("at").eqNullSafe(F.col("open")) & (F.trim("value") != ""))
+    return met.select("file", (F.col("at") + F.col("shift")).alias("line_no"), "value")
 
 
 def _parsed(rows: DataFrame) -> DataFrame:
