@@ -15,6 +15,7 @@ from ..functions.dims import TimeWindow
 from ..functions.text import looks_like_repo
 from ..functions.workers import importable
 from .enrich import ticket_tags
+from .intervals import in_interval
 
 TICKET_KEYS = ("ticket_id", "ticket_prefix", "ticket_source")
 #: Keys of older releases. Fixed values.
@@ -78,28 +79,6 @@ def matched_exact(messages: DataFrame, exact: DataFrame, seconds: int = 1) -> Da
     return ranked.withColumn("how", how).where("how IS NOT NULL").withColumn("k", best).where("k = 1").select("id", "match", "how")
 
 
-def in_interval(points: DataFrame, windows: DataFrame, skew_ms: int = 5000, bucket_ms: int = 3_600_000, open_ms: int = 30 * 86_400_000) -> DataFrame:
-    """(id, session_id) of points (id, at_ms): the window that holds the point, nearest start first, else the nearest edge within ``skew_ms``.
-
-    Windows meet points by bucket. A window's buckets are as long as an hour, doubled until the window spans few of them; points look
-    into a bucket of each length that there is. A window without an end is open for ``open_ms``; others end where they end."""
-    end = F.greatest(F.coalesce("end_ms", F.col("start_ms") + open_ms), F.col("start_ms"))
-    level = F.greatest(F.ceil(F.log2((end - F.col("start_ms") + 2 * skew_ms + 1) / F.lit(8 * bucket_ms))), F.lit(0)).cast("int")
-    long = windows.select("session_id", "start_ms", end.alias("__end"), level.alias("__level"))
-    size = F.lit(bucket_ms) * F.pow(F.lit(2), F.col("__level")).cast("long")
-    spread = F.sequence(F.floor((F.col("start_ms") - skew_ms) / size), F.floor((F.col("__end") + skew_ms) / size))
-    w = long.withColumn("__b", F.explode(spread))
-    levels = [r["__level"] for r in long.select("__level").distinct().collect()]  # a few tens at most: powers of two
-    p = points.withColumn("__pl", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>")))
-    p = p.withColumn("__pb", F.floor(F.col("at_ms") / (F.lit(bucket_ms) * F.pow(F.lit(2), F.col("__pl")).cast("long"))))
-    on = (F.col("__pl") == F.col("__level")) & (F.col("__pb") == F.col("__b"))
-    met = p.join(w, on).where((F.col("at_ms") >= F.col("start_ms") - skew_ms) & (F.col("at_ms") <= F.col("__end") + skew_ms))
-    inside = (F.col("at_ms") >= F.col("start_ms")) & (F.col("at_ms") <= F.col("__end"))
-    edge = F.least(F.abs(F.col("at_ms") - F.col("start_ms")), F.abs(F.col("at_ms") - F.col("__end")))
-    rank = F.struct(F.when(inside, 0).otherwise(1), F.when(inside, F.col("at_ms") - F.col("start_ms")).otherwise(edge), -F.col("start_ms"), F.col("session_id"))
-    return met.groupBy("id").agg(F.min_by("session_id", rank).alias("session_id"))
-
-
 def assigned_sessions(messages: DataFrame, windows: DataFrame, **kind) -> DataFrame:
     """Messages without a session get that of the window they fall into."""
     at = F.floor(F.unix_micros(F.col("timestamp").cast("timestamp")) / 1000)
