@@ -35,10 +35,11 @@ def test_merge_takes_every_row_and_the_largest_of_several(spark):
     rows = {x.id: x for x in a.messages(spark, DATA).where("role = 'assistant'").collect()}
     number = lambda i: int(i[1:])
     stored = {(x.request_id, x.session_id): i for i, x in rows.items() if number(i) % 3 == 0 and x.session_id}
+    anyone = {x.request_id: i for i, x in rows.items() if number(i) % 3 == 0}  # for rows without a session
     want, batch = {i: i for i in rows if number(i) % 3 == 0}, {}
     for i, x in rows.items():
         if number(i) % 3:
-            old = stored.get((x.request_id, x.session_id))
+            old = stored.get((x.request_id, x.session_id)) if x.session_id else anyone.get(x.request_id)
             batch.setdefault(old, []).append(i) if old else want.setdefault(i, i)
     for old, many in batch.items():
         want[old] = min([old, *many], key=lambda i: (-rows[i].output_tokens, i != old, i))

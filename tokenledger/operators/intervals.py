@@ -56,10 +56,10 @@ def _ranges(points: DataFrame, per: int) -> tuple[list[float], list[int]]:
     """Cuts of time and, for each range between them, into how many parts it is dealt: RANGES numbers at most."""
     n = points.count()
     k = min(RANGES, -(-n // per))
-    cuts: list[float] = []
-    if k > 1:
-        told = points.agg(F.percentile_approx("at_ms", [i / k for i in range(1, k)], 10 * RANGES)).first()[0]
-        cuts = sorted({float(x) for x in told})
+    if k <= 1:
+        return [], [1]
+    told = points.agg(F.percentile_approx("at_ms", [i / k for i in range(1, k)], 10 * RANGES)).first()[0]
+    cuts = sorted({float(x) for x in told})
     held = {r[0]: r[1] for r in points.groupBy(_range_of(cuts)(F.col("at_ms"))).count().collect()}
     return cuts, [max(1, -(-held.get(i, 0) // per)) for i in range(len(cuts) + 1)]
 

@@ -156,12 +156,14 @@ def _merge(s, d):
     return m.merged(rows.where(f"{_E} = 0"), rows.where(f"{_E} <> 0"))[0].select("id", "output_tokens", "cost_cents_effective")
 
 
-# every row is stored or in the batch
+# every row is stored or in the batch; a batch row without a session meets its request in any session
 query(
     "d02_merged",
-    f"""SELECT s.id, greatest(s.output_tokens, coalesce(b.o, 0)) AS output_tokens, CASE WHEN b.o > s.output_tokens THEN b.c ELSE s.cost_cents_effective END AS cost_cents_effective FROM st s LEFT JOIN ba b ON b.request_id = s.request_id AND b.session_id = s.session_id
-UNION ALL SELECT id, output_tokens, cost_cents_effective FROM asst WHERE {_E} <> 0 AND NOT EXISTS (SELECT 1 FROM st WHERE st.request_id = asst.request_id AND st.session_id = asst.session_id)""",
-    ("st", f"SELECT * FROM asst WHERE {_E} = 0"), ("ba", f"SELECT request_id, session_id, output_tokens AS o, cost_cents_effective AS c FROM (SELECT *, row_number() OVER (PARTITION BY request_id, session_id ORDER BY output_tokens DESC, id) AS k FROM asst WHERE {_E} <> 0) WHERE k = 1"),
+    """SELECT s.id, greatest(s.output_tokens, coalesce(b.output_tokens, 0)) AS output_tokens, CASE WHEN b.output_tokens > s.output_tokens THEN b.cost_cents_effective ELSE s.cost_cents_effective END AS cost_cents_effective FROM st s LEFT JOIN best b ON b.old = s.id
+UNION ALL SELECT id, output_tokens, cost_cents_effective FROM ba WHERE old IS NULL""",
+    ("st", f"SELECT * FROM asst WHERE {_E} = 0"), ("own", "SELECT request_id, session_id, min(id) AS o FROM st WHERE session_id IS NOT NULL GROUP BY 1, 2"), ("anyone", "SELECT request_id, min(id) AS o FROM st GROUP BY 1"),
+    ("ba", f"SELECT a.*, coalesce(own.o, CASE WHEN a.session_id IS NULL THEN anyone.o END) AS old FROM asst a LEFT JOIN own ON own.request_id = a.request_id AND own.session_id = a.session_id LEFT JOIN anyone ON anyone.request_id = a.request_id WHERE CAST(substr(a.id, 2) AS BIGINT) % 3 <> 0"),
+    ("best", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY old ORDER BY output_tokens DESC, id) AS k FROM ba WHERE old IS NOT NULL) WHERE k = 1"),
 )(_merge)
 
 
