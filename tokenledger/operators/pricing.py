@@ -109,7 +109,7 @@ def checked_prices(price_list: DataFrame, previous: DataFrame) -> tuple[DataFram
 
 
 def backfilled(messages: DataFrame, price_list: DataFrame, aliases: DataFrame, version: int) -> DataFrame:
-    """Rows of unknown price get one as soon as the list has their model."""
+    """Rows of unknown price get one as soon as the list has their model: that of their tokens, whatever their speed and searches."""
     rows = with_prices(messages, price_list, aliases)
     now = (F.col("pricing_source") == "unknown") & F.col("priced_model").isNotNull()
     cents = cost_cents(per_million())
@@ -119,6 +119,7 @@ def backfilled(messages: DataFrame, price_list: DataFrame, aliases: DataFrame, v
             "cost_cents_effective": F.when(now, cents).otherwise(F.col("cost_cents_effective")),
             "pricing_source": F.when(now, f"backfilled:v{version}").otherwise(F.col("pricing_source")),
         }
+        | ({"cost_confidence": F.when(now, "estimated").otherwise(F.col("cost_confidence"))} if "cost_confidence" in messages.columns else {})
     ).drop("priced_model", "by_alias", *RATES)
 
 

@@ -44,6 +44,32 @@ def refreshed(hours: DataFrame, messages: DataFrame, touched: DataFrame) -> Data
     return stay.unionByName(anew)
 
 
+SUMS = ("message_count", *MEASURES, "cents_ingested", "cents_effective")
+
+
+def change_set(added: DataFrame | None, removed: DataFrame | None) -> DataFrame:
+    """Signed hourly rows of messages that came and went; a changed message is one of each."""
+    parts = [hourly(added)] if added is not None else []
+    if removed is not None:
+        parts.append(hourly(removed).withColumns({c: -F.col(c) for c in SUMS}))
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return _summed(both, "bucket_start")
+
+
+def _summed(rows: DataFrame, bucket: str) -> DataFrame:
+    sums = rows.groupBy(bucket, *DIMS).agg(*[F.sum(c).cast("decimal(28,8)" if c.startswith("cents") else "bigint").alias(c) for c in SUMS])
+    empty = F.lit(True)
+    for c in SUMS:
+        empty = empty & (F.col(c) == 0)
+    return sums.where(~empty)
+
+
+def maintained(hours: DataFrame, changes: DataFrame) -> DataFrame:
+    """``hours`` with signed rows added in; groups without a message are gone. Measures are whole numbers and decimals, so this is what a
+    recomputation gives."""
+    return _summed(hours.select(*changes.columns).unionByName(changes), "bucket_start").where("message_count > 0")
+
+
 def drift(stored: DataFrame, recomputed: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Keys whose stored measures are not those recomputed."""
     measures = ["message_count", *MEASURES, "cents_ingested", "cents_effective"]
