@@ -229,3 +229,36 @@ def test_a_file_of_many_splits_is_many_tasks(spark, tmp_path, monkeypatch):
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     spark.conf.unset("spark.sql.files.openCostInBytes")
     assert all(x == sorted(want) for x in got.values())
+
+
+def streamed(spark, tmp, schema, batches, op):
+    """The rows of ``op`` over a stream that gets one batch a run."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    got = []
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp}/in/{k}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp}/in")
+        op(stream).writeStream.foreachBatch(lambda df, _: got.extend(map(tuple, df.collect()))).option("checkpointLocation", f"{tmp}/c").trigger(availableNow=True).start().awaitTermination(120)
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    return sorted(got, key=str)
+
+
+def test_categories_and_identities_of_many_batches_equal_those_of_one(spark, tmp_path):
+    import random
+
+    from tokenledger.operators import enrich as e
+
+    rng = random.Random(6)
+    schema = "id string, session_id string, role string, timestamp timestamp, git_branch string, repo_id string, cwd string, prompt_category string, prompt_category_source string, prompt_category_confidence string, machine string, person string"
+    rows = [
+        (f"m{k:02d}", f"s{rng.randrange(3)}", rng.choice(["user", "user", "assistant"]), datetime(2024, 1, 1, 0, k), rng.choice([None, None, "", f"b{k}"]), None, rng.choice([None, "/w"]),
+         *rng.choice([(None, None, None), (None, "lost", "x"), ("", "", ""), ("bugfix", "rule", "high"), ("ops", None, "low")]), rng.choice([None, "", "m1", "m2"]), rng.choice([None, "p1"]))
+        for k in range(40)
+    ]
+    batches = [rows[at : at + 14] for at in range(0, 40, 14)]
+    whole = spark.createDataFrame(rows, schema)
+    names = ["id", "session_id", "timestamp", *w.CONTEXT, *e.CATEGORY]
+    assert streamed(spark, tmp_path / "a", schema, batches, w.carried_across_batches) == sorted((tuple(x) for x in e.carried_context(whole).select(*names).collect()), key=str)
+    keys = {"machine": "machine", "user": "person"}
+    assert streamed(spark, tmp_path / "b", schema, batches, lambda rows: w.identities_across_batches(rows, keys)) == sorted((tuple(x) for x in e.identity_tags(whole, keys).collect()), key=str)

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions import dims
+from ..operators.enrich import CATEGORY
 from ..operators.rollups import hourly
 from ..sources.transcripts import numbered, raw_lines
 from .load import clear, load_batch
@@ -61,40 +62,113 @@ def refresh_touched(messages: DataFrame, touched: DataFrame) -> DataFrame:
 
 
 CONTEXT = ("git_branch", "repo_id", "cwd")
-CARRIED = "id string, session_id string, timestamp timestamp, git_branch string, repo_id string, cwd string"
+ROW = "id string, session_id string, timestamp timestamp"
+#: A session is forgotten after a week without rows.
+FORGOTTEN_MS = 7 * 86_400_000
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _strings(names) -> str:
+    return ", ".join(f"{n} string" for n in names)
+
+
+def _missing(v) -> bool:
+    return v is None or v != v
 
 
 class CarriedContext(StatefulProcessor):
-    """A session's last known branch, project and cwd, carried from batch to batch; forgotten after a week."""
+    """A session's last known branch, project and cwd, and its last category with source and confidence as one, from batch to batch."""
 
-    TTL_MS = 7 * 86_400_000
+    def __init__(self, category: bool):
+        self.category = category
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "git_branch string, repo_id string, cwd string", self.TTL_MS)
+        self.last = handle.getValueState("last", _strings((*CONTEXT, *CATEGORY)), FORGOTTEN_MS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = dict(zip(CONTEXT, self.last.get())) if self.last.exists() else dict.fromkeys(CONTEXT)
+        held = (*CONTEXT, *CATEGORY)
+        known = dict(zip(held, self.last.get())) if self.last.exists() else dict.fromkeys(held)
         batch = pd.concat(list(rows)).sort_values(["timestamp", "id"], kind="stable")
         for c in CONTEXT:
             values = []
             for v in batch[c]:
-                if v is None or v != v:
+                if _missing(v):
                     v = known[c]
                 elif v != "":
                     known[c] = v
                 values.append(v)
             batch[c] = values
-        self.last.update(tuple(known[c] for c in CONTEXT))
-        yield batch[[x.split()[0] for x in CARRIED.split(", ")]]
+        if self.category:
+            whole = []
+            for own in batch[list(CATEGORY)].itertuples(index=False, name=None):
+                if _missing(own[0]):
+                    own = tuple(known[c] for c in CATEGORY)
+                elif own[0] != "":
+                    known.update((c, None if _missing(v) else v) for c, v in zip(CATEGORY, own))
+                whole.append(own)
+            batch[list(CATEGORY)] = pd.DataFrame(whole, columns=list(CATEGORY), index=batch.index, dtype=object)
+        self.last.update(tuple(known[c] for c in held))
+        yield batch[_names(ROW) + list(CONTEXT) + (list(CATEGORY) if self.category else [])]
 
     def close(self) -> None:
         pass
 
 
 def carried_across_batches(messages: DataFrame) -> DataFrame:
-    """A stream of (id, session_id, timestamp, git_branch, repo_id, cwd) with nulls filled from the session's past batches too.
+    """A stream of (id, session_id, timestamp, git_branch, repo_id, cwd), and the category's three columns if they are there, with nulls filled
+    from the session's past batches too.
 
     Needs the RocksDB state store provider; catch-up runs (availableNow) also spark.sql.streaming.noDataMicroBatches.enabled=false,
     since state with a time to live keeps asking for batches without data."""
-    rows = messages.select(*[x.split()[0] for x in CARRIED.split(", ")]).where("session_id IS NOT NULL")
-    return rows.groupBy("session_id").transformWithStateInPandas(CarriedContext(), outputStructType=CARRIED, outputMode="Append", timeMode="ProcessingTime")
+    category = set(CATEGORY) <= set(messages.columns)
+    schema = ", ".join((ROW, _strings(CONTEXT), *([_strings(CATEGORY)] if category else [])))
+    rows = messages.select(*_names(schema)).where("session_id IS NOT NULL")
+    return rows.groupBy("session_id").transformWithStateInPandas(CarriedContext(category), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime")
+
+
+class FirstIdentities(StatefulProcessor):
+    """Each value of a session once, on the session's first assistant row; values that come before it wait for it."""
+
+    def __init__(self, columns: dict[str, str]):
+        self.columns = columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getValueState("first", "id string", FORGOTTEN_MS)
+        self.seen = handle.getMapState("seen", "key string, value string", "told boolean", FORGOTTEN_MS)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = self.first.get()[0] if self.first.exists() else None
+        out = []
+        for batch in [pd.concat(list(rows)).sort_values(["timestamp", "id"], kind="stable")]:
+            for row in batch.to_dict("records"):
+                if first is None and (_missing(row["role"]) or row["role"] == "assistant"):
+                    first = row["id"]
+                    self.first.update((first,))
+                    for (k, v), told in list(self.seen.iterator()):
+                        if not told[0]:
+                            out.append((first, k, v))
+                            self.seen.updateValue((k, v), (True,))
+                for k, c in self.columns.items():
+                    v = row[c]
+                    if not _missing(v) and v != "" and not self.seen.containsKey((k, v)):
+                        self.seen.updateValue((k, v), (first is not None,))
+                        if first is not None:
+                            out.append((first, k, v))
+        yield pd.DataFrame(out, columns=["message_id", "key", "value"])
+
+    def close(self) -> None:
+        pass
+
+
+def identities_across_batches(messages: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """A stream of identity tags (``keys``: tag key to column): many batches, each session's rows in the order of time, give the tags of one.
+
+    Needs what ``carried_across_batches`` needs."""
+    session = F.coalesce(F.nullif(F.col("session_id"), F.lit("")), F.col("id"))
+    values = {k: f"value_{n}" for n, k in enumerate(keys)}
+    rows = messages.select(session.alias("session"), "id", "role", "timestamp", *[F.col(keys[k]).cast("string").alias(c) for k, c in values.items()])
+    state = FirstIdentities(values)
+    return rows.groupBy("session").transformWithStateInPandas(state, outputStructType="message_id string, key string, value string", outputMode="Append", timeMode="ProcessingTime")
