@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, few, written
+from .shared import LOWER, few, give_back, written
 
 WINDOW = 10
 #: Bytes of windows that one automaton holds.
@@ -114,6 +114,7 @@ def _finder(shared, window: int, with_spans: bool, schema: str):
 
     @F.pandas_udf(schema)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        give_back()
         auto = _automaton_of(key, shared)
         for texts in batches:
             yield pd.DataFrame(

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .shared import CHUNK_BYTES, LOWER, byte_runs, few, join_hot, sizes, written
+from .shared import CHUNK_BYTES, LOWER, byte_runs, few, give_back, join_hot, sizes, written
 
 ROWS, BANDS, BITS = 6, 42, 2
 MINIMA = 256
@@ -144,6 +144,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     """One row per row of ``docs``: doc_id, key (of the text), n, and for documents with words cls, sig, bands."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         shingles = _worker_shingles()
         for batch in batches:
             texts = list(batch["__t"])
@@ -217,6 +218,7 @@ def _likely(floor: float):
     """Per job, the classes that are likely similar to another one of it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         for b in _groups(batches, _JOB):
             some = np.zeros(len(b), bool)
             for x, y in _pairs(b, floor):
@@ -232,6 +234,7 @@ def _confirmed(similarity: float, floor: float):
     percent = round(similarity * 100)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         for b in _groups(batches, _JOB):
             sets = [np.frombuffer(x, np.uint64) for x in b["shingles"]]
             size = np.array([len(s) for s in sets])
@@ -285,6 +288,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str,
     asked = written(likely.select("cls").distinct().join(classes.select("cls", "rep"), "cls"), "asked")
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         shingles = _worker_shingles()
         for batch in batches:
             for lo, hi in byte_runs(sizes(batch["__t"]), CHUNK_BYTES):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import byte_runs, sizes, written
+from .shared import byte_runs, give_back, sizes, written
 from .tokens import units, vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -58,6 +58,7 @@ def token_pieces(docs: DataFrame, text: str, vocabulary: str, size: int, end_id:
 
     @F.arrow_udf(PIECES)
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_back()
         tok = units(vocabulary_path(vocabulary))
         end = end_id.to_bytes(4, "little")
         kind = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, crc32_mod, packed_sums, tree_summed
+from .shared import LOWER, crc32_mod, give_back, packed_sums, tree_summed
 
 #: Labelled rows that the classifier is fitted on at most.
 MOST_ROWS = 12_000
@@ -101,6 +101,7 @@ def context_vectors(texts: DataFrame, text: str) -> np.ndarray:
     rows = -(-(CORES + SHAPES) // _BLOCKS)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         index, words = index_vectors(), _worker_words()
         out = np.zeros((_BLOCKS * rows, DIM), np.float32)
         for batch in batches:
@@ -215,6 +216,7 @@ def quality_scores(docs: DataFrame, model, text: str = "text") -> DataFrame:
 
         @F.pandas_udf("double")
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            give_back()
             words = _worker_words()
             vectors, network = shared.value
             for texts in batches:

@@ -64,6 +64,18 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """What a Python worker has freed goes back to the system: workers live on from stage to stage, and a next one loads tables of its own."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries do without
+    if trim is not None:
+        trim(0)
+
+
 def byte_runs(sizes: Sequence[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Index ranges whose sizes sum to about ``most``; a larger item is a range of its own."""
     at, total = 0, 0
