@@ -39,6 +39,20 @@ query("r01_hourly_rollup", f"SELECT strftime(date_trunc('hour', timestamp), '%Y-
 query("r02_daily_rollup", f"SELECT CAST(CAST(timestamp AS DATE) AS VARCHAR) AS bucket_day, {_R} FROM msg GROUP BY ALL")(lambda s, d: _out(r.daily(r.hourly(a.messages(s, d))), "bucket_day"))
 
 
+def _kept_by_changes(s, d):
+    """Hours of an older state of the table, and signed rows of what has come, changed and gone since."""
+    m = a.messages(s, d)
+    e = F.expr("CAST(substr(id, 2) AS BIGINT)")
+    changed = m.where(e % 7 == 1)
+    older = changed.withColumns({"output_tokens": F.col("output_tokens") + 10, "git_branch": F.lit("older"), "cost_cents_effective": F.col("cost_cents_effective") * 2 + 1})
+    gone = m.where(e % 7 == 2).withColumns({"id": F.concat("id", F.lit("-gone")), "model": F.lit("gone")})
+    before = m.where(e % 7 >= 2).unionByName(older).unionByName(gone)
+    return _out(r.maintained(r.hourly(before), r.change_set(m.where(e % 7 <= 1), older.unionByName(gone))), "bucket_start")
+
+
+query("r03_change_sets", f"SELECT strftime(date_trunc('hour', timestamp), '%Y-%m-%d %H:%M:%S') AS bucket_start, {_R} FROM msg GROUP BY ALL")(_kept_by_changes)
+
+
 def _refresh(s, d):
     m = a.messages(s, d)
     stale = r.hourly(m.where("NOT (day(timestamp) = 7 AND id LIKE '%3')"))
