@@ -262,3 +262,28 @@ def test_categories_and_identities_of_many_batches_equal_those_of_one(spark, tmp
     assert streamed(spark, tmp_path / "a", schema, batches, w.carried_across_batches) == sorted((tuple(x) for x in e.carried_context(whole).select(*names).collect()), key=str)
     keys = {"machine": "machine", "user": "person"}
     assert streamed(spark, tmp_path / "b", schema, batches, lambda rows: w.identities_across_batches(rows, keys)) == sorted((tuple(x) for x in e.identity_tags(whole, keys).collect()), key=str)
+
+
+def test_tool_outcomes_of_many_batches_equal_those_of_one(spark, tmp_path):
+    import random
+    from datetime import timedelta
+
+    from tokenledger.operators import enrich as e
+
+    rng, rows, open_, t0 = random.Random(12), [], [], datetime(2024, 1, 1)
+    schema = "id string, session_id string, role string, timestamp timestamp, tool_names array<string>, tool_use_ids array<string>, tool_outcomes array<struct<tool_use_id:string,outcome:string>>"
+    for k in range(60):
+        session, at = f"s{k % 2}", t0 + timedelta(seconds=k)
+        if rng.random() < 0.5:
+            uses = [f"t{k}-{j}" for j in range(rng.randrange(1, 3))]
+            open_ += [(session, u) for u in uses if rng.random() < 0.8]  # others never get a result
+            rows.append((f"m{k:02d}", session, rng.choice(["assistant", None]), at, [rng.choice(["Edit", "Bash"]) for _ in uses], uses, None))
+        else:
+            mine = [x for x in open_ if x[0] == session][: rng.randrange(3)]
+            open_ = [x for x in open_ if x not in mine or rng.random() < 0.2]  # some results come twice
+            rows.append((f"m{k:02d}", session, "user", at, None, None, [(u, rng.choice(["error", "error", "success", "denied"])) for _, u in mine]))
+    far = [(f"z{k}", f"z{k}", "user", t0 + timedelta(days=9 + k), None, None, [("none", "success")]) for k in range(2)]  # moves the watermark on
+    batches = [*[rows[at : at + 15] for at in range(0, 60, 15)], far[:1], far[1:]]
+    got = streamed(spark, tmp_path, schema, batches, w.outcomes_across_batches)
+    want = sorted((tuple(x) for x in e.tool_outcomes(spark.createDataFrame(rows, schema)).collect()), key=str)
+    assert got == want and len({x[4] for x in want}) == 4

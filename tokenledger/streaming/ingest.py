@@ -172,3 +172,87 @@ def identities_across_batches(messages: DataFrame, keys: dict[str, str]) -> Data
     rows = messages.select(session.alias("session"), "id", "role", "timestamp", *[F.col(keys[k]).cast("string").alias(c) for k, c in values.items()])
     state = FirstIdentities(values)
     return rows.groupBy("session").transformWithStateInPandas(state, outputStructType="message_id string, key string, value string", outputMode="Append", timeMode="ProcessingTime")
+
+
+class ToolOutcomes(StatefulProcessor):
+    """Outcomes of a session's tool uses, whose results come on later rows.
+
+    A use is told once its own result and that of the tool's use before it are known: it is a retry after an error, else what its result says.
+    Uses that wait for a result when the session's time is up are decided by what is there. Of what is told, the last use of each tool stays,
+    as the one before the next."""
+
+    def __init__(self, wait_ms: int):
+        self.wait_ms = wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.uses = handle.getMapState("uses", "tool string, at bigint, id string, pos int", "use_id string, told boolean")
+        self.results = handle.getMapState("results", "use_id string", "at bigint, id string, pos int, outcome string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        latest = 0
+        for batch in rows:
+            for at, i, pos, tool, use, outcome in batch[["at", "id", "pos", "tool", "use_id", "outcome"]].itertuples(index=False, name=None):
+                latest = max(latest, at)
+                if _missing(outcome):
+                    if not self.uses.containsKey((tool, at, i, pos)):
+                        self.uses.updateValue((tool, at, i, pos), (use, False))
+                else:
+                    old = self.results.getValue((use,)) if self.results.containsKey((use,)) else None
+                    if old is None or (at, i, pos) < tuple(old[:3]):
+                        self.results.updateValue((use,), (at, i, pos, outcome))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(latest // 1000 + self.wait_ms)
+        yield self._told(key[0], False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._told(key[0], True)
+
+    def _told(self, session: str, last: bool) -> pd.DataFrame:
+        by_tool: dict = {}
+        for k, v in list(self.uses.iterator()):
+            by_tool.setdefault(k[0], []).append((tuple(k), v[0], v[1]))
+        out = []
+        for tool, uses in by_tool.items():
+            uses.sort(key=lambda u: u[0][1:])
+            raws = [self.results.getValue((u[1],))[3] if self.results.containsKey((u[1],)) else None for u in uses]
+            done = [u[2] for u in uses]
+            for n, (k, use, told) in enumerate(uses):
+                before = raws[n - 1] if n else None
+                known = n == 0 or before is not None or done[n - 1] or last
+                if told or not known or (raws[n] is None and before != "error" and not last):
+                    continue
+                done[n] = True
+                self.uses.updateValue(k, (use, True))
+                outcome = "retry" if before == "error" else raws[n]
+                if outcome is not None:
+                    out.append((k[2], session, tool, use, outcome, *(("heuristic", "medium") if outcome == "retry" else ("tool_result", "high"))))
+            for n in range(len(uses) - 1):  # what comes before a use that is told is asked for no more
+                if done[n] and done[n + 1]:
+                    self.uses.removeKey(uses[n][0])
+                    if self.results.containsKey((uses[n][1],)):
+                        self.results.removeKey((uses[n][1],))
+        return pd.DataFrame(out, columns=_names(OUTCOMES))
+
+    def close(self) -> None:
+        pass
+
+
+OUTCOMES = "message_id string, session_id string, tool string, use_id string, outcome string, source string, confidence string"
+
+
+def outcomes_across_batches(messages: DataFrame, late: str = "1 hour", wait_ms: int = 86_400_000) -> DataFrame:
+    """A stream of the outcomes of tool uses, from messages with tool_names, tool_use_ids and tool_outcomes: many batches, a session's rows in
+    the order of time, give what ``tool_outcomes`` gives for all rows. A use without a result is decided when the watermark, ``late`` behind
+    the latest row of all, has passed the session's last row by ``wait_ms``. Needs the RocksDB state store provider."""
+    session = F.coalesce(F.nullif(F.col("session_id"), F.lit("")), F.col("id"))
+    none = F.lit(None).cast("string")
+    named = F.arrays_zip(F.col("tool_names").alias("n"), F.col("tool_use_ids").alias("u"))
+    uses = F.when(F.coalesce(F.col("role"), F.lit("assistant")) == "assistant", F.transform(named, lambda x, i: F.struct(i.alias("pos"), x["n"].alias("tool"), x["u"].alias("use_id"), none.alias("outcome"))))
+    results = F.transform("tool_outcomes", lambda x, i: F.struct(i.alias("pos"), none.alias("tool"), x["tool_use_id"].alias("use_id"), x["outcome"].alias("outcome")))
+    empty = F.array().cast("array<struct<pos:int,tool:string,use_id:string,outcome:string>>")
+    rows = messages.withWatermark("timestamp", late).select(
+        session.alias("session"), "timestamp", "id", F.unix_micros("timestamp").alias("at"), F.explode(F.concat(F.coalesce(uses, empty), F.coalesce(results, empty))).alias("x")
+    ).select("session", "timestamp", "id", "at", "x.*")
+    return rows.groupBy("session").transformWithStateInPandas(ToolOutcomes(wait_ms), outputStructType=OUTCOMES, outputMode="Append", timeMode="EventTime")
