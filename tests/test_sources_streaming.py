@@ -287,3 +287,74 @@ def test_tool_outcomes_of_many_batches_equal_those_of_one(spark, tmp_path):
     got = streamed(spark, tmp_path, schema, batches, w.outcomes_across_batches)
     want = sorted((tuple(x) for x in e.tool_outcomes(spark.createDataFrame(rows, schema)).collect()), key=str)
     assert got == want and len({x[4] for x in want}) == 4
+
+
+def random_log(rng, n):
+    names, keys = ["requests", "other"], ["x", "y", "list"]
+
+    def path():
+        out = [rng.choice(names)]
+        for _ in range(rng.randrange(4)):
+            out.append(rng.choice([0, 1, 2, 4, *keys]))
+        return out
+
+    def value(depth=2):
+        kind = rng.randrange(6)
+        if kind == 0 and depth:
+            return {k: value(depth - 1) for k in rng.sample(keys, 2)}
+        if kind == 1 and depth:
+            return [value(depth - 1) for _ in range(rng.randrange(3))]
+        return rng.choice([None, 1, "t", {"requestId": "q"}])
+
+    out = []
+    for _ in range(n):
+        kind = rng.choice([0, 1, 1, 1, 1, 1, 2, 2, 3])
+        if kind == 0:
+            out.append({"kind": 0, "v": rng.choice([{"requests": [value()]}, {"sessionId": rng.choice("abc")}, {"other": value()}, 5])})
+        elif kind == 1:
+            out.append({"kind": 1, "k": rng.choice([path(), path(), [], ["sessionId"], ["requests", -1], ["requests", True], None]), "v": value()})
+        elif kind == 2:
+            out.append({"kind": 2, "k": rng.choice([["requests"], None, path(), []]), "v": rng.choice([[value()], [value(), value()], "no list"])})
+        else:
+            out.append(rng.choice([{"kind": 9, "v": 1}, {"kind": 1, "k": ["requests", 0]}, {"kind": True, "v": {"requests": []}}]))
+    return out
+
+
+def test_compacted_logs_leave_the_same_state():
+    import copy
+    import random
+
+    def state(lines, start):
+        own = [copy.deepcopy(start)]
+        for line in lines:
+            if t._is_mutation(line):
+                t._mutated(own, copy.deepcopy(line))
+        return own[0]
+
+    rng, shorter = random.Random(7), 0
+    for k in range(3000):
+        log = random_log(rng, rng.randrange(1, 14))
+        cut = rng.randrange(len(log) + 1)  # cut anywhere, each part by itself
+        short = [x for part in (log[:cut], log[cut:]) for _, x in t._compacted(list(enumerate(part)))]
+        start = rng.choice([{}, {"requests": [{"x": [1]}, [2], None], "other": {"y": {}}}, {"requests": 5, "other": []}])
+        assert state(short, start) == state(log, start), log
+        shorter += len(short) < len(log)
+    assert shorter > 300
+    many = [{"kind": 1, "k": ["requests", 0, "text"], "v": k} for k in range(1000)] + [{"kind": 2, "k": ["requests", 0, "parts"], "v": [k]} for k in range(1000)]
+    assert len(t._compacted(list(enumerate(many)))) == 2
+
+
+def test_logs_by_stretches_flat_lines_and_sessions_of_paths(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    logs = {f"/x/{'chatSessions' if k % 2 else 'logs'}/f{k}.v1.jsonl": random_log(rng, 40) for k in range(4)}
+    flat = {"requestId": "flat", "completionTokens": 3}
+    logs["/y/ChatSessions/s9.jsonl"] = [flat, {"kind": 1, "k": ["sessionId"], "v": "told"}, [flat, flat, 5], {"requests": [flat]}, {"kind": 2, "v": [{"requestId": "in"}]}, {"v": [flat]}]
+    lines = spark.createDataFrame([(f, k, json.dumps(x)) for f, log in logs.items() for k, x in enumerate(log)], "file string, line_no long, value string").repartition(5)
+    told = lambda: sorted((r.file, r.idx, r.session_id or "", r.j) for r in t.folded_requests(lines).select("file", "idx", "session_id", F.to_json("v").alias("j")).collect())
+    whole = told()
+    monkeypatch.setattr(t, "CHUNK_LINES", 3)
+    assert told() == whole
+    own = [(i, s, json.loads(j)["requestId"]) for f, i, s, j in whole if f.startswith("/y/")]
+    assert own == [(0, "told", "in"), (1_000_001, "s9", "flat"), (3_000_001, "told", "flat"), (3_000_002, "told", "flat"), (4_000_001, "told", "flat"), (6_000_001, "told", "flat")]

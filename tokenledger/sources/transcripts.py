@@ -316,38 +316,144 @@ def _mutated(state: list, line: dict) -> None:
                 holder[key].extend(value)
 
 
+#: Lines of a log that are compacted together.
+CHUNK_LINES = 20_000
+
+
+def _is_mutation(line: dict) -> bool:
+    return isinstance(line.get("kind"), int) and not isinstance(line.get("kind"), bool)
+
+
+def _set_path(line: dict) -> tuple | None:
+    """The path of a line that only sets a place below a name."""
+    path = line.get("k")
+    fine = line.get("kind") == 1 and "v" in line and isinstance(path, list) and path and isinstance(path[0], str)
+    steps = fine and all(isinstance(x, (str, int)) and not isinstance(x, bool) and (isinstance(x, str) or x >= 0) for x in path)
+    return tuple(path) if steps else None
+
+
+def _compacted(rows: list[tuple[int, dict]]) -> list[tuple[int, dict]]:
+    """Lines in order that leave the same state as ``rows``, whatever the state before them.
+
+    Of sets below one name, without a line between that reads lengths or presence there (an append, a snapshot, anything else), those go that
+    a later one overwrites: at the same place or above it. Appends at one place with nothing of that name between become one."""
+    kept: dict[int, tuple[int, dict]] = {}
+    runs: dict[str, dict] = {}  # by name: paths set since the last other line, as a tree whose leaves are numbers of lines
+    tails: dict[str, int] = {}  # by name: the number of the append that was the last line there
+
+    def overwritten(tree) -> None:
+        for n in [tree] if isinstance(tree, int) else [x for x in tree.values()]:
+            if isinstance(n, int):
+                kept.pop(n, None)
+            else:
+                overwritten(n)
+
+    for n, (at, line) in enumerate(rows):
+        kept[n] = (at, line)
+        path = _set_path(line)
+        if path is not None:
+            tails.pop(path[0], None)
+            tree = runs.setdefault(path[0], {})
+            for step in path[1:]:
+                tree = tree.setdefault((type(step).__name__, step), {})
+            overwritten(tree)
+            tree.clear()
+            tree["last"] = n
+            continue
+        where = line.get("k") if isinstance(line.get("k"), list) else []
+        name = (where or ["requests"])[0]
+        if line.get("kind") == 2 and isinstance(name, str):
+            runs.pop(name, None)
+            old = tails.get(name)
+            if old is not None and isinstance(line.get("v"), list) and (kept[old][1].get("k") or ["requests"]) == (where or ["requests"]):
+                kept[old] = (kept[old][0], {**kept[old][1], "v": kept[old][1]["v"] + line["v"]})
+                del kept[n]
+            elif isinstance(line.get("v"), list):
+                tails[name] = n
+            else:
+                tails.pop(name, None)
+        else:
+            runs, tails = {}, {}
+    return [kept[n] for n in sorted(kept)]
+
+
+def _path_session(file: str) -> str | None:
+    """A log in a folder of chat sessions is named after its session."""
+    folder, _, name = file.rpartition("/")
+    return name.rsplit(".", 1)[0] if folder.rpartition("/")[2].lower() == "chatsessions" else None
+
+
+def _flat_records(line) -> list:
+    for key in ("v", "requests", "messages"):
+        if isinstance(line, dict) and isinstance(line.get(key), list):
+            return line[key]
+    return [line]
+
+
 def folded_requests(rows: DataFrame) -> DataFrame:
     """(file, idx, session_id, v): each request of a mutation log in its last state.
 
-    Lines patch a document at paths of any depth, each upon the state that the lines before it left. A task goes through the sorted
-    lines of its files one by one and holds the state of one file."""
+    Lines patch a document at paths of any depth, each upon the state that the lines before it left. Stretches of a log are compacted first,
+    each by itself, to lines that leave the same state, so a large file is read and parsed by many tasks; then a task goes through the
+    lines that are left of its files one by one and holds the state of one file. A log in a ``chatSessions`` folder has its name for a session
+    until it tells another. Lines without a kind are records themselves, under the session known by then; their idx follows the line."""
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def told(file: str, state: list) -> pd.DataFrame:
-            doc = state[0] if isinstance(state[0], dict) else {}
-            session, made = doc.get("sessionId"), doc.get("requests")
-            own = [(file, k, session if isinstance(session, str) else None, json.dumps(r)) for k, r in enumerate(made if isinstance(made, list) else []) if isinstance(r, dict)]
-            return pd.DataFrame(own, columns=["file", "idx", "session_id", "item"])
+    def compact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def told(key: tuple, lines: list) -> pd.DataFrame:
+            out = [(key[0], at, json.dumps(line)) for at, line in _compacted(lines)]
+            return pd.DataFrame(out, columns=["file", "line_no", "value"])
 
-        file, state = None, [{}]
+        own, lines = None, []
         for batch in batches:
-            for f, value in zip(batch["file"], batch["value"]):
-                if f != file:
-                    if file is not None:
-                        yield told(file, state)
-                    file, state = f, [{}]
+            for f, chunk, at, value in zip(batch["file"], batch["chunk"], batch["line_no"], batch["value"]):
+                if (f, chunk) != own:
+                    if lines:
+                        yield told(own, lines)
+                    own, lines = (f, chunk), []
                 try:
                     line = json.loads(value)
                 except ValueError:
                     continue
-                if isinstance(line, dict):
+                if isinstance(line, (dict, list)):
+                    lines.append((at, line if isinstance(line, dict) else {"requests": line}))
+        if lines:
+            yield told(own, lines)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["file", "idx", "session_id", "item"]
+
+        def text(x) -> str | None:
+            return x if isinstance(x, str) else None
+
+        def told(file: str, state: list, flat: list) -> pd.DataFrame:
+            doc = state[0] if isinstance(state[0], dict) else {}
+            made = doc.get("requests")
+            own = [(file, k, text(doc.get("sessionId")), json.dumps(r)) for k, r in enumerate(made if isinstance(made, list) else []) if isinstance(r, dict)]
+            return pd.DataFrame(own + flat, columns=columns)
+
+        file, state, flat = None, [{}], []
+        for batch in batches:
+            for f, at, value in zip(batch["file"], batch["line_no"], batch["value"]):
+                if f != file:
+                    if file is not None:
+                        yield told(file, state, flat)
+                    session = _path_session(f)
+                    file, state, flat = f, [{} if session is None else {"sessionId": session}], []
+                line = json.loads(value)
+                if _is_mutation(line):
                     _mutated(state, line)
+                else:
+                    doc = state[0] if isinstance(state[0], dict) else {}
+                    flat += [(f, (at + 1) * 1_000_000 + k, text(doc.get("sessionId")), json.dumps(r)) for k, r in enumerate(_flat_records(line), 1) if isinstance(r, dict)]
         if file is not None:
-            yield told(file, state)
+            yield told(file, state, flat)
 
     importable(rows.sparkSession)
-    ordered = rows.select("file", "line_no", "value").repartition("file").sortWithinPartitions("file", "line_no")
-    made = ordered.mapInPandas(fold, "file string, idx int, session_id string, item string")
+    stretch = F.floor(F.col("line_no") / CHUNK_LINES).alias("chunk")
+    dealt = rows.select("file", stretch, "line_no", "value").repartition("file", "chunk").sortWithinPartitions("file", "chunk", "line_no")
+    short = dealt.mapInPandas(compact, "file string, line_no bigint, value string")
+    ordered = short.repartition("file").sortWithinPartitions("file", "line_no")
+    made = ordered.mapInPandas(fold, "file string, idx bigint, session_id string, item string")
     return made.select("file", "idx", "session_id", F.try_parse_json("item").alias("v"))
 
 
