@@ -97,8 +97,10 @@ def tag_stats(messages: DataFrame, tags: DataFrame, key: str | None = None, wind
     """Cost by the values of a key, split over a message's values; without a key all keys, unsplit. repo and branch keys read the columns."""
     if key is None:
         rows = selected(messages, window, filters).select("id", "session_id", "cents")
-        met = tags.distinct().join(rows, F.col("message_id") == F.col("id"))
-        out = met.groupBy("key", "value")
+        # a message's tags, each once, come together where they meet their message: one shuffle of tags
+        own = tags.groupBy("message_id").agg(F.collect_set(F.struct("key", "value")).alias("__tags"))
+        met = own.join(rows, F.col("message_id") == F.col("id")).select("session_id", "cents", F.explode("__tags").alias("t"))
+        out = met.select("session_id", "cents", "t.*").groupBy("key", "value")
     elif key.startswith(("repo", "branch")):
         column = "d_project" if key.startswith("repo") else "d_branch"
         out = selected(messages, window, filters).withColumns({"key": F.lit(key), "value": F.col(column)}).groupBy("key", "value")
