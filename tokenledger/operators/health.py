@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dims import MONEY
+from .pricing import small
 
 # Fixed values.
 DRAG_RATIO, DRAG_INPUT, DRAG_DELTA = {"yellow": 3.0, "red": 6.0}, {"yellow": 12_000.0, "red": 24_000.0}, {"yellow": 6_000.0, "red": 12_000.0}
@@ -176,14 +177,41 @@ def prompt_counts(messages: DataFrame) -> DataFrame:
     return out.select("session_id", F.when((F.col("a") == 0) & F.coalesce(F.col("p") == "copilot_chat", F.lit(False)), F.col("r")).otherwise(F.col("a")).alias("prompt_count"))
 
 
+def _commit_counts(windows: DataFrame, commits: DataFrame) -> DataFrame:
+    """Per session the distinct commits of its branch from ``lo`` to ``hi``, by running counts: no session meets its commits one by one.
+
+    Time is cut into hours, so a busy branch is many groups: a window's count is what came up to its end less what came before its start, each
+    the sum of whole hours before and a running count inside the hour. Commits told with several times on one branch, which hardly are, meet
+    the windows by days."""
+    on = ["repo_id", "branch"]
+    told = commits.where("NOT on_integration AND sha IS NOT NULL").groupBy(*on, "sha").agg(F.collect_set("ts").alias("__at")).where(F.size("__at") > 0)
+    hour = F.floor(F.unix_micros(F.col("at").cast("timestamp")) / 3_600_000_000)
+    points = told.where(F.size("__at") == 1).groupBy(*on, F.element_at("__at", 1).alias("at")).agg(F.count("*").alias("n"))
+    points = points.select(*on, "at", F.lit(1).alias("k"), "n", F.lit(None).cast(windows.schema["session_id"].dataType).alias("session_id"))
+    edges = F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(0).alias("k")), F.struct(F.col("hi").alias("at"), F.lit(2).alias("k")))).alias("e")
+    asked = windows.select(*on, "session_id", edges).select(*on, "e.at", "e.k", F.lit(0).cast("bigint").alias("n"), "session_id")
+    both = points.unionByName(asked).withColumn("hour", hour)
+    held = both.groupBy(*on, "hour").agg(F.sum("n").alias("h"))
+    before = F.coalesce(F.sum("h").over(W.partitionBy(*on).orderBy("hour").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    held = held.select(*on, "hour", before.alias("before"))
+    w = W.partitionBy(*on, "hour").orderBy("at", "k").rowsBetween(W.unboundedPreceding, 0)
+    run = both.withColumn("run", F.sum("n").over(w)).where("session_id IS NOT NULL").join(held, [*on, "hour"])
+    single = run.select("session_id", (F.when(F.col("k") == 2, 1).otherwise(-1) * (F.col("run") + F.col("before"))).alias("n"))
+    day = lambda c: F.unix_date(F.to_date(F.col(c)))
+    again = told.where(F.size("__at") > 1).select(*on, "sha", F.explode("__at").alias("at")).withColumn("day", day("at"))
+    near = windows.withColumn("day", F.explode(F.sequence(day("lo"), day("hi"))))
+    several = near.join(again, [*on, "day"]).where("at BETWEEN lo AND hi").groupBy("session_id").agg(F.count_distinct("sha").alias("n"))
+    return single.unionByName(several).groupBy("session_id").agg(F.sum("n").alias("commits"))
+
+
 def work_outcomes(sessions: DataFrame, commits: DataFrame, branches: DataFrame) -> DataFrame:
     """branch_merged, committed (commits of the branch alone from the start to a day after the end), no_commit or unknown."""
     s = sessions.select(F.col("id").alias("session_id"), "repo_id", "git_branch", "started_at", "ended_at")
     b = branches.select(F.col("repo_id").alias("__r"), F.col("branch").alias("__b"), "merged", "same_tip")
-    met = s.join(b, (F.col("repo_id") == F.col("__r")) & (F.col("git_branch") == F.col("__b")), "left")
-    c = commits.where(~F.col("on_integration")).select(F.col("repo_id").alias("__cr"), F.col("branch").alias("__cb"), "sha", F.col("ts").alias("__ts"))
-    inside = (F.col("__ts") >= F.col("started_at")) & (F.col("__ts") <= F.col("ended_at") + F.expr("INTERVAL 24 HOURS"))
-    n = s.join(c, (F.col("repo_id") == F.col("__cr")) & (F.col("git_branch") == F.col("__cb")) & inside).groupBy("session_id").agg(F.count_distinct("sha").alias("commits"))
+    met = s.join(small(b), (F.col("repo_id") == F.col("__r")) & (F.col("git_branch") == F.col("__b")), "left")
+    own = s.select("session_id", "repo_id", F.col("git_branch").alias("branch"), F.col("started_at").alias("lo"), (F.col("ended_at") + F.expr("INTERVAL 24 HOURS")).alias("hi"))
+    busy = commits.where("NOT on_integration").select("repo_id", "branch").distinct()
+    n = _commit_counts(own.where("lo <= hi").join(small(busy), ["repo_id", "branch"], "left_semi"), commits)
     out = met.join(n, "session_id", "left")
     outcome = (
         F.when(F.col("__b").isNull(), "unknown")
