@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Fixed values.
 KEYWORDS = {
     "bugfix": ("fix", "bug", "broken", "error", "crash", "issue", "debug", "failing", "fails", "wrong", "regression", "workaround", "patch", "hotfix",
@@ -38,11 +40,6 @@ def word_pattern(word: str) -> str:
     return f"(^|[^a-z0-9]){re.escape(word).replace(chr(92) + ' ', ' ').replace(chr(92) + '-', '-')}($|[^a-z0-9])"
 
 
-def _let(value: Column, then) -> Column:
-    """``then(value)`` with ``value`` computed once, outside of the generated code, which has a size limit."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def classify(text: Column) -> Column:
     """struct(category, source, confidence) of a prompt, or null for short, structural or unclear ones."""
 
@@ -70,4 +67,4 @@ def classify(text: Column) -> Column:
         confidence = F.when(c["hits"] >= 2, "high").when((c["hits"] == 1) & context, "medium").otherwise("low")
         return F.when(plain & c.isNotNull(), F.struct(c["category"].alias("category"), F.lit("rule").alias("source"), confidence.alias("confidence")))
 
-    return _let(F.lower(text), lambda low: _let(hits(low), lambda h: _let(category(h), result)))
+    return let(F.lower(text), lambda low: let(hits(low), lambda h: let(category(h), result)))

@@ -62,18 +62,35 @@ def basename(path: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(path, r"[/\\]+$", ""), r"[^/\\]*$", 0)
 
 
-def repo_path(path: Column, root: Column) -> Column:
-    """``path`` relative to ``root`` with / separators and .. folded; null outside of it or for other schemes."""
-    p = F.replace(F.trim(path), F.lit("\\"), F.lit("/"))
-    p = F.regexp_replace(p, "^file://(localhost)?", "")
-    whole = F.when(p.startswith("/") | p.rlike("^[A-Za-z]:/"), p).otherwise(F.concat_ws("/", root, p))
+def let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once, outside of the generated code, which has a size limit."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _folded(path: Column) -> Column:
+    """``path`` without empty parts, . and .., and without outer slashes."""
     push = lambda a, x: F.when(x.isin("", "."), a).when(
         x == "..", F.when(F.size(a) > 0, F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(a)
     ).otherwise(F.concat(a, F.array(x)))
-    folded = lambda c: F.array_join(F.aggregate(F.split(c, "/"), F.array().cast("array<string>"), push), "/")
-    inside, base = folded(whole), folded(F.replace(root, F.lit("\\"), F.lit("/")))
-    rest = F.when(inside.startswith(F.concat(base, F.lit("/"))), F.substr(inside, F.length(base) + 2))
-    return F.when(~p.rlike("^[A-Za-z][A-Za-z0-9+.-]+:") | p.rlike("^[A-Za-z]:/"), F.nullif(rest, F.lit("")))
+    slowly = lambda c: F.array_join(F.aggregate(F.split(c, "/"), F.array().cast("array<string>"), push), "/")
+    # most paths hold no such part: they are not taken apart
+    return let(F.regexp_replace(path, r"^/+|/+\z", ""), lambda c: F.when(c.rlike(r"(^|/)\.{0,2}(/|$)"), slowly(c)).otherwise(c))
+
+
+def repo_root(root: Column) -> Column:
+    return _folded(F.replace(root, F.lit("\\"), F.lit("/")))
+
+
+def repo_path(path: Column, root: Column, base: Column | None = None) -> Column:
+    """``path`` relative to ``root`` with / separators and .. folded; null outside of it or for other schemes. ``base``: the root, folded."""
+    base = repo_root(root) if base is None else base
+
+    def within(p: Column) -> Column:
+        whole = F.when(p.startswith("/") | p.rlike("^[A-Za-z]:/"), p).otherwise(F.concat_ws("/", root, p))
+        rest = let(F.struct(_folded(whole).alias("inside"), base.alias("base")), lambda x: F.when(x["inside"].startswith(F.concat(x["base"], F.lit("/"))), F.substr(x["inside"], F.length(x["base"]) + 2)))
+        return F.when(~p.rlike("^[A-Za-z][A-Za-z0-9+.-]+:") | p.rlike("^[A-Za-z]:/"), F.nullif(rest, F.lit("")))
+
+    return let(F.regexp_replace(F.replace(F.trim(path), F.lit("\\"), F.lit("/")), "^file://(localhost)?", ""), within)
 
 
 def uuid_of(*keys: Column) -> Column:

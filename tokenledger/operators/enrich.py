@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.prompts import classify
-from ..functions.text import glob_match, repo_of_url, repo_path, ticket, ticket_prefix
+from ..functions.text import glob_match, repo_of_url, repo_path, repo_root, ticket, ticket_prefix
 from .pricing import small
 
 CATEGORY = ("prompt_category", "prompt_category_source", "prompt_category_confidence")
@@ -83,16 +83,23 @@ def tool_tags(messages: DataFrame) -> DataFrame:
 
 def file_tags(messages: DataFrame, root: str = "cwd") -> DataFrame:
     """Paths inside the repository, at most MOST_FILES a message in their order, with source and confidence."""
-    rows = _assistant(messages).select("id", F.col(root).alias("__root"), F.posexplode("tool_files").alias("__i", "__raw"))
-    made = rows.withColumn("value", repo_path(F.col("__raw"), F.col("__root"))).where("value IS NOT NULL")
-    whole = F.col("__raw").startswith("/") | F.col("__raw").startswith("file://") | F.col("__raw").rlike("^[A-Za-z]:")
-    first = made.groupBy("id", "value").agg(F.min("__i").alias("__i"), F.bool_or(whole).alias("__whole"))
-    kept = first.withColumn("k", F.row_number().over(W.partitionBy("id").orderBy("__i"))).where(F.col("k") <= MOST_FILES)
-    paths = kept.select(F.col("id").alias("message_id"), F.lit("file_path").alias("key"), "value")
-    label = kept.groupBy("id").agg(F.bool_or("__whole").alias("w"))
-    return paths.unionByName(
-        _tags(label, {"file_path_source": F.when(F.col("w"), "tool_arg").otherwise("cwd_relative"), "file_path_confidence": F.when(F.col("w"), "high").otherwise("medium")})
+    def found(raw: Column) -> Column:
+        whole = raw.startswith("/") | raw.startswith("file://") | raw.rlike("^[A-Za-z]:")
+        return F.struct(repo_path(raw, F.col(root), F.col("__base")).alias("value"), whole.alias("__whole"))
+
+    # paths are made inside arrays, once each, behind the one shuffle, and all tags of a message in one pass
+    rows = _assistant(messages).select("id", root, "tool_files").repartition("id").select("*", F.explode_outer(F.array(repo_root(F.col(root)))).alias("__base"))
+    made = rows.select("id", F.posexplode_outer(F.transform("tool_files", found)).alias("__i", "__f")).select("id", "__i", "__f.*").where("value IS NOT NULL")
+    first = made.groupBy("id", "value").agg(F.min("__i").alias("__i"), F.bool_or("__whole").alias("__whole"))
+    kept = first.withColumn("k", F.row_number().over(W.partitionBy("id").orderBy("__i", "value"))).where(F.col("k") <= MOST_FILES)
+    kept = kept.withColumn("w", F.bool_or("__whole").over(W.partitionBy("id")))
+    tag = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    label = F.array(
+        tag("file_path_source", F.when(F.col("w"), F.lit("tool_arg")).otherwise("cwd_relative")), tag("file_path_confidence", F.when(F.col("w"), F.lit("high")).otherwise("medium"))
     )
+    path = F.array(tag("file_path", F.col("value")))
+    each = F.explode(F.when(F.col("k") == 1, F.concat(path, label)).otherwise(path))
+    return kept.select(F.col("id").alias("message_id"), each.alias("t")).select("message_id", "t.*")
 
 
 def cost_tags(messages: DataFrame) -> DataFrame:
