@@ -28,8 +28,10 @@ def query(name, sql=None, *extra):
     return add
 
 
-def _lines(s, d, value: str, where: str = "true", key: str = "user_id"):
-    return a.table(s, d, "events").where(where).selectExpr(f"'f' || CAST({key} AS STRING) AS file", "event_id AS line_no", f"{value} AS value")
+def _lines(s, d, value: str, where: str = "true", key: str = "user_id", spread: bool = False):
+    """Lines; ``spread``: over more tasks than the small table has splits, where a line costs far more than a row."""
+    events = a.table(s, d, "events").where(where)
+    return (events.repartition("event_id") if spread else events).selectExpr(f"'f' || CAST({key} AS STRING) AS file", "event_id AS line_no", f"{value} AS value")
 
 
 _TS = "replace(CAST(date_trunc('second', ts) AS STRING), ' ', 'T') || 'Z'"
@@ -47,7 +49,7 @@ CASE WHEN event_type = 'view' THEN 0 ELSE {_I} END AS input_tokens, CASE WHEN ev
 CASE WHEN event_type <> 'view' THEN 'r' || event_id END AS request_id, CASE WHEN event_type = 'view' OR event_id % 7 = 0 THEN '' ELSE 'Edit|Grep' END AS tools, CASE WHEN event_type = 'view' OR event_id % 7 = 0 THEN '' ELSE 'src/a.py|lib' END AS files,
 CASE WHEN event_type <> 'view' THEN '' WHEN event_id % 6 = 0 THEN 'denied' WHEN event_id % 2 = 0 THEN 'error' ELSE 'success' END AS outcomes FROM events WHERE event_id % 50 <> 0 AND NOT (event_type <> 'view' AND event_id % 7 <> 0 AND event_id % 11 = 0)""",
 )(
-    lambda s, d: t.envelope(_lines(s, d, _ENVELOPE)).select(
+    lambda s, d: t.envelope(_lines(s, d, _ENVELOPE, spread=True)).select(
         "id", "session_id", "role", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"), "model", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_1h_tokens", "request_id",
         F.coalesce(F.array_join("tool_names", "|"), F.lit("")).alias("tools"), F.coalesce(F.array_join("tool_files", "|"), F.lit("")).alias("files"), F.coalesce(F.array_join(F.transform("tool_outcomes", lambda o: o["outcome"]), "|"), F.lit("")).alias("outcomes"),
     )

@@ -70,14 +70,14 @@ _ASK = lambda k: f"""'{{"requestId":"q' || CAST(event_id AS STRING) || '-{k}","t
 _DOCUMENT = f"""CASE WHEN event_id % 2 = 0 THEN '[' || {_ASK(0)} || ',' || {_ASK(1)} || ']' WHEN event_id % 31 = 0 THEN 'no json' ELSE '{{"sessionId":"s' || CAST(event_id AS STRING) || '","requests":[' || {_ASK(0)} || ']}}' END"""
 _DOCS_SQL = "SELECT 'f' || event_id AS file, event_id, k AS idx, CASE WHEN event_id % 2 = 1 THEN 's' || event_id END AS session_id, 'q' || event_id || '-' || k AS request_id FROM events, (VALUES (0), (1)) v(k) WHERE (event_id % 2 = 0 OR k = 0) AND (event_id % 2 = 0 OR event_id % 31 <> 0)"
 query("s12_chat_documents", f"SELECT file, idx, session_id, request_id FROM ({_DOCS_SQL})")(
-    lambda s, d: src.chat_documents(_lines(s, d, _DOCUMENT, key="event_id")).select("file", "idx", "session_id", src.get("$.requestId").alias("request_id"))
+    lambda s, d: src.chat_documents(_lines(s, d, _DOCUMENT, key="event_id", spread=True)).select("file", "idx", "session_id", src.get("$.requestId").alias("request_id"))
 )
 query(
     "s13_chat_rows",
     """SELECT request_id || CASE WHEN role = 'user' THEN '-user' ELSE '' END AS id, session_id, role, CASE WHEN role = 'assistant' AND event_id % 9 > 0 THEN event_id % 9 ELSE 0 END AS input_tokens, CASE WHEN role = 'assistant' THEN event_id % 4 ELSE 0 END AS output_tokens, CASE WHEN role = 'assistant' THEN request_id || '-user' END AS parent_uuid,
 CASE WHEN role = 'user' THEN 'hi ' || idx END AS text, 1704067200000 + event_id AS at_ms FROM docs, (VALUES ('user'), ('assistant')) w(role) WHERE event_id % 4 > 0""",
     ("docs", _DOCS_SQL),
-)(lambda s, d: src.chat_requests(src.chat_documents(_lines(s, d, _DOCUMENT, key="event_id"))).select("id", "session_id", "role", "input_tokens", "output_tokens", "parent_uuid", "text", F.unix_millis("timestamp").alias("at_ms")))
+)(lambda s, d: src.chat_requests(src.chat_documents(_lines(s, d, _DOCUMENT, key="event_id", spread=True))).select("id", "session_id", "role", "input_tokens", "output_tokens", "parent_uuid", "text", F.unix_millis("timestamp").alias("at_ms")))
 _STORE_KEY = "'bubbleId:' || lpad(CAST(user_id AS STRING), 36, '0') || CASE WHEN event_id % 40 = 7 THEN ':short' ELSE ':' || lpad(CAST(event_id AS STRING), 36, '0') END AS key"
 _STORE = f"""'{{"tokenCount":{{"inputTokens":' || CAST({_I} AS STRING) || ',"outputTokens":' || CAST(event_id % 3 AS STRING) || '}},"modelInfo":{{"modelName":"' || CASE WHEN event_id % 3 = 0 THEN 'default' ELSE 'm' END || '"}},"type":' || CASE WHEN event_id % 4 = 0 THEN '1' ELSE '2' END
 || CASE WHEN event_id % 2 = 0 THEN ',"createdAt":"' || {_TS} || '"' ELSE '' END || '}}' AS value"""

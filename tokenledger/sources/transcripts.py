@@ -77,8 +77,13 @@ def numbered(raw: DataFrame) -> DataFrame:
     return met.select("file", (F.col("at") + F.col("shift")).alias("line_no"), "value")
 
 
+def _held(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with ``value`` computed once a row: what a generator makes is not computed again by each filter and column that uses it."""
+    return rows.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def _parsed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("v", F.try_parse_json("value")).where("v IS NOT NULL")
+    return _held(rows, "v", F.try_parse_json("value")).where("v IS NOT NULL")
 
 
 def get(path: str, kind: str = "string", v: str = "v") -> Column:
@@ -178,20 +183,22 @@ def envelope(rows: DataFrame, provider: str = "claude_code") -> DataFrame:
 
     A line is parsed once, by one schema. Content that is a list gives its blocks, the objects in it with a type, whatever stands beside
     them; content that is a text stays one, also if it looks like a list."""
-    v = rows.where(F.rtrim("value", F.lit(" \t\r\n")).endswith("}")).withColumn("v", F.from_json("value", _ENVELOPE))
+    v = _held(rows.where(F.rtrim("value", F.lit(" \t\r\n")).endswith("}")), "v", F.from_json("value", _ENVELOPE))
     role = F.when(F.col("v.type").isin("user", "assistant"), F.col("v.type")).when(F.col("v.type").isNull() & F.col("v.role").isin("user", "assistant"), F.col("v.role"))
     v = v.withColumn("role", role).where("role IS NOT NULL")
     said = F.coalesce("v.message.content", "v.content")
     blocks = F.filter(F.transform(_listed(F.col("said")), lambda x: F.try_variant_get(x, "$", BLOCK)), lambda b: b["type"].isNotNull())
-    v = v.withColumn("said", said).withColumn("blocks", F.coalesce(blocks, F.array().cast(f"array<{BLOCK}>")))
-    uses = F.filter("blocks", lambda b: b["type"] == "tool_use")
+    v = _held(v.withColumn("said", said), "blocks", F.coalesce(blocks, F.array().cast(f"array<{BLOCK}>")))
+    v = _held(v, "uses", F.filter("blocks", lambda b: b["type"] == "tool_use"))
+    v = _held(v, "at", timestamp_of(F.col("v.timestamp"))).where("at IS NOT NULL")
+    uses = F.col("uses")
     results = F.filter("blocks", lambda b: (b["type"] == "tool_result") & (F.trim(b["tool_use_id"]) != ""))
     u = lambda name: _count(f"v.message.usage.{name}", f"v.usage.{name}")
     spoken = F.array_join(F.transform(F.filter("blocks", lambda b: b["type"] == "text"), lambda b: b["text"]), "\n")
     mine = F.col("role") == "assistant"
     out = staged(
         v, provider,
-        id=F.col("v.uuid"), session_id=F.coalesce("v.sessionId", "v.session_id"), role=F.col("role"), timestamp=timestamp_of(F.col("v.timestamp")),
+        id=F.col("v.uuid"), session_id=F.coalesce("v.sessionId", "v.session_id"), role=F.col("role"), timestamp=F.col("at"),
         model=F.when(mine, F.coalesce("v.message.model", "v.model")),
         input_tokens=F.when(mine, u("input_tokens")).otherwise(0), output_tokens=F.when(mine, u("output_tokens")).otherwise(0),
         cache_creation_tokens=F.when(mine, u("cache_creation_input_tokens")).otherwise(0), cache_read_tokens=F.when(mine, u("cache_read_input_tokens")).otherwise(0),
@@ -201,7 +208,7 @@ def envelope(rows: DataFrame, provider: str = "claude_code") -> DataFrame:
         tool_names=F.transform(uses, lambda b: F.trim(b["name"])), tool_use_ids=F.transform(uses, lambda b: F.trim(b["id"])), tool_files=tool_files(uses),
         tool_outcomes=F.transform(results, lambda b: F.struct(F.trim(b["tool_use_id"]).alias("tool_use_id"), outcome_of(_flag(b["is_error"]), _result_text(b["content"])).alias("outcome"))),
     )
-    return out.where("id IS NOT NULL AND timestamp IS NOT NULL AND NOT (role = 'assistant' AND coalesce(model, '') = '<synthetic>')")
+    return out.where("id IS NOT NULL AND NOT (role = 'assistant' AND coalesce(model, '') = '<synthetic>')")
 
 
 def _running(c: str, *more: str) -> Column:
@@ -460,25 +467,27 @@ def folded_requests(rows: DataFrame) -> DataFrame:
 def chat_requests(requests: DataFrame, provider: str = "copilot_chat") -> DataFrame:
     """A user row and an assistant row for each request (file, session_id, v, model) that has its token counts."""
     n = lambda c: F.coalesce(c, F.lit(0))
-    counted = requests.withColumn("t", request_tokens()).where("t IS NOT NULL")
+    counted = _held(requests, "t", request_tokens()).where("t IS NOT NULL")
+    counted = _held(counted, "at", timestamp_of(get("$.timestamp"))).where("at IS NOT NULL")
     key = F.coalesce(get("$.requestId"), uuid_of(F.lit(provider), F.col("file"), get("$.timestamp")))
     roles = F.explode(F.array(F.lit("user"), F.lit("assistant")))
-    rows = counted.select("*", key.alias("key"), roles.alias("r"))
+    rows = counted.select("*", key.alias("key"), get("$.message.text").alias("said"), roles.alias("r"))
     mine = F.col("r") == "assistant"
     user = F.concat(F.col("key"), F.lit("-user"))
     return staged(
         rows, provider,
-        id=F.when(mine, F.col("key")).otherwise(user), session_id=F.col("session_id"), role=F.col("r"), timestamp=timestamp_of(get("$.timestamp")), model=F.when(mine, F.col("model")) if "model" in requests.columns else None,
-        input_tokens=F.when(mine, n(F.col("t.i"))).otherwise(0), output_tokens=F.when(mine, n(F.col("t.o"))).otherwise(0), request_id=F.when(mine, F.col("key")), parent_uuid=F.when(mine, user), text=F.when(~mine, get("$.message.text")),
-    ).where("timestamp IS NOT NULL")
+        id=F.when(mine, F.col("key")).otherwise(user), session_id=F.col("session_id"), role=F.col("r"), timestamp=F.col("at"), model=F.when(mine, F.col("model")) if "model" in requests.columns else None,
+        input_tokens=F.when(mine, n(F.col("t.i"))).otherwise(0), output_tokens=F.when(mine, n(F.col("t.o"))).otherwise(0), request_id=F.when(mine, F.col("key")), parent_uuid=F.when(mine, user), text=F.when(~mine, F.col("said")),
+    )
 
 
 def chat_documents(files: DataFrame) -> DataFrame:
     """Requests of whole JSON documents (file, value): an array, or an object with requests."""
-    v = files.withColumn("v", F.try_parse_json("value")).where("v IS NOT NULL")
-    items = F.coalesce(F.from_json(F.to_json(get("$.requests", "variant")), "array<string>"), F.from_json(F.to_json(F.col("v")), "array<string>"))
-    each = v.select("file", get("$.sessionId").alias("session_id"), F.posexplode(items).alias("idx", "item"))
-    return each.select("file", "idx", "session_id", F.try_parse_json("item").alias("v"))
+    items = F.coalesce(get("$.requests", "array<variant>"), _listed(F.col("v")))
+    # a text is read as JSON itself
+    of = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_parse_json(F.try_variant_get(x, "$", "string"))).when(~F.is_variant_null(x), x)
+    each = _parsed(files).select("file", get("$.sessionId").alias("session_id"), F.posexplode_outer(F.transform(items, of)).alias("idx", "v"))
+    return each.where("idx IS NOT NULL")
 
 
 def usage_events(rows: DataFrame, provider: str = "cursor") -> DataFrame:
