@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tokenledger.functions.text import _folded
 from tokenledger.operators import enrich as e
 from tokenledger.operators import health as h
+from tokenledger.operators import sessions as s
+from tokenledger.plans import adapters as a
 from tokenledger.sources import transcripts as t
 
 T0 = datetime(2024, 1, 1)
@@ -79,3 +81,16 @@ def test_lines_and_documents_are_parsed_once(spark):
     assert sorted((r.id, r.text, r.output_tokens) for r in asked.collect()) == [("a", None, 2), ("a-user", "x", 0)]
     told = plan(t.chat_requests(made))
     assert len(re.findall(r"parse_?json", told, re.I)) == 2, told  # of a document, and of a text in it
+
+
+def test_tasks_of_health_and_tags_hold_few_rows_and_few_sorts(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    rows, events, tags = a.messages(spark, d), a.tool_events(spark, d), a.tags(spark, d)
+    whole = sorted(map(str, h.session_health(rows, events).collect())), sorted(map(str, s.session_tags(rows, tags).collect()))
+    monkeypatch.setattr(h, "PART_ROWS", 100)
+    monkeypatch.setattr(s, "PART_ROWS", 100)
+    health, own = h.session_health(rows, events), s.session_tags(rows, tags)
+    assert plan(health).count("REPARTITION_BY_COL") == 5  # sessions, and each vital in a stage of its own
+    assert len(re.findall(r"hashpartitioning\(session_id#\d+, 10\), REPARTITION_BY_NUM", plan(health))) > 4
+    assert len(re.findall(r", \d+\), REPARTITION_BY_NUM", plan(own))) == 2
+    assert (sorted(map(str, health.collect())), sorted(map(str, own.collect()))) == whole

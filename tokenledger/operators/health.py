@@ -27,6 +27,15 @@ TIPS = {
 }
 
 
+#: Rows of messages, or of events, that a task gets, about: windows and joins by session hold them several times.
+PART_ROWS = 200_000
+
+
+def _by_session(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows with a session, in as many parts as asked, which are not put together again: all that is asked by session finds them in place."""
+    return rows.where("session_id IS NOT NULL").repartition(parts, "session_id")
+
+
 def _state(red: Column, yellow: Column) -> Column:
     return F.when(red, "red").when(yellow, "yellow").otherwise("green")
 
@@ -136,10 +145,13 @@ def cost_acceleration(rows: DataFrame, events: DataFrame) -> DataFrame:
 
 def session_health(messages: DataFrame, events: DataFrame) -> DataFrame:
     """Per session its vitals (null: too little to tell) and state: red before yellow before insufficient_data (three or more null) before green."""
+    parts = -(-max(messages.count(), events.count()) // PART_ROWS) or 1
+    messages, events = _by_session(messages, parts), _by_session(events, parts)
     rows = after_compaction(messages, events)
-    out = messages.where("session_id IS NOT NULL").select("session_id").distinct()
+    # each vital ends with a shuffle of one row a session: the sorts of all of them would else be held by one task
+    out = messages.select("session_id").distinct().repartition("session_id")
     for vital in (context_drag(rows), cache_efficiency(rows), thrashing(events), cost_acceleration(rows, events)):
-        out = out.join(vital, "session_id", "left")
+        out = out.join(vital.repartition("session_id"), "session_id", "left")
     any_ = lambda s: F.exists(F.array(*VITALS), lambda v: F.coalesce(v == s, F.lit(False)))
     missing = sum((F.col(v).isNull().cast("int") for v in VITALS), F.lit(0))
     return out.withColumn("state", F.when(any_("red"), "red").when(any_("yellow"), "yellow").when(missing >= 3, "insufficient_data").otherwise("green"))
