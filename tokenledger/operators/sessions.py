@@ -159,9 +159,16 @@ def message_curve(messages: DataFrame) -> DataFrame:
     )
 
 
+#: Messages that a task of the join with tags gets, about; each has several tags.
+PART_ROWS = 20_000
+
+
 def session_tags(messages: DataFrame, tags: DataFrame) -> DataFrame:
     rows = messages.where("session_id IS NOT NULL").select("id", "session_id")
-    own = tags.where(~F.col("key").isin(*LINKAGE_KEYS))
+    parts = -(-rows.count() // PART_ROWS) or 1
+    # parts asked for by number are not put together again, so a task's sorts stay as small as they are
+    rows = rows.repartition(parts, "id")
+    own = tags.where(~F.col("key").isin(*LINKAGE_KEYS)).repartition(parts, "message_id")
     return own.join(rows, own["message_id"] == rows["id"]).select("session_id", "key", "value").distinct()
 
 
