@@ -7,8 +7,8 @@ meet their counts by a join, in which no word is frequent.
 Model: causal self-attention over subword ids, in numpy. A step attends over the last ``CONTEXT``
 inputs at least and ``CONTEXT + STRIDE`` at most; windows overlap by ``CONTEXT``, each id is scored
 once, in the window where it is among the last ``STRIDE``. What follows an id is known from pair
-counts of all training texts (pairs that make up a ``PAIRS``-th of them or more by their own count,
-the others by the count of the second id), and attention tells the next id's class from the context:
+counts of all training texts (pairs that make up a ``PAIRS``-th of them or more are broadcast, the others
+meet their counts by a join), and attention tells the next id's class from the context:
 
     p(y | x, context) = softmax over classes (log P(class | x) + attention)[class of y] * P(y | x) / P(class of y | x)
 
@@ -49,7 +49,7 @@ HELD_OUT_OF = 10
 SMOOTH = 0.1
 #: Words of at least this share of the training tokens are broadcast.
 FREQUENT = 2_000_000
-#: Pairs of ids of at least this share of all training pairs are kept with their own counts.
+#: Pairs of ids of at least this share of all training pairs are broadcast with their counts.
 PAIRS = 1 << 22
 STRIDE, CONTEXT, DIM, CLASSES, BESIDE = 24, 8, 16, 128, 32
 ROUNDS, BATCH, RATE, SHARD = 2, 64, 4e-3, 1 << 22
@@ -186,8 +186,8 @@ class Pairs:
         return out
 
 
-def _pair_counts(table: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(counts of ids beside hashed neighbours, before and behind; kept pairs; their counts), over all training texts."""
+def _pair_counts(table: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, DataFrame | None]:
+    """(counts of ids beside hashed neighbours, before and behind; frequent pairs; their counts; the other pairs, if any), over all training texts."""
     pairs = written(table.where("kind = 2").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
     first, second = F.shiftright("pair", 16), F.col("pair").bitwiseAND(F.lit(0xFFFF))
     place = lambda c: F.pmod(F.shiftright(c * 40503, 4), F.lit(BESIDE))
@@ -197,13 +197,25 @@ def _pair_counts(table: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, n
     near[beside["cell"].to_numpy()] = beside["n"].to_numpy()
     total = near.reshape(size, -1)[:, :BESIDE].sum()
     kept = pairs.where(F.col("n") * PAIRS >= int(total)).orderBy("pair").toArrow()  # PAIRS rows at most
-    return near.reshape(size, -1), kept["pair"].to_numpy(), kept["n"].to_numpy()
+    rare = pairs.where(F.col("n") * PAIRS < int(total))
+    return near.reshape(size, -1), kept["pair"].to_numpy(), kept["n"].to_numpy(), None if rare.isEmpty() else rare
+
+
+def _rare_sums(rare: DataFrame, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(kinds by first id; pairs by first id; pairs by first id and class of the second) of pairs that are not broadcast."""
+    size, spark = len(cls), rare.sparkSession
+    classes = spark.createDataFrame(pd.DataFrame({"second": np.arange(size), "cls": cls}), "second long, cls long")
+    met = rare.select(F.shiftright("pair", 16).alias("first"), F.col("pair").bitwiseAND(F.lit(0xFFFF)).alias("second"), "n").join(F.broadcast(classes), "second")  # an id each
+    sums = met.groupBy((F.col("first") * CLASSES + F.col("cls")).alias("cell")).agg(F.count("*").cast("int").alias("kinds"), F.sum("n").alias("n")).toArrow()  # size * CLASSES rows at most
+    cell, kinds, n = (sums[c].to_numpy() for c in ("cell", "kinds", "n"))
+    by_class = np.bincount(cell, weights=n, minlength=size * CLASSES).reshape(size, CLASSES)
+    return np.bincount(cell // CLASSES, weights=kinds, minlength=size), by_class.sum(axis=1), by_class
 
 
 class Model:
     """The pair model, and attention over the embeddings of ids for the next id's class."""
 
-    def __init__(self, near: np.ndarray, pairs: np.ndarray, counts: np.ndarray):
+    def __init__(self, near: np.ndarray, pairs: np.ndarray, counts: np.ndarray, rare: DataFrame | None = None):
         rng = np.random.default_rng(9)
         size, seen = len(near), near[:, :BESIDE].sum(axis=1)
         x = np.sqrt(near / np.maximum(near.sum(axis=1, keepdims=True), 1))
@@ -217,9 +229,12 @@ class Model:
         self.one = (seen + SMOOTH) / (seen.sum() + SMOOTH * size)
         first, second = pairs >> 16, pairs & 0xFFFF
         kinds, total = np.bincount(first, minlength=size), np.bincount(first, weights=counts, minlength=size)
+        by_class = np.bincount(first * CLASSES + self.cls[second], weights=counts, minlength=size * CLASSES).reshape(size, CLASSES)
+        if rare is not None:
+            kinds, total, by_class = (a + b for a, b in zip((kinds, total, by_class), _rare_sums(rare, self.cls)))
+        self.whole = total + kinds + 1
         self.spare = (kinds + 1) / (total + kinds + 1)
         self.pairs = Pairs(pairs, counts / (total + kinds + 1)[first])
-        by_class = np.bincount(first * CLASSES + self.cls[second], weights=counts, minlength=size * CLASSES).reshape(size, CLASSES)
         share = by_class / (total + kinds + 1)[:, None] + self.spare[:, None] * np.bincount(self.cls, weights=self.one, minlength=CLASSES)
         self.prior = np.log(np.maximum(share, 1e-30)).astype(np.float32)
         self.one, self.spare = self.one.astype(np.float32), self.spare.astype(np.float32)
@@ -250,6 +265,11 @@ class Model:
         """log P(y | x) - log P(class of y | x)."""
         return np.log(self.pairs.get(x.astype(np.int64) << 16 | y) + self.spare[x] * self.one[y]) - self.prior[x, self.cls[y]]
 
+    def gain(self, pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """What the count of a pair that is not broadcast adds to log10 P(second | first)."""
+        first, second = pairs >> 16, pairs & 0xFFFF
+        return np.log1p(counts / self.whole[first] / (self.spare[first].astype(np.float64) * self.one[second])) / math.log(10)
+
     def mask(self) -> np.ndarray:
         """What position adds to the attention; far below zero for what lies ahead."""
         return np.where(AWAY >= 0, self.p["near"][np.maximum(AWAY, 0)], -60).astype(np.float32)
@@ -382,8 +402,17 @@ class Learner:
 
 
 def fit(table: DataFrame, size: int) -> Model:
+    return _fitted(table, size)[0]
+
+
+def _fitted(table: DataFrame, size: int) -> tuple[Model, DataFrame | None]:
+    """The model, and the pairs (pair, n) that it does not hold, if any."""
+    counts = _pair_counts(table, size)
+    return _trained(Model(*counts), table, size), counts[3]
+
+
+def _trained(model: Model, table: DataFrame, size: int) -> Model:
     spark = table.sparkSession
-    model = Model(*_pair_counts(table, size))
     train = table.where("kind = 0 AND train").select("doc_id", "ids")
     total = train.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0] // 2
     shards = -(-total // SHARD)
@@ -432,9 +461,12 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab
     told = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = told["n"] + ends, told["v"] + (ends > 0)
     most = {r["word"].encode(): r["c"] for r in words.where(F.col("c") * FREQUENT >= n).collect()} if n else {}  # FREQUENT at most
-    shared = spark.sparkContext.broadcast((most, fit(table, size)))
+    model, rare_pairs = _fitted(table, size)
+    shared, joined = spark.sparkContext.broadcast((most, model)), rare_pairs is not None
     below = math.log10(n + SMOOTH * (v + 1))
 
+    schema = SCORED + (", pairs array<bigint>" if joined else "")
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         most, model = shared.value
         scorer, decoder, unknown = Scorer(model), _decoder(vocabulary_path(vocabulary)), itertools.repeat(math.nan)
@@ -453,11 +485,20 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab
                     base, known = float(np.nansum(parts)), len(found) - len(gaps)
                     # words hold no blanks
                     less = b" ".join(map(found.__getitem__, gaps.tolist())).decode("utf-8", "replace") if len(gaps) else None
-                    rows.append((i, own, len(found) + 1, known, base, float(s), less))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCORED.split(", ")[:7]])
+                    row = (i, own, len(found) + 1, known, base, float(s), less)
+                    if joined:
+                        flat = np.concatenate([[size - 1], x, [size - 1]]).astype(np.int64)
+                        keys = flat[:-1] << 16 | flat[1:]
+                        row += (keys[model.pairs.get(keys) == 0],)
+                    rows.append(row)
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    def gains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"pair": batch["pair"], "gain": shared.value[1].gain(batch["pair"].to_numpy(), batch["n"].to_numpy())})
 
     scored = written(
-        table.where("kind = 0").select("doc_id", "train", "ids").mapInPandas(score, SCORED).withColumn("rid", F.monotonically_increasing_id()), "scored"
+        table.where("kind = 0").select("doc_id", "train", "ids").mapInPandas(score, schema).withColumn("rid", F.monotonically_increasing_id()), "scored"
     )
     rare = scored.where("rare IS NOT NULL").select("rid", F.explode(F.split("rare", " ")).alias("word"))
     counted = (
@@ -466,6 +507,12 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab
         .groupBy("rid")
         .agg(F.sum(F.log10(F.col("c") + SMOOTH)).alias("rare_base"), F.count_if(F.col("c") > 0).alias("rare_known"))
     )
+    score_of = F.col("score")
+    if joined:
+        own = scored.select("rid", F.explode("pairs").alias("pair")).join(rare_pairs.mapInPandas(gains, "pair bigint, gain double"), "pair")
+        # decimals, so that sums do not depend on the order
+        added = own.groupBy("rid").agg(F.sum(F.col("gain").cast("decimal(20,10)")).cast("double").alias("gained"))
+        scored, score_of = scored.join(added, "rid", "left"), F.col("score") + F.coalesce("gained", F.lit(0.0))
     end = math.log10(ends + SMOOTH)
     none = F.lit(0).cast("long")
     return scored.join(counted, "rid", "left").select(
@@ -475,5 +522,5 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab
         (F.col("known") + F.coalesce("rare_known", none) + int(ends > 0)).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) + F.lit(end) - F.col("n_tokens") * F.lit(below)).alias("base_score"),
-        "score",
+        score_of.alias("score"),
     )
