@@ -15,7 +15,7 @@ meet their counts by a join), and attention tells the next id's class from the c
 so without attention the model is the pair model. Classes and embeddings of ids are made of the
 counts of ids beside hashed neighbours. The attention's weights are trained by gradient steps on
 every window of the training texts: texts are dealt to shards of about ``SHARD`` ids and ordered
-inside them by hashes of id and text, each shard is gone through once in a round, and the weights
+inside them by hashes of id and text, each shard is gone through ``ROUNDS`` times, and the weights
 are averaged, so scores do not depend on how rows are partitioned.
 
 A text's ids are framed by a begin and an end mark (the end is predicted too), so the score is the
@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import CHUNK_BYTES, LOWER, byte_runs, crc32_mod, sizes, tree_summed, written
+from .shared import CHUNK_BYTES, LOWER, byte_runs, crc32_mod, give_back, sizes, tree_summed, written
 from .tokens import units, vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -53,8 +53,10 @@ FREQUENT = 2_000_000
 PAIRS = 1 << 22
 STRIDE, CONTEXT, DIM, CLASSES, BESIDE = 24, 8, 16, 128, 32
 ROUNDS, BATCH, RATE, SHARD = 2, 64, 4e-3, 1 << 22
-#: Windows that a step of the work takes at a time.
-SCORE_CHUNKS, LEARNED = 512, 1 << 14
+#: Windows that a step of the work takes at a time; windows whose classes are worked out at a time, so that they stay in a core's cache.
+SCORE_CHUNKS, LEARNED, BLOCK = 256, 1 << 14, 16
+#: Shards have a task each, up to this number of tasks.
+TASKS = 2000
 #: Distinct words, and pairs, that a task counts before it passes them on.
 COUNTED, PAIRED = 800_000, 4_000_000
 
@@ -261,10 +263,6 @@ class Model:
             c = np.where(total[:, None] > 0, sums / np.maximum(total, 1e-30)[:, None], c)
         return own
 
-    def inside(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """log P(y | x) - log P(class of y | x)."""
-        return np.log(self.pairs.get(x.astype(np.int64) << 16 | y) + self.spare[x] * self.one[y]) - self.prior[x, self.cls[y]]
-
     def gain(self, pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """What the count of a pair that is not broadcast adds to log10 P(second | first)."""
         first, second = pairs >> 16, pairs & 0xFFFF
@@ -272,11 +270,17 @@ class Model:
 
     def mask(self) -> np.ndarray:
         """What position adds to the attention; far below zero for what lies ahead."""
-        return np.where(AWAY >= 0, self.p["near"][np.maximum(AWAY, 0)], -60).astype(np.float32)
+        return _mask(self.p["near"])
 
 
-#: How far behind a window's scored input each of its inputs is.
+#: How far behind a window's scored input each of its inputs is; the same with 0 for what lies ahead.
 AWAY = np.arange(STRIDE)[:, None] + CONTEXT - np.arange(STRIDE + CONTEXT)[None, :]
+BACK = np.maximum(AWAY, 0)
+ONES = np.ones(max(CLASSES, STRIDE + CONTEXT, BATCH), np.float32)
+
+
+def _mask(near: np.ndarray) -> np.ndarray:
+    return np.where(AWAY >= 0, near[BACK], np.float32(-60))
 
 
 def chunks(texts: list[np.ndarray], mark: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -296,6 +300,25 @@ def chunks(texts: list[np.ndarray], mark: int) -> tuple[np.ndarray, np.ndarray,
     return windows, goal.reshape(-1, STRIDE), first, per
 
 
+class Classes:
+    """The classes' logits of ``BLOCK`` windows at a time, in two tables that are used again and again."""
+
+    def __init__(self, model: Model):
+        self.prior = model.prior
+        self.own, self.other = (np.empty((BLOCK * STRIDE, CLASSES), np.float32) for _ in range(2))
+
+    def of(self, h: np.ndarray, w: np.ndarray, last: np.ndarray, cls: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, the attention's part of the logit of each row's ``cls``, exp of all classes' logits, its sums) by block."""
+        for at in range(0, len(h), BLOCK * STRIDE):
+            rows = slice(at, min(len(h), at + BLOCK * STRIDE))
+            n = rows.stop - at
+            g = np.matmul(h[rows], w, out=self.own[:n])
+            chosen = g[np.arange(n), cls[rows]]
+            g += np.take(self.prior, last[rows], axis=0, out=self.other[:n], mode="clip")
+            np.exp(g, out=g)
+            yield rows, chosen, g, g @ ONES[:CLASSES]
+
+
 class Scorer:
     """A model made ready: projections of all ids tabled."""
 
@@ -304,39 +327,60 @@ class Scorer:
         self.q = e @ p["q"] / np.float32(DIM**0.5)
         self.kv = np.concatenate([e @ p["k"], e @ p["v"]], axis=1)
         self.w = p["w"]
-        self.model, self.mask = model, np.exp(model.mask())
+        self.model, self.mask, self.classes = model, np.exp(model.mask()), Classes(model)
+        self.a = np.empty((SCORE_CHUNKS, STRIDE, STRIDE + CONTEXT), np.float32)
 
     def log10(self, windows: np.ndarray, goal: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The log10 probability of each window's targets, summed."""
-        m, out = self.model, np.empty(len(windows))
+        return self.told(windows, goal, first)[0]
+
+    def told(self, windows: np.ndarray, goal: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Also the pairs that the model does not hold, in order, and how many each window has."""
+        m, out, lacking, lack = self.model, np.empty(len(windows)), [np.zeros(0, np.int64)], np.zeros(len(windows), np.int64)
         for at in range(0, len(windows), SCORE_CHUNKS):
             x, y = windows[at : at + SCORE_CHUNKS], goal[at : at + SCORE_CHUNKS]
-            last = x[:, CONTEXT:]
+            last, want, there = np.ascontiguousarray(x[:, CONTEXT:]), np.maximum(y.ravel(), 0), y >= 0
             kv = self.kv[x]
-            a = self.q[last] @ kv[:, :, :DIM].transpose(0, 2, 1)
+            a = np.matmul(self.q[last], kv[:, :, :DIM].transpose(0, 2, 1), out=self.a[: len(x)])
+            last = last.ravel()
             np.exp(a, out=a)
             a *= self.mask
             a[first[at : at + SCORE_CHUNKS], :, :CONTEXT] = 0
-            h = a @ kv[:, :, DIM:]
-            h /= a.sum(axis=2)[:, :, None]
-            logits = h.reshape(-1, DIM) @ self.w
-            logits += m.prior[last.ravel()]
-            want = np.maximum(y.ravel(), 0)
-            chosen = logits[np.arange(len(want)), m.cls[want]]
-            np.exp(logits, out=logits)
-            lp = chosen - np.log(logits.sum(axis=1)) + m.inside(last.ravel(), want)
-            out[at : at + SCORE_CHUNKS] = np.where(y >= 0, lp.reshape(y.shape).astype(np.float64), 0).sum(axis=1)
-        return out / math.log(10)
+            h = (a @ kv[:, :, DIM:]).reshape(-1, DIM)
+            h /= (a.reshape(-1, STRIDE + CONTEXT) @ ONES[: STRIDE + CONTEXT])[:, None]
+            # log P(class | x) is part of the class's logit and of log P(y | x) - log P(class | x), and falls out
+            lp = np.empty(len(h), np.float32)
+            for rows, chosen, _, total in self.classes.of(h, self.w, last, m.cls[want]):
+                lp[rows] = chosen - np.log(total)
+            keys = last.astype(np.int64) << 16 | want
+            held = m.pairs.get(keys)
+            lp += np.log(held + m.spare[last] * m.one[want])
+            out[at : at + SCORE_CHUNKS] = np.where(there, lp.reshape(y.shape).astype(np.float64), 0).sum(axis=1)
+            without = (held == 0).reshape(y.shape) & there
+            lack[at : at + SCORE_CHUNKS] = without.sum(axis=1)
+            lacking.append(keys[without.ravel()])
+        return out / math.log(10), np.concatenate(lacking), lack
 
 
 class Learner:
-    """Gradient steps (Adam) on the attention's weights, ``BATCH`` windows each, in the order given."""
+    """Gradient steps (Adam) on the attention's weights, ``BATCH`` windows each, in the order given, ``ROUNDS`` times over."""
 
     def __init__(self, model: Model):
-        self.model, self.step, self.windows = model, 0, 0
-        self.p = {k: v.copy() for k, v in model.p.items()}
-        self.m1, self.m2 = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+        self.model, self.step, self.windows, self.classes = model, 0, 0, Classes(model)
+        self.flat = np.concatenate([model.p[k].ravel() for k in sorted(model.p)])
+        self.grad, self.m1, self.m2 = (np.zeros_like(self.flat) for _ in range(3))
+        self.p, self.d = self._parts(self.flat), self._parts(self.grad)
         self.held: list[list[np.ndarray]] = [[], [], []]
+        self.seen: list[list[np.ndarray]] = []  # a shard's windows, for the next round
+        self.a, self.da = (np.empty((BATCH, STRIDE, STRIDE + CONTEXT), np.float32) for _ in range(2))
+        self.qkv, self.back = (np.zeros((BATCH, STRIDE + CONTEXT, 3 * DIM), np.float32) for _ in range(2))
+
+    def _parts(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        out, at = {}, 0
+        for k in sorted(self.model.p):
+            out[k] = flat[at : at + self.model.p[k].size].reshape(self.model.p[k].shape)
+            at += self.model.p[k].size
+        return out
 
     def add(self, windows: np.ndarray, goal: np.ndarray, first: np.ndarray) -> None:
         for k, a in zip(self.held, (windows, goal, first)):
@@ -347,58 +391,70 @@ class Learner:
     def done(self) -> np.ndarray:
         """The weights times the number of windows, and that number."""
         self._learn(whole=True)
-        return np.concatenate([*[self.p[k].ravel().astype(np.float64) * self.windows for k in sorted(self.p)], [self.windows]])
+        for _ in range(ROUNDS - 1):
+            for part in self.seen:
+                self._steps(*part)
+        self.seen = []
+        return np.concatenate([self.flat.astype(np.float64) * self.windows, [self.windows]])
 
     def _learn(self, whole: bool) -> None:
         if not self.held[2]:
             return
-        w, g, f = (np.concatenate(k) for k in self.held)
-        end = len(w) if whole else len(w) // BATCH * BATCH  # steps do not depend on how windows arrive
-        for at in range(0, end, BATCH):
-            self._take(w[at : min(at + BATCH, end)], g[at : min(at + BATCH, end)], f[at : min(at + BATCH, end)])
-        self.held = [[w[end:]], [g[end:]], [f[end:]]]
+        held = [np.concatenate(k) for k in self.held]
+        end = len(held[2]) if whole else len(held[2]) // BATCH * BATCH  # steps do not depend on how windows arrive
+        self.seen.append([k[:end] for k in held])
+        self._steps(*self.seen[-1])
+        self.held = [[k[end:].copy()] for k in held]
         self.windows += end
 
+    def _steps(self, w: np.ndarray, g: np.ndarray, f: np.ndarray) -> None:
+        for at in range(0, len(w), BATCH):
+            self._take(w[at : at + BATCH], g[at : at + BATCH], f[at : at + BATCH])
+
     def _take(self, x: np.ndarray, y: np.ndarray, first: np.ndarray) -> None:
-        p, m, b, scale = self.p, self.model, len(x), np.float32(DIM**-0.5)
-        e = m.e[x]
-        every, last = e.reshape(-1, DIM), np.ascontiguousarray(e[:, CONTEXT:]).reshape(-1, DIM)
-        q = (last @ (p["q"] * scale)).reshape(b, STRIDE, DIM)
-        kv = (every @ np.concatenate([p["k"], p["v"]], axis=1)).reshape(b, STRIDE + CONTEXT, 2 * DIM)
-        k, v = kv[:, :, :DIM], kv[:, :, DIM:]
-        a = q @ k.transpose(0, 2, 1)
-        a += np.where(AWAY >= 0, p["near"][np.maximum(AWAY, 0)], np.float32(-60))
+        p, d, m, b, scale = self.p, self.d, self.model, len(x), np.float32(DIM**-0.5)
+        span, last, t = STRIDE + CONTEXT, x[:, CONTEXT:].ravel(), y.ravel()
+        every = np.take(m.e, x.ravel(), axis=0, mode="clip")
+        qkv = np.matmul(every, np.concatenate([p["q"] * scale, p["k"], p["v"]], axis=1), out=self.qkv[:b].reshape(-1, 3 * DIM)).reshape(b, span, -1)
+        q, k, v = qkv[:, CONTEXT:, :DIM], qkv[:, :, DIM : 2 * DIM], qkv[:, :, 2 * DIM :]
+        a = np.matmul(q, k.transpose(0, 2, 1), out=self.a[:b])
+        a += _mask(p["near"])
         a[first, :, :CONTEXT] = -60
         np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
+        norm = 1 / (a.reshape(-1, span) @ ONES[:span])
         h = (a @ v).reshape(-1, DIM)
-        t = y.ravel()
-        there = np.flatnonzero(t >= 0)
-        share = np.float32(1 / max(1, len(there)))
-        g = h @ p["w"]
-        g += m.prior[x[:, CONTEXT:].ravel()]
-        np.exp(g, out=g)
-        g *= (np.where(t >= 0, share, np.float32(0)) / g.sum(axis=1))[:, None]
-        g[there, m.cls[t[there]]] -= share
-        dh = (g @ p["w"].T).reshape(b, STRIDE, DIM)
-        da = dh @ v.transpose(0, 2, 1)
-        da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
+        h *= norm[:, None]
+        there = t >= 0
+        part = np.where(there, np.float32(1 / max(1, np.count_nonzero(there))), np.float32(0))
+        dh, goal, w = np.empty_like(h), m.cls[t], np.ascontiguousarray(p["w"].T)
+        down = np.zeros((CLASSES, DIM), np.float32)
+        for rows, _, g, total in self.classes.of(h, p["w"], last, goal):
+            g[np.arange(len(g)), goal[rows]] -= total
+            each = (part[rows] / total)[:, None]
+            np.matmul(g, w, out=dh[rows])
+            dh[rows] *= each
+            down += g.T @ (h[rows] * each)
+        d["w"][:] = down.T
+        less = np.einsum("ij,ij->i", dh, h) * norm
+        dh *= norm[:, None]
+        dh = dh.reshape(b, STRIDE, DIM)
+        da = np.matmul(dh, v.transpose(0, 2, 1), out=self.da[:b])
+        da -= less.reshape(b, STRIDE, 1)
         da *= a
-        back = np.concatenate([da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh], axis=2).reshape(-1, 2 * DIM)
-        dkv = every.T @ back
-        ahead = np.where(AWAY >= 0, da.sum(axis=0), 0)
-        grads = {
-            "w": h.T @ g,
-            "k": dkv[:, :DIM],
-            "v": dkv[:, DIM:],
-            "q": last.T @ (da @ k).reshape(-1, DIM) * scale,
-            "near": np.bincount(np.maximum(AWAY, 0).ravel(), weights=ahead.ravel(), minlength=STRIDE + CONTEXT).astype(np.float32),
-        }
+        back = self.back[:b]
+        np.matmul(da, k, out=back[:, CONTEXT:, :DIM])
+        np.matmul(da.transpose(0, 2, 1), q, out=back[:, :, DIM : 2 * DIM])
+        np.matmul(a.transpose(0, 2, 1), dh, out=back[:, :, 2 * DIM :])
+        parts = math.gcd(b, 8)  # short sums of products are faster than one over all rows
+        all_three = (every.reshape(parts, -1, DIM).transpose(0, 2, 1) @ back.reshape(parts, -1, 3 * DIM)).sum(axis=0)
+        np.multiply(all_three[:, :DIM], scale, out=d["q"])
+        d["k"][:], d["v"][:] = all_three[:, DIM : 2 * DIM], all_three[:, 2 * DIM :]
+        behind = np.where(AWAY >= 0, (ONES[:b] @ da.reshape(b, -1)).reshape(STRIDE, span), 0)
+        d["near"][:] = np.bincount(BACK.ravel(), weights=behind.ravel(), minlength=span)
         self.step += 1
-        for n, d in grads.items():
-            self.m1[n] += 0.1 * (d - self.m1[n])
-            self.m2[n] += 0.01 * (d * d - self.m2[n])
-            p[n] -= RATE * (self.m1[n] / (1 - 0.9**self.step)) / (np.sqrt(self.m2[n] / (1 - 0.99**self.step)) + 1e-9)
+        self.m1 += 0.1 * (self.grad - self.m1)
+        self.m2 += 0.01 * (self.grad * self.grad - self.m2)
+        self.flat -= RATE * (self.m1 / (1 - 0.9**self.step)) / (np.sqrt(self.m2 / (1 - 0.99**self.step)) + 1e-9)
 
 
 def fit(table: DataFrame, size: int) -> Model:
@@ -419,32 +475,32 @@ def _trained(model: Model, table: DataFrame, size: int) -> Model:
     if not shards:
         return model
     dealt = train.select("ids", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)).cast("int").alias("shard"), F.xxhash64(F.lit(1), "doc_id", "ids").alias("at"))
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "at", "ids")
-    for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(model)
-
-        def steps(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            def told(shard: int, learner: Learner) -> pd.DataFrame:
-                return pd.DataFrame({"block": [0], "part": [shard], "sums": [zlib.compress(learner.done().tobytes(), 1)]})
-
-            shard, learner = None, None
-            for batch in batches:
-                for own, part in batch.groupby("shard", sort=False):
-                    if own != shard:
-                        if learner is not None:
-                            yield told(shard, learner)
-                        shard, learner = own, Learner(shared.value)
-                    every = [np.frombuffer(x, np.uint16) for x in part["ids"]]
-                    for lo, hi in byte_runs([len(x) for x in every], 1 << 19):
-                        learner.add(*chunks(every[lo:hi], size - 1)[:3])
-            if learner is not None:
-                yield told(shard, learner)
-
-        flat = tree_summed(dealt.mapInPandas(steps, "block int, part int, sums binary"), np.float64)[0]
-        at = 0
-        for k in sorted(model.p):
-            model.p[k] = (flat[at : at + model.p[k].size] / flat[-1]).reshape(model.p[k].shape).astype(np.float32)
-            at += model.p[k].size
+    dealt = dealt.repartitionById(min(shards, TASKS), "shard").sortWithinPartitions("shard", "at", "ids")
+    shared = spark.sparkContext.broadcast(model)
+
+    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def told(shard: int, learner: Learner) -> pd.DataFrame:
+            return pd.DataFrame({"block": [0], "part": [shard], "sums": [zlib.compress(learner.done().tobytes(), 1)]})
+
+        give_back()
+        shard, learner = None, None
+        for batch in batches:
+            for own, part in batch.groupby("shard", sort=False):
+                if own != shard:
+                    if learner is not None:
+                        yield told(shard, learner)
+                    shard, learner = own, Learner(shared.value)
+                every = [np.frombuffer(x, np.uint16) for x in part["ids"]]
+                for lo, hi in byte_runs([len(x) for x in every], 1 << 19):
+                    learner.add(*chunks(every[lo:hi], size - 1)[:3])
+        if learner is not None:
+            yield told(shard, learner)
+
+    flat = tree_summed(dealt.mapInPandas(steps, "block int, part int, sums binary"), np.float64)[0]
+    at = 0
+    for k in sorted(model.p):
+        model.p[k] = (flat[at : at + model.p[k].size] / flat[-1]).reshape(model.p[k].shape).astype(np.float32)
+        at += model.p[k].size
     return model
 
 
@@ -468,6 +524,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab
     schema = SCORED + (", pairs array<bigint>" if joined else "")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         most, model = shared.value
         scorer, decoder, unknown = Scorer(model), _decoder(vocabulary_path(vocabulary)), itertools.repeat(math.nan)
         part_of = {w: math.log10(c + SMOOTH) for w, c in most.items()}
@@ -476,9 +533,10 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab
             for lo, hi in byte_runs([len(x) for x in every], 1 << 19):
                 ids = every[lo:hi]
                 windows, goal, first, per = chunks(ids, size - 1)
-                scores = np.add.reduceat(scorer.log10(windows, goal, first), np.cumsum(per) - per)
-                rows = []
-                for i, own, x, s in zip(batch["doc_id"].iloc[lo:hi], batch["train"].iloc[lo:hi], ids, scores):
+                told, pairs, lack = scorer.told(windows, goal, first)
+                scores, ends = np.add.reduceat(told, np.cumsum(per) - per), np.r_[0, np.cumsum(lack)][np.cumsum(per)]
+                rows, begin = [], 0
+                for i, own, x, s, end in zip(batch["doc_id"].iloc[lo:hi], batch["train"].iloc[lo:hi], ids, scores, ends):
                     found = _words(decoder.text(x))
                     parts = np.fromiter(map(part_of.get, found, unknown), np.float64, len(found))
                     gaps = np.flatnonzero(np.isnan(parts))
@@ -487,9 +545,8 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab
                     less = b" ".join(map(found.__getitem__, gaps.tolist())).decode("utf-8", "replace") if len(gaps) else None
                     row = (i, own, len(found) + 1, known, base, float(s), less)
                     if joined:
-                        flat = np.concatenate([[size - 1], x, [size - 1]]).astype(np.int64)
-                        keys = flat[:-1] << 16 | flat[1:]
-                        row += (keys[model.pairs.get(keys) == 0],)
+                        row += (pairs[begin:end],)
+                        begin = end
                     rows.append(row)
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
